@@ -9,8 +9,9 @@ is bounded by days times minutes, whatever the number of rides.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Observation, Window, functions as F
 
 from rideflow.session import stage
 
@@ -19,8 +20,6 @@ CELL_SECONDS = 60
 HOT_CELL_ROWS = 1_000_000
 # Tables of marks up to this many rows (about 100 bytes each) are broadcast.
 BROADCAST_ROWS = 500_000
-# A day has at most this many snapshots: n // (n // 8) peaks at 15.
-MAX_SNAPSHOTS = 15
 
 
 def step_of(n):
@@ -98,7 +97,6 @@ def snapshot_marks(rides: DataFrame, cell_seconds: int = CELL_SECONDS) -> DataFr
         .select(
             "date",
             "n",
-            "step",
             F.col("k").cast("int").alias("k"),
             "i",
             "mark.kind",
@@ -115,31 +113,47 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def marked_rides(
+class Points(NamedTuple):
+    """The edge and clock ride of every snapshot, a written table, and its number of rows."""
+
+    rides: DataFrame
+    count: int
+
+
+def snapshot_points(
     rides: DataFrame, cell_seconds: int = CELL_SECONDS, hot_cell_rows: int = HOT_CELL_ROWS
-) -> tuple[DataFrame, int]:
-    """The edge and clock ride of every snapshot, and the number of marks.
+) -> Points:
+    """Find the edge and clock ride of every snapshot.
 
-    The marks are written out (a few dozen rows a day) so that their number, and the size of the
-    fullest minute, are known before the rides are touched again.
+    Columns: date, n, k, i, kind ("edge" or "clock"), started_at, ride_id. Both steps end in a
+    written table of a few dozen rows a day: the first, so that the number of marks and the size
+    of the fullest minute are known before the rides are touched again; the second, so that any
+    number of uses does not repeat the search.
     """
-    marks = stage(snapshot_marks(rides, cell_seconds), "marks")
-    size = marks.agg(
-        F.count("*").alias("marks"), F.coalesce(F.max("cell_rows"), F.lit(0)).alias("fullest")
-    ).first()
+    size = Observation()
+    marks = stage(
+        snapshot_marks(rides, cell_seconds).observe(
+            size,
+            F.count("*").alias("marks"),
+            F.coalesce(F.max("cell_rows"), F.lit(0)).alias("fullest"),
+        ),
+        "marks",
+    )
+    marks_n, fullest = size.get["marks"], size.get["fullest"]
     cells = marks.select("date", "cell").distinct()
     candidates = _with_cell(
         rides.filter(F.col("started_at").isNotNull()).select(
             F.to_date("started_at").alias("date"), "started_at", "ride_id"
         ),
         cell_seconds,
-    ).join(small(cells, size.marks), ["date", "cell"], "left_semi")
-    if size.fullest <= hot_cell_rows:
+    ).join(small(cells, marks_n), ["date", "cell"], "left_semi")
+    if fullest <= hot_cell_rows:
         order = Window.partitionBy("date", "cell").orderBy("started_at", "ride_id")
         numbered = candidates.withColumn("rn", F.row_number().over(order) - 1)
     else:
         numbered = order_numbers(candidates, ["date", "cell"], ["started_at", "ride_id"])
     found = numbered.withColumnRenamed("rn", "local").join(
-        small(marks, size.marks), ["date", "cell", "local"]
+        small(marks, marks_n), ["date", "cell", "local"]
     )
-    return found.select("date", "n", "step", "k", "i", "kind", "started_at", "ride_id"), size.marks
+    points = found.select("date", "n", "k", "i", "kind", "started_at", "ride_id")
+    return Points(stage(points, "points"), marks_n)

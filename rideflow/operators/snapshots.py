@@ -4,6 +4,9 @@ Snapshot k of a day with n rides holds the rides 0..i, i = k * step, in order of
 ride id. A ride belongs to the first snapshot whose edge it does not come after. Snapshots then
 follow from one aggregate per (day, first snapshot, key) and a running sum over the few snapshots,
 so that no ride is looked at once per snapshot. ``ride_id`` is a key: de-duplicate first.
+
+Operators that need the edges take them as ``points``, to share one search between several of
+them, or else look for them.
 """
 
 from __future__ import annotations
@@ -14,13 +17,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from rideflow.functions.labels import clock_label, day_label
 from rideflow.functions.rounding import money, steady
-from rideflow.operators.positions import (
-    HOT_CELL_ROWS,
-    MAX_SNAPSHOTS,
-    marked_rides,
-    small,
-    step_of,
-)
+from rideflow.operators.positions import Points, small, snapshot_points, step_of
 
 
 def snapshot_index(rides: DataFrame) -> DataFrame:
@@ -45,10 +42,9 @@ def snapshot_index(rides: DataFrame) -> DataFrame:
     )
 
 
-def snapshot_clock(rides: DataFrame, hot_cell_rows: int = HOT_CELL_ROWS) -> DataFrame:
+def snapshot_clock(rides: DataFrame, points: Points | None = None) -> DataFrame:
     """The time a snapshot shows: the start of the ride before its edge ride."""
-    found, _ = marked_rides(rides, hot_cell_rows=hot_cell_rows)
-    return _clocks(found).select(
+    return _clocks(points or snapshot_points(rides)).select(
         "date",
         "k",
         "clock_at",
@@ -57,48 +53,39 @@ def snapshot_clock(rides: DataFrame, hot_cell_rows: int = HOT_CELL_ROWS) -> Data
     )
 
 
-def _clocks(found: DataFrame) -> DataFrame:
-    return found.filter(F.col("kind") == "clock").select(
-        "date", "k", F.col("i"), F.col("started_at").alias("clock_at")
+def _clocks(points: Points) -> DataFrame:
+    return points.rides.filter(F.col("kind") == "clock").select(
+        "date", "k", "i", F.col("started_at").alias("clock_at")
     )
 
 
-def _edges(found: DataFrame) -> DataFrame:
-    """One row per day: its edge rides side by side, NULL beyond the last snapshot."""
-    edge = F.struct("started_at", "ride_id")
+def _stretches(points: Points) -> DataFrame:
+    """For each snapshot, the stretch of rides it adds: after edge k - 1 up to edge k."""
+    day = Window.partitionBy("date")
     return (
-        found.filter(F.col("kind") == "edge")
-        .groupBy("date")
-        .agg(
-            F.max("k").alias("last_k"),
-            *[
-                F.max(F.when(F.col("k") == k, edge)).alias(f"_e{k}")
-                for k in range(MAX_SNAPSHOTS)
-            ],
-        )
+        points.rides.filter(F.col("kind") == "edge")
+        .withColumn("up_to", F.struct("started_at", "ride_id"))
+        .withColumn("after", F.lag("up_to").over(day.orderBy("k")))
+        .withColumn("last_k", F.max("k").over(day))
+        .select("date", "last_k", "k", "after", "up_to")
     )
 
 
-def _placed(rides: DataFrame, found: DataFrame, marks: int) -> DataFrame:
-    """Rides with their day and first snapshot ``k``; rides after the last edge are left out."""
+def place_rides(rides: DataFrame, points: Points | None = None) -> DataFrame:
+    """Add ``date``, ``k`` (first snapshot that holds the ride) and ``last_k`` (of its day).
+
+    Rides after the last edge of their day are left out, as they are in no snapshot.
+    """
+    points = points or snapshot_points(rides)
     ride = F.struct("started_at", "ride_id")
-    passed = [
-        F.when(F.col(f"_e{k}") < ride, F.lit(1)).otherwise(F.lit(0)) for k in range(MAX_SNAPSHOTS)
-    ]
-    k = sum(passed[1:], passed[0])
-    return (
-        rides.withColumn("date", F.to_date("started_at"))
-        .join(small(_edges(found), marks), "date")
-        .withColumn("k", k)
-        .filter(F.col("k") <= F.col("last_k"))
+    dated = rides.withColumn("date", F.to_date("started_at")).alias("r")
+    within = (
+        (F.col("r.date") == F.col("s.date"))
+        & (ride <= F.col("s.up_to"))
+        & (F.col("s.after").isNull() | (ride > F.col("s.after")))
     )
-
-
-def place_rides(rides: DataFrame, hot_cell_rows: int = HOT_CELL_ROWS) -> DataFrame:
-    """Add ``date``, ``k`` (first snapshot that holds the ride) and ``last_k`` (of its day)."""
-    found, marks = marked_rides(rides, hot_cell_rows=hot_cell_rows)
-    edges = [f"_e{k}" for k in range(MAX_SNAPSHOTS)]
-    return _placed(rides, found, marks).drop(*edges)
+    stretches = small(_stretches(points), points.count).alias("s")
+    return dated.join(stretches, within).select("r.*", "s.last_k", "s.k")
 
 
 def _running(deltas: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
@@ -114,22 +101,24 @@ def _running(deltas: DataFrame, keys: Sequence[str], measures: Sequence[str]) ->
     }
     until = F.coalesce(F.lead("k").over(so_far) - 1, F.col("last_k"))
     return (
-        deltas.select("date", *keys, "k", until.alias("_until"), *[s.alias(m) for m, s in sums.items()])
+        deltas.withColumn("_until", until)
+        .withColumns(sums)
+        .select("date", *keys, "k", "_until", *measures)
         .withColumn("k", F.explode(F.sequence("k", "_until")))
         .drop("_until")
     )
 
 
-def snapshot_type_counts(rides: DataFrame, hot_cell_rows: int = HOT_CELL_ROWS) -> DataFrame:
+def snapshot_type_counts(rides: DataFrame, points: Points | None = None) -> DataFrame:
     """Rides so far per bike type."""
-    known = place_rides(rides, hot_cell_rows).filter(F.col("rideable_type").isNotNull())
+    known = place_rides(rides, points).filter(F.col("rideable_type").isNotNull())
     deltas = known.groupBy("date", "last_k", "k", "rideable_type").agg(F.count("*").alias("rides"))
     return _running(deltas, ["rideable_type"], ["rides"])
 
 
-def snapshot_revenue(rides: DataFrame, hot_cell_rows: int = HOT_CELL_ROWS) -> DataFrame:
+def snapshot_revenue(rides: DataFrame, points: Points | None = None) -> DataFrame:
     """Rides, revenue and revenue per ride so far per bike type; rides carry ``revenue``."""
-    known = place_rides(rides, hot_cell_rows).filter(F.col("rideable_type").isNotNull())
+    known = place_rides(rides, points).filter(F.col("rideable_type").isNotNull())
     deltas = known.groupBy("date", "last_k", "k", "rideable_type").agg(
         F.count("*").alias("rides"), F.coalesce(F.sum("revenue"), F.lit(0.0)).alias("revenue")
     )
@@ -140,9 +129,9 @@ def snapshot_revenue(rides: DataFrame, hot_cell_rows: int = HOT_CELL_ROWS) -> Da
     )
 
 
-def snapshot_hourly(rides: DataFrame, hot_cell_rows: int = HOT_CELL_ROWS) -> DataFrame:
+def snapshot_hourly(rides: DataFrame, points: Points | None = None) -> DataFrame:
     """Rides and revenue so far per clock hour and bike type."""
-    known = place_rides(rides, hot_cell_rows).filter(F.col("rideable_type").isNotNull())
+    known = place_rides(rides, points).filter(F.col("rideable_type").isNotNull())
     deltas = known.groupBy(
         "date", "last_k", "k", F.date_trunc("hour", "started_at").alias("hour"), "rideable_type"
     ).agg(
@@ -154,11 +143,11 @@ def snapshot_hourly(rides: DataFrame, hot_cell_rows: int = HOT_CELL_ROWS) -> Dat
 
 
 def snapshot_top_station(
-    rides: DataFrame, end: str = "start", hot_cell_rows: int = HOT_CELL_ROWS
+    rides: DataFrame, end: str = "start", points: Points | None = None
 ) -> DataFrame:
     """The station with most rides so far, the alphabetically first of several."""
     station = f"{end}_station_name"
-    known = place_rides(rides, hot_cell_rows).filter(F.col(station).isNotNull())
+    known = place_rides(rides, points).filter(F.col(station).isNotNull())
     deltas = known.groupBy("date", "last_k", "k", station).agg(F.count("ride_id").alias("rides"))
     best = F.min(F.struct((-F.col("rides")).alias("rank"), F.col(station))).alias("best")
     return (
@@ -169,14 +158,14 @@ def snapshot_top_station(
     )
 
 
-def snapshot_kpis(rides: DataFrame, hot_cell_rows: int = HOT_CELL_ROWS) -> DataFrame:
+def snapshot_kpis(rides: DataFrame, points: Points | None = None) -> DataFrame:
     """All headline figures of every snapshot, from one pass over the priced rides.
 
     Hour-and-type, start station and end station are grouping sets of one aggregate. Per-ride
     revenue is shown once a snapshot holds more than one ride.
     """
-    found, marks = marked_rides(rides, hot_cell_rows=hot_cell_rows)
-    placed = _placed(rides, found, marks).withColumn("hour", F.date_trunc("hour", "started_at"))
+    points = points or snapshot_points(rides)
+    placed = place_rides(rides, points).withColumn("hour", F.date_trunc("hour", "started_at"))
     common = [F.col("date"), F.col("last_k"), F.col("k")]
     by_bar = [*common, F.col("hour"), F.col("rideable_type")]
     by_start = [*common, F.col("start_station_name")]
@@ -223,7 +212,7 @@ def snapshot_kpis(rides: DataFrame, hot_cell_rows: int = HOT_CELL_ROWS) -> DataF
         return F.when(several, money(ratio))
 
     return (
-        figures.join(_clocks(found), ["date", "k"])
+        figures.join(small(_clocks(points), points.count), ["date", "k"])
         .withColumn("completed", F.col("i") + 1)
         .select(
             "date",
