@@ -6,7 +6,7 @@ from typing import NamedTuple
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
@@ -27,9 +27,12 @@ class Forecast(NamedTuple):
 
 
 def forest(seed: int = 42, trees: int = TREES, max_depth: int = MAX_DEPTH) -> Pipeline:
+    """Median for missing measures, features side by side, trees on top."""
+    filled = [f"{c}_filled" for c in FEATURES]
     return Pipeline(
         stages=[
-            VectorAssembler(inputCols=list(FEATURES), outputCol="features", handleInvalid="keep"),
+            Imputer(inputCols=list(FEATURES), outputCols=filled, strategy="median"),
+            VectorAssembler(inputCols=filled, outputCol="features"),
             RandomForestRegressor(
                 labelCol=LABEL,
                 numTrees=trees,
