@@ -80,12 +80,14 @@ def forecast(model: PipelineModel, weather: DataFrame, start: str | None = None)
 
 def forecast_vs_actual(index: DataFrame, predictions: DataFrame) -> DataFrame:
     """Rides completed at each snapshot against the day's forecast."""
+    difference = F.col("completed") - F.col("predicted")
     return index.join(predictions.select("date", "predicted"), "date").select(
         "date",
         "k",
         "completed",
         "predicted",
-        (F.col("completed") - F.col("predicted")).alias("difference"),
+        difference.alias("difference"),
+        F.concat(difference.cast("string"), F.lit(" (Predicted)")).alias("label"),
     )
 
 

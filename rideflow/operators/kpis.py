@@ -9,7 +9,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from rideflow.functions.pricing import with_revenue
 from rideflow.functions.rounding import money, steady
+from rideflow.operators.cleaning import on_day, with_duration
+
+
+def rides_on_day(rides: DataFrame, day: str) -> DataFrame:
+    """The priced rides of one day, in start order."""
+    return with_revenue(with_duration(on_day(rides, day))).orderBy("started_at", "ride_id")
 
 
 def rides_per_day(rides: DataFrame) -> DataFrame:

@@ -84,7 +84,7 @@ def weather_inferred_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def weather_daily(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "weather-csv")
-    files.write_csv(star.weather(spark, folder), path, single_file=True)
+    files.write_csv(star.weather(spark, folder), path, single_file=True, order=["datetime"])
     return files.read_weather_file(spark, path)
 
 
@@ -247,8 +247,8 @@ def ride_coords(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def rides_on_day(spark: SparkSession, folder: str) -> DataFrame:
-    rides = with_revenue(cleaning.with_duration(cleaning.on_day(star.rides(spark, folder), DAY)))
-    return rides.withColumn("revenue", steady(F.col("revenue"))).orderBy("started_at", "ride_id")
+    rides = kpis.rides_on_day(star.rides(spark, folder), DAY)
+    return rides.withColumn("revenue", steady(F.col("revenue")))
 
 
 @query

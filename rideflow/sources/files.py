@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rideflow.functions.rounding import half_even
@@ -67,10 +69,17 @@ def read_weather(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def write_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
-    """CSV with a header, written in parallel.
+def write_csv(
+    df: DataFrame, path: str, single_file: bool = False, order: Sequence[str] = ()
+) -> None:
+    """CSV with a header, in ``order`` if given, written in parallel.
 
-    ``single_file`` funnels the output through one task; use it for small results only.
+    ``single_file`` sends the finished rows through one task, for results known to be small. The
+    work before that stays parallel, which coalescing to one partition would not leave it.
     """
-    out = df.coalesce(1) if single_file else df
+    if single_file:
+        out = df.repartition(1)
+        out = out.sortWithinPartitions(*order) if order else out
+    else:
+        out = df.orderBy(*order) if order else df
     out.write.option("header", True).option("timestampFormat", _TIMESTAMP_FORMAT).csv(path)

@@ -57,9 +57,14 @@ def append_unique(
     key: str,
     order: Sequence[str],
     partition_by: str | None = None,
+    within_partition: bool = False,
 ) -> None:
     """Append the rows whose key is new, one per key; rows without a key are refused.
 
+    By default the key is looked up in the whole table. With ``within_partition`` it is looked up
+    only in the range of partitions the rows fall into: right where copies of a row always share
+    its partition, and then the cost of an append no longer grows with the table.
+
     Appending the same rows again changes nothing, so a replayed micro-batch is harmless. One
     writer per table at a time, as with any primary key that is checked before it is written.
     """
@@ -69,8 +74,15 @@ def append_unique(
         known = _stored(spark, path, rows.schema)
         new = fresh
         if known is not None:
+            span = F.col(partition_by) if within_partition and partition_by else F.lit(None)
+            size = fresh.agg(
+                F.count("*").alias("rows"), F.min(span).alias("low"), F.max(span).alias("high")
+            ).first()
+            if size.low is not None:
+                # Constants, so that other partitions are not even listed.
+                known = known.filter(span.between(size.low, size.high) | span.isNull())
             known = known.select(key)
-            if fresh.count() <= BROADCAST_KEYS:
+            if size.rows <= BROADCAST_KEYS:
                 # A pass over the stored keys without shuffling them; at most one hit per key.
                 hits = known.join(F.broadcast(fresh.select(key)), key, "left_semi")
                 new = fresh.join(F.broadcast(hits), key, "left_anti")
@@ -87,9 +99,15 @@ def append_unique(
         fresh.unpersist()
 
 
-def append_rides(clean: DataFrame, path: str) -> None:
-    """Append cleaned rides to the ride table, unique by ``ride_id``, earliest start first."""
-    append_unique(to_ride_table(clean), path, "ride_id", ["started_at"], "date")
+def append_rides(clean: DataFrame, path: str, resent_unchanged: bool = False) -> None:
+    """Append cleaned rides to the ride table, unique by ``ride_id``, earliest start first.
+
+    Say ``resent_unchanged`` if a ride that comes again always has the same start time: its key is
+    then looked up among the rides of its day only.
+    """
+    append_unique(
+        to_ride_table(clean), path, "ride_id", ["started_at"], "date", resent_unchanged
+    )
 
 
 def append_weather(weather: DataFrame, path: str) -> None:

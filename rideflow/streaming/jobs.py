@@ -88,6 +88,9 @@ def load_weather_stream(
 def dedup_rides(rides: DataFrame, delay: str = "2 days", salts: int = 16) -> DataFrame:
     """Each ride once, if its copies arrive within ``delay`` of each other.
 
+    State is kept for ``delay`` only, and a ride that comes later than that is dropped; the ride
+    table (:func:`load_rides_stream`) takes rides of any age and checks all its keys instead.
+
     Copies are first dropped within ``salts`` slices of the input, so that a ride sent very many
     times reaches the task that owns its key at most ``salts`` times.
     """
@@ -145,11 +148,13 @@ def hourly_stream(
     delay: str = "1 day",
     every: str | None = None,
     files_per_trigger: int | None = None,
+    mode: str = "update",
 ) -> StreamingQuery:
-    """Cleaned ride messages in, changed hourly figures out, one folder per micro-batch.
+    """Cleaned ride messages in, hourly figures out, one folder per micro-batch.
 
-    In update mode the newest hours show up at once; append mode would hold them back until the
-    watermark has passed. :func:`latest_hours` reads the current figures.
+    In update mode an hour is written again whenever it grows, so the newest hours show up at once;
+    in append mode it is written once, when the watermark has passed it. :func:`latest_hours` reads
+    the current figures of either. Rides later than ``delay`` are not counted.
     """
     partition = None if isinstance(source, dict) else CLEAN_PARTITION
     messages = stream_topic(spark, source, partition, files_per_trigger)
@@ -159,7 +164,7 @@ def hourly_stream(
     def write(rows: DataFrame, batch_id: int) -> None:
         rows.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
-    return run(figures, write, checkpoint, "update", every)
+    return run(figures, write, checkpoint, mode, every)
 
 
 def latest_hours(spark: SparkSession, target: str) -> DataFrame:

@@ -96,6 +96,20 @@ def test_table_keeps_one_row_per_key(spark, make_rides, tmp_path, monkeypatch):
     assert sorted(r.ride_id for r in stored.collect()) == ["a", "b", "c", "d"]
 
 
+def test_keys_of_resent_rides_are_looked_up_in_their_day(spark, make_rides, tmp_path, monkeypatch):
+    table = str(tmp_path / "rides")
+    first, second = dt.datetime(2024, 1, 5, 9), dt.datetime(2024, 1, 6, 9)
+    sent = make_rides(
+        {"ride_id": "a", "started_at": first}, {"ride_id": "b", "started_at": second}
+    )
+    for keys in (tables.BROADCAST_KEYS, 0):
+        monkeypatch.setattr(tables, "BROADCAST_KEYS", keys)
+        tables.append_rides(clean_rides(sent), table, resent_unchanged=True)
+        tables.append_rides(clean_rides(sent.limit(1)), table, resent_unchanged=True)
+    stored = tables.read_ride_table(spark, table)
+    assert sorted(r.ride_id for r in stored.collect()) == ["a", "b"]
+
+
 def test_table_has_the_declared_columns(make_rides):
     table = to_ride_table(clean_rides(make_rides({})))
     assert table.drop("date").schema.simpleString() == RIDE_TABLE.simpleString()

@@ -125,6 +125,18 @@ def test_hours_grow_with_late_rides(spark, make_rides, paths):
     assert got[at, "classic_bike"] == (2, 3.0)
 
 
+def test_append_mode_writes_an_hour_once_it_is_over(spark, make_rides, paths):
+    at = dt.datetime(2024, 1, 5, 9)
+    done = make_rides({"started_at": at}, {"started_at": at + dt.timedelta(minutes=5)})
+    send_clean(done, paths["topic"])
+    send_clean(make_rides({"started_at": at + dt.timedelta(days=3)}), paths["topic"], batch=1)
+    jobs.hourly_stream(
+        spark, paths["topic"], paths["out"], paths["check"], mode="append"
+    ).awaitTermination()
+    hours = jobs.latest_hours(spark, paths["out"]).collect()
+    assert [(r.hour, r.rides) for r in hours] == [(at, 2)]
+
+
 def test_weather_stream_keeps_one_row_per_day(spark, paths):
     days = spark.range(4).selectExpr(
         "timestamp_seconds((id % 3) * 86400) as datetime",
