@@ -1 +1 @@
-"""Files, message topics, tables, and the adapter from star-schema tables to rides and weather."""
+"""Star-schema tables, files, topics and tables as sources and sinks."""

@@ -83,3 +83,15 @@ def write_csv(
     else:
         out = df.orderBy(*order) if order else df
     out.write.option("header", True).option("timestampFormat", _TIMESTAMP_FORMAT).csv(path)
+
+
+def read_training(spark: SparkSession, path: str) -> DataFrame:
+    """A training set written as CSV: day, count and weather, coerced."""
+    raw = spark.read.option("header", True).csv(path)
+    return raw.select(
+        F.col("date").try_cast("date").alias("date"),
+        F.col("count").try_cast("long").alias("count"),
+        F.col("datetime").try_cast("timestamp").alias("datetime"),
+        *[F.col(c).try_cast("double").alias(c) for c in WEATHER_MEASURES],
+        "conditions",
+    )
