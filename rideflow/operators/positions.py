@@ -2,8 +2,8 @@
 
 The dashboard looks at a day at a few positions only. So instead of numbering every ride, a
 histogram of start minutes locates the minute each wanted position falls into, and only the rides
-of those minutes are put in order. Both passes aggregate before they shuffle; what they shuffle
-is bounded by days times minutes, whatever the number of rides.
+of those minutes are put in order. The histogram is aggregated before it is shuffled, to at most
+days times minutes; the rides put in order are those of a few dozen minutes a day.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from rideflow.session import stage
 CELL_SECONDS = 60
 # Above this many rides in one start minute the minute is ordered by many tasks.
 HOT_CELL_ROWS = 1_000_000
+# Rows a task sorts when many tasks order one minute.
+ROWS_PER_TASK = 2_000_000
 # Tables of marks up to this many rows (about 100 bytes each) are broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -27,15 +29,26 @@ def step_of(n):
     return F.greatest(F.lit(1), F.floor(n / F.lit(8)))
 
 
-def order_numbers(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """Mark ``df`` for broadcasting if its counted size allows it, else leave the join to AQE."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def order_numbers(
+    df: DataFrame, group: Sequence[str], order: Sequence[str], rows: int, groups: int
+) -> DataFrame:
     """Number rows within ``group`` by ``order`` from 0, as ``rn``, for groups of any size.
 
     Rows are range-partitioned, so a large group spreads over many tasks. The split is written
-    out once because both passes below rely on it: sizes per partition, then positions.
+    out once because both passes below rely on it: sizes per partition, then positions. ``rows``
+    and ``groups`` are upper bounds; they set the number of partitions and bound the table of
+    sizes, which has a row per group and one more per partition border.
     """
     keys = [*group, *order]
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(usual, rows // ROWS_PER_TASK + 1)
     placed = (
-        df.repartitionByRange(*keys)
+        df.repartitionByRange(parts, *keys)
         .sortWithinPartitions(*keys)
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_at", F.monotonically_increasing_id())
@@ -47,7 +60,7 @@ def order_numbers(df: DataFrame, group: Sequence[str], order: Sequence[str]) ->
     earlier = F.sum("_rows").over(Window.partitionBy(*group).orderBy("_part")) - F.col("_rows")
     spans = spans.withColumn("_earlier", earlier).drop("_rows")
     return (
-        placed.join(spans, [*group, "_part"])
+        placed.join(small(spans, groups + parts), [*group, "_part"])
         .withColumn("rn", F.col("_earlier") + F.col("_at") - F.col("_first"))
         .drop("_part", "_at", "_first", "_earlier")
     )
@@ -108,11 +121,6 @@ def snapshot_marks(rides: DataFrame, cell_seconds: int = CELL_SECONDS) -> DataFr
     )
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """Mark ``df`` for broadcasting if its counted size allows it, else leave the join to AQE."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 class Points(NamedTuple):
     """The edge and clock ride of every snapshot, a written table, and its number of rows."""
 
@@ -136,10 +144,11 @@ def snapshot_points(
             size,
             F.count("*").alias("marks"),
             F.coalesce(F.max("cell_rows"), F.lit(0)).alias("fullest"),
+            F.coalesce(F.sum("cell_rows"), F.lit(0)).alias("rows"),
         ),
         "marks",
     )
-    marks_n, fullest = size.get["marks"], size.get["fullest"]
+    marks_n = size.get["marks"]
     cells = marks.select("date", "cell").distinct()
     candidates = _with_cell(
         rides.filter(F.col("started_at").isNotNull()).select(
@@ -147,11 +156,17 @@ def snapshot_points(
         ),
         cell_seconds,
     ).join(small(cells, marks_n), ["date", "cell"], "left_semi")
-    if fullest <= hot_cell_rows:
+    if size.get["fullest"] <= hot_cell_rows:
         order = Window.partitionBy("date", "cell").orderBy("started_at", "ride_id")
         numbered = candidates.withColumn("rn", F.row_number().over(order) - 1)
     else:
-        numbered = order_numbers(candidates, ["date", "cell"], ["started_at", "ride_id"])
+        numbered = order_numbers(
+            candidates,
+            ["date", "cell"],
+            ["started_at", "ride_id"],
+            rows=size.get["rows"],
+            groups=marks_n,
+        )
     found = numbered.withColumnRenamed("rn", "local").join(
         small(marks, marks_n), ["date", "cell", "local"]
     )

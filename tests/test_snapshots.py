@@ -152,6 +152,14 @@ def test_unknown_duration_counts_as_no_revenue(make_rides):
     assert [(r.rides, r.revenue) for r in got] == [(1, 0.0), (2, 0.0)]
 
 
+def test_no_rides_no_snapshots(make_rides):
+    none = with_revenue(with_duration(make_rides({}))).filter("ride_id is null")
+    assert snapshots.snapshot_kpis(none).collect() == []
+    assert snapshots.snapshot_index(none).collect() == []
+    nothing = with_revenue(with_duration(make_rides({}).filter("false").limit(0)))
+    assert snapshots.snapshot_clock(nothing).collect() == []
+
+
 def test_rides_without_a_start_time_are_in_no_snapshot(make_rides):
     rides = make_rides({"started_at": None}, {})
     assert snapshots.snapshot_type_counts(rides).count() == 1
@@ -162,7 +170,7 @@ def test_order_numbers_spread_one_large_group(spark, many_partitions):
     rows = spark.range(20_000).select(
         F.lit("all").alias("g"), F.lit(1).alias("t"), F.hash("id").cast("string").alias("id")
     )
-    numbered = order_numbers(rows.distinct(), ["g"], ["t", "id"])
+    numbered = order_numbers(rows.distinct(), ["g"], ["t", "id"], rows=20_000, groups=1)
     parts = numbered.groupBy(F.spark_partition_id()).count().collect()
     assert len(parts) > 1 and max(r["count"] for r in parts) < 10_000
     got = [r.id for r in numbered.orderBy("rn").collect()]
