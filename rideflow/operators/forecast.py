@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from rideflow.functions.labels import rides_text
 from rideflow.functions.rounding import half_even
 from rideflow.operators.training import FEATURES, LABEL, with_split
+from rideflow.session import stage
 
 # A hundred trees on all features. Depth 30 is MLlib's limit; trees grow until leaves
 # are pure long before that on daily data.
@@ -52,16 +53,16 @@ def fit_forecast(
 ) -> Forecast:
     """Fit on 80 % of the days; the fit is R² on the rest, in percent with one decimal.
 
-    The training set has one row per day, so it is small whatever the number of rides, and it is
-    kept in memory because the forest passes over it many times.
+    The training set has one row per day, so it is small whatever the number of rides. It is
+    written out because the forest passes over it many times: as a small table it is read by a
+    few tasks, not by one for each partition of the shuffle that made it. Being in date order, it
+    gives the same forest for the same seed.
     """
-    days = with_split(training.select("date", *FEATURES, LABEL)).persist()
-    try:
-        model = forest(seed, trees, max_depth).fit(days.filter(F.col("part") == "train"))
-        scored = model.transform(days.filter(F.col("part") == "test"))
-        r2 = RegressionEvaluator(labelCol=LABEL, metricName="r2").evaluate(scored)
-    finally:
-        days.unpersist()
+    days = with_split(training.select("date", *FEATURES, LABEL)).orderBy("date")
+    days = stage(days, "training")
+    model = forest(seed, trees, max_depth).fit(days.filter(F.col("part") == "train"))
+    scored = model.transform(days.filter(F.col("part") == "test"))
+    r2 = RegressionEvaluator(labelCol=LABEL, metricName="r2").evaluate(scored)
     return Forecast(model, round(r2 * 100, 1))
 
 

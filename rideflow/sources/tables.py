@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -42,13 +41,13 @@ def insert_by_name(spark: SparkSession, name: str, rows: DataFrame) -> None:
     spark.sql(f"INSERT INTO {name} BY NAME SELECT * FROM {{rows}}", rows=balanced)
 
 
-def _stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame | None:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+def _stored(
+    spark: SparkSession, path: str, schema: StructType, partition_by: str | None
+) -> DataFrame:
+    """The table as it is, empty if it has just been made."""
+    empty = spark.createDataFrame([], schema).write.mode("ignore")
+    (empty.partitionBy(partition_by) if partition_by else empty).parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def append_unique(
@@ -71,23 +70,21 @@ def append_unique(
     spark = rows.sparkSession
     fresh = first_per_key(rows.filter(F.col(key).isNotNull()), key, order).persist()
     try:
-        known = _stored(spark, path, rows.schema)
-        new = fresh
-        if known is not None:
-            span = F.col(partition_by) if within_partition and partition_by else F.lit(None)
-            size = fresh.agg(
-                F.count("*").alias("rows"), F.min(span).alias("low"), F.max(span).alias("high")
-            ).first()
-            if size.low is not None:
-                # Constants, so that other partitions are not even listed.
-                known = known.filter(span.between(size.low, size.high) | span.isNull())
-            known = known.select(key)
-            if size.rows <= BROADCAST_KEYS:
-                # A pass over the stored keys without shuffling them; at most one hit per key.
-                hits = known.join(F.broadcast(fresh.select(key)), key, "left_semi")
-                new = fresh.join(F.broadcast(hits), key, "left_anti")
-            else:
-                new = fresh.join(known, key, "left_anti")
+        known = _stored(spark, path, rows.schema, partition_by)
+        span = F.col(partition_by) if within_partition and partition_by else F.lit(None)
+        size = fresh.agg(
+            F.count("*").alias("rows"), F.min(span).alias("low"), F.max(span).alias("high")
+        ).first()
+        if size.low is not None:
+            # Constants, so that other partitions are not even listed.
+            known = known.filter(span.between(size.low, size.high) | span.isNull())
+        known = known.select(key)
+        if size.rows <= BROADCAST_KEYS:
+            # A pass over the stored keys without shuffling them; at most one hit per key.
+            hits = known.join(F.broadcast(fresh.select(key)), key, "left_semi")
+            new = fresh.join(F.broadcast(hits), key, "left_anti")
+        else:
+            new = fresh.join(known, key, "left_anti")
         if partition_by is None:
             new.write.mode("append").parquet(path)
         else:

@@ -34,6 +34,20 @@ def test_fit_finds_the_planted_signal(fitted):
     assert round(fitted.fit_percent, 1) == fitted.fit_percent
 
 
+def test_same_seed_same_forest(spark, planted):
+    def predictions(partitions):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            shuffled = planted.repartition(7, F.rand(int(partitions)))
+            model = forecast.fit_forecast(shuffled, trees=5, max_depth=8).model
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "8")
+        weather = planted.withColumnRenamed("date", "datetime")
+        return sorted(forecast.forecast(model, weather).collect())
+
+    assert predictions("3") == predictions("40")
+
+
 def test_forecast_covers_all_days_in_whole_rides(spark, planted, fitted):
     weather = planted.drop("count").withColumnRenamed("date", "datetime")
     days = forecast.forecast(fitted.model, weather, "2023-06-01")
