@@ -68,7 +68,7 @@ def _arguments(argv: Sequence[str] | None) -> argparse.Namespace:
             command.add_argument("--every")
             command.add_argument("--files-per-trigger", type=int)
         else:
-            command.add_argument("--batch", default="0")
+            command.add_argument("--batch")
     for name in ("prepare", "report"):
         command = commands.add_parser(name)
         command.add_argument("--rides", required=True)
@@ -92,7 +92,7 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         topics.publish(messages, target(args.to), topics.RAW_PARTITION, args.batch)
     elif args.command == "publish-weather":
         messages = topics.weather_messages(files.read_weather_file(spark, args.source))
-        topics.publish(messages, target(args.to), batch=args.batch)
+        topics.publish(messages, target(args.to), None, args.batch)
     elif args.command in STREAMS:
         STREAMS[args.command](
             spark,

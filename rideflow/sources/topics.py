@@ -7,6 +7,7 @@ serves both; a target or source given as a dict is a set of Kafka options, a str
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -80,28 +81,30 @@ def publish(
     messages: DataFrame,
     target: str | dict[str, str],
     partition: int | None = None,
-    batch: str | int = 0,
+    batch: str | int | None = None,
 ) -> None:
     """Send messages, to one partition if given. All executors write; nothing is collected.
 
-    A file-backed batch folder is overwritten as a whole, so sending a batch again is harmless.
+    On a file-backed topic ``batch`` names the folder the messages go to, a new one if not given. A
+    batch sent again under its name replaces what it wrote before.
     """
     if isinstance(target, dict):
         if partition is not None:
             messages = messages.withColumn("partition", F.lit(partition))
         messages.write.format("kafka").options(**target).save()
     else:
-        folder = f"{target}/partition={partition or 0}/batch={batch}"
+        name = uuid.uuid4().hex if batch is None else batch
+        folder = f"{target}/partition={partition or 0}/batch={name}"
         messages.write.mode("overwrite").parquet(folder)
 
 
 def batch_writer(
-    target: str | dict[str, str], partition: int | None = None
+    target: str | dict[str, str], partition: int | None = None, sender: str = "stream"
 ) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` callback that publishes each micro-batch under its id."""
+    """A ``foreachBatch`` callback that publishes each micro-batch under its sender and id."""
 
     def write(messages: DataFrame, batch_id: int) -> None:
-        publish(messages, target, partition, batch_id)
+        publish(messages, target, partition, f"{sender}-{batch_id}")
 
     return write
 

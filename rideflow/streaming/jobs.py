@@ -7,6 +7,7 @@ running.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -53,7 +54,9 @@ def clean_stream(
     partition = None if isinstance(source, dict) else RAW_PARTITION
     messages = stream_topic(spark, source, partition, files_per_trigger)
     clean = clean_ride_messages(clean_rides(parse_rides(messages)))
-    return run(clean, batch_writer(target, CLEAN_PARTITION), checkpoint, "append", every)
+    # Batch ids count from 0 for each checkpoint; its name keeps two of them apart.
+    sender = uuid.uuid5(uuid.NAMESPACE_URL, checkpoint).hex
+    return run(clean, batch_writer(target, CLEAN_PARTITION, sender), checkpoint, "append", every)
 
 
 def load_rides_stream(
@@ -153,8 +156,9 @@ def hourly_stream(
     """Cleaned ride messages in, hourly figures out, one folder per micro-batch.
 
     In update mode an hour is written again whenever it grows, so the newest hours show up at once;
-    in append mode it is written once, when the watermark has passed it. :func:`latest_hours` reads
-    the current figures of either. Rides later than ``delay`` are not counted.
+    in append mode it is written once, when the watermark has passed it, which keeps the folder of a
+    long-running job small. :func:`latest_hours` reads the current figures of either. A target
+    belongs to one checkpoint. Rides later than ``delay`` are not counted.
     """
     partition = None if isinstance(source, dict) else CLEAN_PARTITION
     messages = stream_topic(spark, source, partition, files_per_trigger)

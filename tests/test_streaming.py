@@ -61,6 +61,14 @@ def test_restart_writes_nothing_twice(spark, make_rides, paths):
     assert sorted(r.ride_id for r in clean(spark, paths).collect()) == ["a", "b"]
 
 
+def test_two_checkpoints_do_not_replace_each_others_messages(spark, make_rides, paths):
+    send(make_rides({"ride_id": "a"}), paths["topic"])
+    assert clean(spark, paths).count() == 1
+    second = paths | {"topic": paths["topic"] + "2", "check": paths["check2"]}
+    send(make_rides({"ride_id": "b"}), second["topic"])
+    assert sorted(r.ride_id for r in clean(spark, second).collect()) == ["a", "b"]
+
+
 def test_only_the_raw_partition_is_read(spark, make_rides, paths):
     send(make_rides({"ride_id": "raw"}), paths["topic"], 0)
     send_clean(make_rides({"ride_id": "already clean"}), paths["topic"])
