@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from rideflow.functions.labels import seconds_between
@@ -83,18 +83,15 @@ def to_ride_table(clean: DataFrame) -> DataFrame:
     return typed.withColumn("date", F.to_date("started_at"))
 
 
-def first_per_key(df: DataFrame, key: str, order: Sequence[str | Column]) -> DataFrame:
+def first_per_key(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """One row per key: the first by ``order``, remaining ties by the other columns.
 
     A minimum over structs instead of a ranking window: tasks drop copies before the shuffle, so
     a key with a very large number of copies never meets in one task.
     """
-    columns = df.columns
-    first = [F.col(c) if isinstance(c, str) else c for c in order]
-    named = [c.alias(f"_o{i}") for i, c in enumerate(first)]
-    row = F.struct(*named, F.struct(*[c for c in columns if c != key]).alias("row"))
-    kept = df.groupBy(key).agg(F.min(row).alias("kept"))
-    return kept.select(key, "kept.row.*").select(*columns)
+    others = [c for c in df.columns if c != key and c not in order]
+    kept = df.groupBy(key).agg(F.min(F.struct(*order, *others)).alias("kept"))
+    return kept.select(key, "kept.*").select(*df.columns)
 
 
 def union_distinct(left: DataFrame, right: DataFrame) -> DataFrame:

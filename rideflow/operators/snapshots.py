@@ -15,9 +15,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from rideflow.functions.hexagons import RADIUS_M, hex_cell
 from rideflow.functions.labels import clock_label, day_label
 from rideflow.functions.rounding import money, steady
 from rideflow.operators.positions import Points, small, snapshot_points, step_of
+from rideflow.schemas import COORDINATES
 
 
 def snapshot_index(rides: DataFrame) -> DataFrame:
@@ -158,6 +160,25 @@ def snapshot_top_station(
     )
 
 
+def snapshot_hex_density(
+    rides: DataFrame, points: Points | None = None, radius_m: float = RADIUS_M
+) -> DataFrame:
+    """Rides so far per hexagon of the start point."""
+    cell = hex_cell(F.col("start_lat"), F.col("start_lng"), radius_m)
+    located = rides.filter(F.col("start_lat").isNotNull() & F.col("start_lng").isNotNull())
+    # The edges are those of all rides, located or not.
+    placed = place_rides(located, points or snapshot_points(rides))
+    deltas = placed.groupBy("date", "last_k", "k", cell.q.alias("q"), cell.r.alias("r")).agg(
+        F.count("*").alias("rides")
+    )
+    return _running(deltas, ["q", "r"], ["rides"])
+
+
+def snapshot_arcs(rides: DataFrame, points: Points | None = None) -> DataFrame:
+    """One arc per ride with its first snapshot: snapshot k shows the day's arcs up to k."""
+    return place_rides(rides, points).select("date", "k", "ride_id", *COORDINATES)
+
+
 def snapshot_kpis(rides: DataFrame, points: Points | None = None) -> DataFrame:
     """All headline figures of every snapshot, from one pass over the priced rides.
 

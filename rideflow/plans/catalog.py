@@ -136,6 +136,14 @@ def ride_table_ddl(spark: SparkSession, folder: str) -> DataFrame:
     return cleaning.with_coordinates(tables.read_ride_table(spark, path))
 
 
+@query
+def table_day_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """One day of the ride table; the other days' folders are not read."""
+    table = scratch_path(spark, "ride-table")
+    tables.append_rides(cleaning.clean_rides(star.rides(spark, folder)), table)
+    return cleaning.with_coordinates(tables.read_day(spark, table, DAY))
+
+
 @query
 def weather_table_ddl(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "weather-table")
@@ -381,6 +389,16 @@ def top_end_station(spark: SparkSession, folder: str) -> DataFrame:
     return snapshots.snapshot_top_station(star.rides(spark, folder), "end")
 
 
+@query
+def snapshot_hex_density(spark: SparkSession, folder: str) -> DataFrame:
+    return snapshots.snapshot_hex_density(star.rides(spark, folder))
+
+
+@query
+def snapshot_arcs(spark: SparkSession, folder: str) -> DataFrame:
+    return snapshots.snapshot_arcs(star.rides(spark, folder))
+
+
 @query
 def snapshot_kpis(spark: SparkSession, folder: str) -> DataFrame:
     return snapshots.snapshot_kpis(priced(spark, folder))

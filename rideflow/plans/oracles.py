@@ -177,31 +177,32 @@ _CLEAN_TABLE = (
 )
 
 
-def _hexagons() -> str:
-    return f"""WITH {_RIDES},
+def _hexagons(rides: str, source: str, keys: str = "") -> str:
+    """Count the rides of ``source`` per hexagon, and per ``keys`` if given."""
+    return f"""WITH {rides},
 flat AS (
-  SELECT (start_lng - {CENTRE_LNG}::double) * {EAST_M!r}::double AS east,
+  SELECT {keys} (start_lng - {CENTRE_LNG}::double) * {EAST_M!r}::double AS east,
          (start_lat - {CENTRE_LAT}::double) * {NORTH_M!r}::double AS north
-  FROM rides
+  FROM {source}
 ),
 axial AS (
-  SELECT ({3**0.5 / 3!r}::double * east - {1 / 3!r}::double * north) / {RADIUS_M}::double AS q,
+  SELECT {keys} ({3**0.5 / 3!r}::double * east - {1 / 3!r}::double * north) / {RADIUS_M}::double AS q,
          ({2 / 3!r}::double * north) / {RADIUS_M}::double AS r
   FROM flat
 ),
 cube AS (
-  SELECT q, r, -q - r AS s, round_even(q, 0)::double AS rq, round_even(r, 0)::double AS rr,
+  SELECT {keys} q, r, -q - r AS s, round_even(q, 0)::double AS rq, round_even(r, 0)::double AS rr,
          round_even(-q - r, 0)::double AS rs
   FROM axial
 ),
 cells AS (
-  SELECT CASE WHEN abs(rq - q) > abs(rr - r) AND abs(rq - q) > abs(rs - s)
+  SELECT {keys} CASE WHEN abs(rq - q) > abs(rr - r) AND abs(rq - q) > abs(rs - s)
               THEN -rr - rs ELSE rq END AS q,
          CASE WHEN abs(rq - q) > abs(rr - r) AND abs(rq - q) > abs(rs - s) THEN rr
               WHEN abs(rr - r) > abs(rs - s) THEN -rq - rs ELSE rr END AS r
   FROM cube
 )
-SELECT cast(q AS bigint) AS q, cast(r AS bigint) AS r, count(*) AS rides
+SELECT {keys} cast(q AS bigint) AS q, cast(r AS bigint) AS r, count(*) AS rides
 FROM cells GROUP BY ALL"""
 
 
@@ -285,6 +286,7 @@ SELECT * REPLACE (cast(datetime AS date) AS datetime) FROM weather""",
 SELECT ride_id, cast(NULL AS double) AS duration, 0 AS partition FROM rides
 UNION ALL SELECT ride_id, duration_seconds, 1 FROM clean""",
         "ride_table_ddl": table,
+        "table_day_scan": f"{table} WHERE cast(started_at AS date) = date '{DAY}'",
         "weather_table_ddl": f"{weather} SELECT * REPLACE ({_FLOAT_WEATHER}) FROM weather",
         "rides_future": f"""{rides} SELECT * FROM rides
 WHERE started_at > timestamp '{CURRENT_AFTER}' ORDER BY started_at, ride_id""",
@@ -350,7 +352,10 @@ SELECT date,
   {_money("max(CASE WHEN rideable_type = 'classic_bike' THEN rpr END)")} AS classic_rpr,
   {_money("max(CASE WHEN rideable_type = 'electric_bike' THEN rpr END)")} AS electric_rpr
 FROM ({day_rpr}) GROUP BY date""",
-        "hex_density": _hexagons(),
+        "hex_density": _hexagons(_RIDES, "rides"),
+        "snapshot_hex_density": _hexagons(_SNAPSHOTS, "prefixes", "date, k,"),
+        "snapshot_arcs": f"""{snaps}
+SELECT date, min(k) AS k, ride_id, {_COORDS} FROM prefixes GROUP BY ALL""",
         "od_arcs": f"{rides} SELECT ride_id, {_COORDS} FROM rides",
         "od_flows": f"""{rides}
 SELECT start_station_name, end_station_name, count(*) AS rides FROM rides

@@ -82,6 +82,7 @@ def report(
         "forecast_vs_actual": forecast.forecast_vs_actual(
             snapshots.snapshot_index(rides), predictions
         ),
+        "snapshot_hex_density": snapshots.snapshot_hex_density(rides, points),
         "hex_density": flows.hex_density(rides),
         "od_flows": flows.od_flows(rides),
     }

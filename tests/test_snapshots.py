@@ -146,6 +146,23 @@ def test_keys_stay_once_they_have_appeared(rides, points):
     assert {(r.date, r.k, r.rideable_type): r.rides for r in got} == expected
 
 
+def test_maps_of_every_prefix(make_rides, days, points):
+    """Hexagons and arcs of a prefix, some of its rides without a start point."""
+    unplaced = [r | ({"start_lat": None} if i % 3 == 0 else {}) for i, r in enumerate(days)]
+    rides = make_rides(*unplaced)
+    cells, arcs = collections.defaultdict(int), {}
+    for date, k, _, prefix in prefixes(rides.collect()):
+        located = sum(r.start_lat is not None for r in prefix)
+        if located:
+            cells[date, k] = located
+        for ride in prefix:
+            arcs.setdefault(ride.ride_id, k)
+    dense = snapshots.snapshot_hex_density(rides, points).collect()
+    assert {(r.date, r.k): r.rides for r in dense} == cells
+    drawn = snapshots.snapshot_arcs(rides, points).collect()
+    assert {r.ride_id: r.k for r in drawn} == arcs
+
+
 def test_unknown_duration_counts_as_no_revenue(make_rides):
     rides = with_revenue(with_duration(make_rides({"ended_at": None}, {"ended_at": None})))
     got = snapshots.snapshot_revenue(rides).orderBy("k").collect()
