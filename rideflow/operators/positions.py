@@ -149,13 +149,12 @@ def snapshot_points(
         "marks",
     )
     marks_n = size.get["marks"]
-    cells = marks.select("date", "cell").distinct()
     candidates = _with_cell(
         rides.filter(F.col("started_at").isNotNull()).select(
             F.to_date("started_at").alias("date"), "started_at", "ride_id"
         ),
         cell_seconds,
-    ).join(small(cells, marks_n), ["date", "cell"], "left_semi")
+    ).join(small(marks.select("date", "cell"), marks_n), ["date", "cell"], "left_semi")
     if size.get["fullest"] <= hot_cell_rows:
         order = Window.partitionBy("date", "cell").orderBy("started_at", "ride_id")
         numbered = candidates.withColumn("rn", F.row_number().over(order) - 1)

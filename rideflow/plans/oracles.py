@@ -74,8 +74,10 @@ weather AS (
          cast(count(*) % 100 AS double) AS humidity,
          cast(max(CASE WHEN event_type = 'error' THEN value ELSE 0 END) / 10 AS double) AS precip,
          cast(0 AS double) AS snow,
-         cast(max(CASE WHEN event_type = 'view' THEN value ELSE 0 END) / 10 AS double) AS windspeed,
-         cast(max(CASE WHEN event_type = 'click' THEN value ELSE 0 END) / 10 AS double) AS windgust,
+         cast(max(CASE WHEN event_type = 'view' THEN value ELSE 0 END) / 10
+              AS double) AS windspeed,
+         cast(max(CASE WHEN event_type = 'click' THEN value ELSE 0 END) / 10
+              AS double) AS windgust,
          CASE WHEN count(*) % 2 = 0 THEN 'Clear' ELSE 'Rain' END AS conditions
   FROM events GROUP BY cast(ts AS date)
 )"""
@@ -186,7 +188,8 @@ flat AS (
   FROM {source}
 ),
 axial AS (
-  SELECT {keys} ({3**0.5 / 3!r}::double * east - {1 / 3!r}::double * north) / {RADIUS_M}::double AS q,
+  SELECT {keys}
+         ({3**0.5 / 3!r}::double * east - {1 / 3!r}::double * north) / {RADIUS_M}::double AS q,
          ({2 / 3!r}::double * north) / {RADIUS_M}::double AS r
   FROM flat
 ),
@@ -310,7 +313,8 @@ FROM weather""",
         "clean_rides": f"{priced}, {_CLEAN} SELECT * FROM clean",
         "rides_complete": f"""{rides} SELECT *, cast(started_at AS date) AS date FROM rides
 WHERE start_station_id IS NOT NULL AND end_station_id IS NOT NULL""",
-        "ride_duration": f"{priced} SELECT ride_id, started_at, ended_at, duration_seconds FROM timed",
+        "ride_duration": f"""{priced}
+SELECT ride_id, started_at, ended_at, duration_seconds FROM timed""",
         "ride_revenue": f"""{priced}
 SELECT ride_id, member_casual, rideable_type, duration_seconds, {fare} AS revenue FROM priced""",
         "ride_coords": f"{rides} SELECT ride_id, {_COORDS} FROM rides",

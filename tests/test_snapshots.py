@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rideflow.functions.pricing import with_revenue
-from rideflow.operators import snapshots
+from rideflow.operators import positions, snapshots
 from rideflow.operators.cleaning import with_duration
 from rideflow.operators.positions import order_numbers, snapshot_points
 
@@ -136,6 +136,21 @@ def test_figures_equal_those_of_every_prefix(rides, points):
     assert seen == len(got)
 
 
+def test_nothing_needs_a_broadcast(spark, rides, points, monkeypatch):
+    """Beyond the size that may be broadcast, the same figures come from shuffled joins."""
+    expected = sorted(snapshots.snapshot_kpis(rides, points).collect())
+    monkeypatch.setattr(positions, "BROADCAST_ROWS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffled = snapshots.snapshot_kpis(rides, snapshot_points(rides, hot_cell_rows=50))
+        got = sorted(shuffled.collect())
+        plan = shuffled._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == expected
+    assert "Broadcast" not in plan
+
+
 def test_keys_stay_once_they_have_appeared(rides, points):
     expected = {}
     for date, k, _, prefix in prefixes(rides.collect()):
