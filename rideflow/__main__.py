@@ -1,4 +1,4 @@
-"""Job launcher: ``spark-submit -m`` style entry for each link of the chain.
+"""Job launcher, one command for each link of the chain.
 
     python -m rideflow publish-rides  --from rides.csv   --to topic
     python -m rideflow clean-rides    --from topic       --to topic      --checkpoint dir
@@ -43,12 +43,15 @@ def _kafka(text: str) -> tuple[str, str] | None:
     return servers, topic
 
 
-def source(text: str, partition: int | None) -> str | dict[str, str]:
+def source(
+    text: str, partition: int | None, starting: str = "latest"
+) -> str | dict[str, str]:
     """A folder, or Kafka options that read one partition or the whole topic."""
     kafka = _kafka(text)
     if kafka is None:
         return text
-    return topics.kafka_read_options(*kafka, partitions=None if partition is None else [partition])
+    partitions = None if partition is None else [partition]
+    return topics.kafka_read_options(*kafka, partitions=partitions, starting=starting)
 
 
 def target(text: str) -> str | dict[str, str]:
@@ -67,6 +70,8 @@ def _arguments(argv: Sequence[str] | None) -> argparse.Namespace:
             command.add_argument("--checkpoint", required=True)
             command.add_argument("--every")
             command.add_argument("--files-per-trigger", type=int)
+            if name == "load-rides":
+                command.add_argument("--resent-unchanged", action="store_true")
         else:
             command.add_argument("--batch")
     for name in ("prepare", "report"):
@@ -94,13 +99,20 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -
         messages = topics.weather_messages(files.read_weather_file(spark, args.source))
         topics.publish(messages, target(args.to), None, args.batch)
     elif args.command in STREAMS:
+        extra = {"resent_unchanged": True} if getattr(args, "resent_unchanged", False) else {}
         STREAMS[args.command](
             spark,
-            source(args.source, _READ_PARTITION[args.command]),
+            # A running job starts with what is new, a draining one with what is there.
+            source(
+                args.source,
+                _READ_PARTITION[args.command],
+                "latest" if args.every else "earliest",
+            ),
             target(args.to),
             args.checkpoint,
             args.every,
             args.files_per_trigger,
+            **extra,
         ).awaitTermination()
     elif args.command == "prepare":
         workflows.prepare(

@@ -114,12 +114,12 @@ def append_weather(weather: DataFrame, path: str) -> None:
 
 
 def table_writer(
-    append: Callable[[DataFrame, str], None], path: str
+    append: Callable[..., None], path: str, **options: bool
 ) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` callback that appends each micro-batch to a table."""
 
     def write(rows: DataFrame, batch_id: int) -> None:
-        append(rows, path)
+        append(rows, path, **options)
 
     return write
 

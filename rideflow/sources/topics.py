@@ -65,8 +65,12 @@ def kafka_read_options(
     partitions: Sequence[int] | None = None,
     starting: str = "latest",
     max_per_trigger: int | None = None,
+    min_tasks: int | None = None,
 ) -> dict[str, str]:
-    """Options of a Kafka source; ``partitions`` narrows it from the whole topic to those."""
+    """Options of a Kafka source; ``partitions`` narrows it from the whole topic to those.
+
+    All raw rides are on one topic partition; ``min_tasks`` lets that many tasks share it.
+    """
     options = {"kafka.bootstrap.servers": servers, "startingOffsets": starting}
     if partitions is None:
         options["subscribe"] = topic
@@ -74,6 +78,8 @@ def kafka_read_options(
         options["assign"] = json.dumps({topic: list(partitions)})
     if max_per_trigger is not None:
         options["maxOffsetsPerTrigger"] = str(max_per_trigger)
+    if min_tasks is not None:
+        options["minPartitions"] = str(min_tasks)
     return options
 
 

@@ -66,12 +66,17 @@ def load_rides_stream(
     checkpoint: str,
     every: str | None = None,
     files_per_trigger: int | None = None,
+    resent_unchanged: bool = False,
 ) -> StreamingQuery:
-    """Cleaned ride messages into the ride table, one row per ride."""
+    """Cleaned ride messages into the ride table, one row per ride.
+
+    ``resent_unchanged`` is explained at :func:`rideflow.sources.tables.append_rides`.
+    """
     partition = None if isinstance(source, dict) else CLEAN_PARTITION
     messages = stream_topic(spark, source, partition, files_per_trigger)
     rides = parse_clean_rides(messages)
-    return run(rides, table_writer(append_rides, table), checkpoint, "append", every)
+    write = table_writer(append_rides, table, resent_unchanged=resent_unchanged)
+    return run(rides, write, checkpoint, "append", every)
 
 
 def load_weather_stream(

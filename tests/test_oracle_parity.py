@@ -32,6 +32,13 @@ def test_matches_sql(spark, con, name):
     assert {f.name: SQL_TYPES[f.dataType.simpleString()] for f in result.schema} == expected
 
 
+@pytest.mark.parametrize("name", ["rides_future", "rides_past", "rides_on_day"])
+def test_rides_come_in_start_order(spark, name):
+    rows = queries()[name](spark, FOLDER).collect()
+    keys = [(r.started_at, r.ride_id) for r in rows]
+    assert keys == sorted(keys) and len(keys) > 1
+
+
 def test_only_the_forecast_has_no_sql():
     assert sorted(set(queries()) - set(oracle_sql())) == [
         "daily_forecast",

@@ -59,10 +59,10 @@ def test_weather_is_rounded_half_to_even(spark, tmp_path):
 def test_kafka_options():
     whole = topics.kafka_read_options("broker:9092", "rides")
     assert whole["subscribe"] == "rides" and whole["startingOffsets"] == "latest"
-    part = topics.kafka_read_options("broker:9092", "rides", [0], "earliest", 30)
+    part = topics.kafka_read_options("broker:9092", "rides", [0], "earliest", 30, 64)
     assert "subscribe" not in part
     assert json.loads(part["assign"]) == {"rides": [0]}
-    assert part["maxOffsetsPerTrigger"] == "30"
+    assert (part["maxOffsetsPerTrigger"], part["minPartitions"]) == ("30", "64")
     assert topics.kafka_write_options("broker:9092", "rides")["topic"] == "rides"
 
 

@@ -89,6 +89,15 @@ def test_table_keeps_keys_unique_across_batches_and_replays(spark, make_rides, p
     send_clean(make_rides({"ride_id": "b"}, {"ride_id": "c"}), paths["topic"], batch=1)
     assert load(paths["check"]) == ["a", "b", "c"]
     # A lost checkpoint replays everything.
+    replayed = jobs.load_rides_stream(
+        spark,
+        paths["topic"],
+        paths["table"],
+        paths["check"] + "3",
+        files_per_trigger=1,
+        resent_unchanged=True,
+    )
+    replayed.awaitTermination()
     assert load(paths["check2"]) == ["a", "b", "c"]
     row = tables.read_ride_table(spark, paths["table"]).filter("ride_id = 'c'").first()
     assert (row.duration, row.rideable_type, row.start_lat) == (600.0, "classic_bike", "38.9")
