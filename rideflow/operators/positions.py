@@ -39,17 +39,20 @@ def order_numbers(
 ) -> DataFrame:
     """Number rows within ``group`` by ``order`` from 0, as ``rn``, for groups of any size.
 
-    Rows are range-partitioned, so a large group spreads over many tasks. The split is written
+    Rows are range-partitioned, so a large group spreads over many tasks, and so do rows that are
+    equal in ``order``: a running id, in no particular order, sets them apart. The split is written
     out once because both passes below rely on it: sizes per partition, then positions. ``rows``
     and ``groups`` are upper bounds; they set the number of partitions and bound the table of
     sizes, which has a row per group and one more per partition border.
     """
-    keys = [*group, *order]
+    keys = [*group, *order, "_tie"]
     usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(usual, rows // ROWS_PER_TASK + 1)
     placed = (
-        df.repartitionByRange(parts, *keys)
+        df.withColumn("_tie", F.monotonically_increasing_id())
+        .repartitionByRange(parts, *keys)
         .sortWithinPartitions(*keys)
+        .drop("_tie")
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_at", F.monotonically_increasing_id())
     )

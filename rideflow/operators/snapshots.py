@@ -3,7 +3,8 @@
 Snapshot k of a day with n rides holds the rides 0..i, i = k * step, in order of start time and
 ride id. A ride belongs to the first snapshot whose edge it does not come after. Snapshots then
 follow from one aggregate per (day, first snapshot, key) and a running sum over the few snapshots,
-so that no ride is looked at once per snapshot. ``ride_id`` is a key: de-duplicate first.
+so that no ride is looked at once per snapshot. ``ride_id`` is a key: de-duplicate first. (Copies
+of a ride would all count from the first snapshot that holds one of them.)
 
 Operators that need the edges take them as ``points``, to share one search between several of
 them, or else look for them.

@@ -198,6 +198,14 @@ def test_rides_without_a_start_time_are_in_no_snapshot(make_rides):
     assert snapshots.snapshot_index(rides).first().n == 1
 
 
+def test_order_numbers_spread_copies_of_one_row(spark, many_partitions):
+    copies = spark.range(0, 20_000, 1, 4).select(F.lit("g").alias("g"), F.lit("same").alias("id"))
+    numbered = order_numbers(copies, ["g"], ["id"], rows=20_000, groups=1)
+    parts = numbered.groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) > 1 and max(r["count"] for r in parts) < 10_000
+    assert sorted(r.rn for r in numbered.collect()) == list(range(20_000))
+
+
 def test_order_numbers_spread_one_large_group(spark, many_partitions):
     rows = spark.range(20_000).select(
         F.lit("all").alias("g"), F.lit(1).alias("t"), F.hash("id").cast("string").alias("id")
