@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rideflow.llm import quality
+from rideflow.llm import exact, packing, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,6 +15,24 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer's file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    return simhash.near_duplicates(read(spark, folder, "documents"))
+
+
+def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Place of every piece of every document in sequences of 4096 tokens."""
+    docs = read(spark, folder, "documents")
+    return packing.packed(docs, vocabulary("word_bpe_49k.json")).drop("ids")
+
+
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts, base verdict and n-gram verdict of every document."""
     trusted = read(spark, folder, "labels").where("quality = 1")
@@ -31,5 +49,28 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op6_quality_rules,)}
-ORACLES: dict[str, str] = {}
+def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Which copy of each document stays."""
+    return exact.copies(read(spark, folder, "documents")).drop("keep_file")
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (op1_simhash_near_dedup, op2_packing, op6_quality_rules, op9_exact_dedup)
+}
+
+ORACLES: dict[str, str] = {
+    "op9_exact_dedup": r"""
+        WITH clean AS (
+            SELECT doc_id, length(coalesce(text, '')) AS n,
+                   regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS c
+            FROM documents
+        ), best AS (
+            SELECT *, first_value(doc_id) OVER (PARTITION BY c ORDER BY n DESC, doc_id) AS keep_id,
+                   count(*) OVER (PARTITION BY c) AS group_size
+            FROM clean
+        )
+        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(c) AS text_sha256
+        FROM best
+    """,
+}
