@@ -32,6 +32,7 @@ END_ID = 2
 # Distinct words whose ids a worker keeps; beyond it the worker starts anew.
 KNOWN_WORDS = 400_000
 _SLICE = 1 << 21
+_TOGETHER = 500
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 _PLACED = (
@@ -43,30 +44,64 @@ _PLACED = (
 class WordEncoder:
     """Ids of whole texts, word by word.
 
-    The tokenizer drops white space and lets no token cross it, so the ids of a text are those of
-    its words in order; a word met before is looked up.
+    The tokenizer lowers case, drops white space and lets no token cross it, so the ids of a text are
+    those of its words in order; a word met before is looked up. A word of letters and the commas or
+    stops after it are separate, too. Words of letters alone are one unit for the tokenizer, the last
+    of its ids marks the end, so many new ones are encoded as one text.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        ends = [t for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[self.tokenizer.token_to_id(t) for t in ends]] = True
         self.known: dict[bytes, bytes] = {}
 
-    def learn(self, texts: list[list[bytes]]) -> None:
+    def _add(self, words: list[bytes]) -> None:
+        """Words one by one, in a batch."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        for word, x in zip(words, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            self.known[word] = np.array(x.ids, "<u4").tobytes()
+
+    def _add_letters(self, words: list[bytes]) -> None:
+        """Words of letters alone, many as one text."""
+        for at in range(0, len(words), _TOGETHER):
+            part = words[at : at + _TOGETHER]
+            text = b" ".join(part).decode()
+            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(part):
+                self._add(part)
+                continue
+            data, starts = ids.tobytes(), [0, *(4 * ends[:-1]).tolist()]
+            for word, a, b in zip(part, starts, (4 * ends).tolist()):
+                self.known[word] = data[a:b]
+
+    def learn(self, words: set[bytes]) -> None:
         if len(self.known) > KNOWN_WORDS:
             self.known.clear()
-        new = list(set().union(*texts).difference(self.known)) if texts else []
-        found = self.tokenizer.encode_batch_fast(
-            [w.decode("utf-8", "replace") for w in new], add_special_tokens=False
-        )
-        for word, encoding in zip(new, found):
-            self.known[word] = np.array(encoding.ids, "<u4").tobytes()
+        known = self.known
+        letters, pairs, others = set(), [], []
+        for word in words.difference(known):
+            bare = word[:-1] if word[-1:] in (b",", b".") else word
+            if bare.decode("utf-8", "replace").isalpha():
+                letters.add(bare)
+                if bare is not word:
+                    pairs.append((word, bare, word[-1:]))
+            else:
+                others.append(word)
+        self._add([b",", b".", *others])
+        self._add_letters(list(letters.difference(known)))
+        for word, bare, stop in pairs:
+            known[word] = known[bare] + known[stop]
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         """Unsigned little-endian 32-bit ids of each text."""
-        split = [t.split() for t in texts]
-        self.learn(split)
+        # Only the tokenizer's own marks tell capitals from small letters.
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        self.learn(set().union(*split))
         known = self.known
         return [b"".join([known[w] for w in s]) for s in split]
 

@@ -156,3 +156,14 @@ def judge(
     )
     judged = scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= LOWEST_SCORE))
     return judged.drop("__text", "__words", "__hashes", "__buckets", "__r")
+
+
+
+def kept(
+    docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns and no other."""
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
+    rows = docs.select(own, F.col(id_col).alias("__id"), F.col(text_col).alias("__body"))
+    judged = judge(rows, trusted, "__id", "__body").where("kept")
+    return judged.select(*(F.col("__row")[c].alias(c) for c in docs.columns))

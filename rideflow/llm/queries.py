@@ -6,7 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rideflow.llm import exact, packing, quality, simhash
+from rideflow.llm import (
+    chat,
+    counts,
+    exact,
+    lm,
+    packing,
+    pieces,
+    quality,
+    simhash,
+    toxicity,
+    urls,
+)
+from rideflow.llm.common import in_fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +45,32 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(docs, vocabulary("word_bpe_49k.json")).drop("ids")
 
 
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Score and verdict of every document, learnt from labelled ones outside a fold."""
+    docs = read(spark, folder, "documents")
+    field = toxicity.learn(docs, read(spark, folder, "labels"))
+    return toxicity.scored(docs, field).select(
+        "doc_id",
+        in_fold(F.col("doc_id"), toxicity.FOLDS).alias("held_out"),
+        F.col("toxicity.score").alias("score"),
+        F.when(F.col("toxicity.score") >= 0.5, 1).otherwise(0).alias("predicted"),
+        F.size("toxicity.spans").alias("n_spans"),
+    )
+
+
+def op4_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every document as number and checksum, with both verdicts of parity."""
+    docs = read(spark, folder, "documents")
+    return pieces.encoded(docs, vocabulary("piece_bpe_32k.model")).drop("ids")
+
+
+def op5_chat_perspectives(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation from every participant's perspective, spans to be learnt as text."""
+    spans = F.transform("learn", lambda s: F.concat_ws("-", s["a"], s["b"]))
+    made = chat.perspectives(read(spark, folder, "conversations"))
+    return made.withColumn("learn", F.array_join(spans, ","))
+
+
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts, base verdict and n-gram verdict of every document."""
     trusted = read(spark, folder, "labels").where("quality = 1")
@@ -49,17 +87,103 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    """Host, path, rule and verdict of every page."""
+    return urls.judge(read(spark, folder, "pages"))
+
+
+def op8_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Log-probability of every document by words alone and by the n-gram automaton."""
+    return lm.scores(read(spark, folder, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Which copy of each document stays."""
     return exact.copies(read(spark, folder, "documents")).drop("keep_file")
 
 
+def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Unigram tokens of every document, counted over a trie of its task's words."""
+    docs = read(spark, folder, "documents")
+    return counts.token_counts(docs, vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (op1_simhash_near_dedup, op2_packing, op6_quality_rules, op9_exact_dedup)
+    for f in (
+        op1_simhash_near_dedup,
+        op2_packing,
+        op3_toxicity,
+        op4_sentencepiece,
+        op5_chat_perspectives,
+        op6_quality_rules,
+        op7_url_filters,
+        op8_lm_scores,
+        op9_exact_dedup,
+        op10_token_counts,
+    )
 }
 
 ORACLES: dict[str, str] = {
+    "op5_chat_perspectives": r"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, 'unknown') AS who,
+                   replace(coalesce(text, ''), '<|', '<||') AS body,
+                   floor(coalesce(turn, -1) / 256) AS block
+            FROM conversations
+        ), people AS (
+            SELECT DISTINCT conv_id, who AS perspective FROM t
+        ), lines AS (
+            SELECT t.*, perspective, who = perspective AS mine,
+                   '<|im_start|>' || CASE WHEN who = perspective THEN 'assistant'
+                       ELSE 'user name=' || regexp_replace(who, '[\s>]', '_', 'g') END
+                       || chr(10) AS opening
+            FROM t JOIN people ON t.conv_id IS NOT DISTINCT FROM people.conv_id
+        ), placed AS (
+            SELECT *, sum(length(opening) + length(body) + 11) OVER (
+                       PARTITION BY conv_id, perspective, block ORDER BY turn, who, body
+                       ROWS UNBOUNDED PRECEDING) AS finish
+            FROM lines
+        )
+        SELECT conv_id, perspective,
+               dense_rank() OVER (PARTITION BY conv_id, perspective ORDER BY block) - 1 AS part,
+               string_agg(opening || body || '<|im_end|>' || chr(10), '' ORDER BY turn, who, body)
+                   AS text,
+               coalesce(string_agg(CAST(finish - length(body) - 11 AS BIGINT) || '-'
+                   || CAST(finish AS BIGINT), ',' ORDER BY finish) FILTER (mine), '') AS learn,
+               count(*) AS n_turns, count(*) FILTER (mine) AS n_assistant
+        FROM placed GROUP BY conv_id, perspective, block
+    """,
+    "op7_url_filters": r"""
+        WITH rest AS (
+            SELECT page_id, CASE WHEN contains(url, '://')
+                       THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r
+            FROM pages
+        ), parts AS (
+            SELECT page_id,
+                   translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                             'abcdefghijklmnopqrstuvwxyz') AS host,
+                   regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path
+            FROM rest
+        ), ruled AS (
+            SELECT *, CASE
+                WHEN ('.' || host) LIKE '%.example.org' AND path LIKE '/en/1%'
+                    THEN 'example.org/en/1'
+                WHEN ('.' || host) LIKE '%.example.org' AND path LIKE '/es/%'
+                    THEN 'example.org/es/'
+                WHEN ('.' || host) LIKE '%.com' AND path LIKE '/fr/%' THEN 'com/fr/'
+                WHEN ('.' || host) LIKE '%.com' AND path LIKE '/de/%' THEN 'com/de/'
+                WHEN ('.' || host) LIKE '%.org' AND path LIKE '/%' THEN 'org/' END AS rule
+            FROM parts
+        )
+        SELECT page_id, host, path, rule, CASE
+            WHEN rule IN ('org/', 'com/fr/') THEN 'allow'
+            WHEN rule IS NOT NULL THEN 'block'
+            WHEN len(list_intersect(string_split(host, '.'), ['adult-x', 'ads-track', 'casino-win',
+                'cheap-pills', 'free-bets', 'spam-farm'])) > 0 THEN 'block'
+            ELSE 'allow' END AS verdict
+        FROM ruled
+    """,
     "op9_exact_dedup": r"""
         WITH clean AS (
             SELECT doc_id, length(coalesce(text, '')) AS n,

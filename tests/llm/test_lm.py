@@ -1,0 +1,83 @@
+from __future__ import annotations
+
+import math
+import zlib
+from collections import Counter
+
+import pytest
+
+from rideflow.llm import lm
+from tests.llm.fixtures import FOLDER, no_documents, odd_documents
+
+
+def expected(rows, folds, order):
+    """Scores by plain counts and recursion."""
+    texts = []
+    for doc_id, text in rows:
+        words = (text or "").encode().lower().split() + [None]
+        held = doc_id is not None and zlib.crc32(str(doc_id).encode()) % folds == 0
+        texts.append((doc_id, held, words))
+    counts = Counter()
+    for _, held, words in texts:
+        if not held:
+            counts[("start",)] += 1
+            for i in range(len(words)):
+                for size in range(1, order + 1):
+                    before = ["start", *words]
+                    if i + 2 >= size:
+                        counts[tuple(before[i + 2 - size : i + 2])] += 1
+    total = sum(n for k, n in counts.items() if len(k) == 1 and k != ("start",))
+    distinct = len([k for k in counts if len(k) == 1 and k != ("start",)])
+    floor = total + 0.1 * (distinct + 1)
+
+    def chance(gram):
+        if len(gram) == 1:
+            return (counts[gram] + 0.1) / floor
+        shorter = chance(gram[1:])
+        return (counts[gram] + lm.PRIOR * shorter) / (counts[gram[:-1]] + lm.PRIOR)
+
+    out = {}
+    for doc_id, held, words in texts:
+        base = score = 0.0
+        for i, w in enumerate(words):
+            before = ["start", *words]
+            base += math.log10(chance((w,)))
+            score += math.log10(chance(tuple(before[max(0, i + 2 - order) : i + 2])))
+        known = sum(counts[(w,)] > 0 for w in words)
+        out[doc_id] = (held, len(words), known, total, base, score)
+    return out
+
+
+def check(df, want):
+    rows = df.collect()
+    assert {r.doc_id for r in rows} == set(want)
+    for r in rows:
+        w = want[r.doc_id]
+        assert tuple(r)[1:5] == w[:4]
+        assert math.isclose(r.base_score, w[4], rel_tol=1e-9, abs_tol=1e-9)
+        assert math.isclose(r.score, w[5], rel_tol=1e-9, abs_tol=1e-9)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_odd_rows(spark, order):
+    docs = odd_documents(spark)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    check(lm.scores(docs, order=order, folds=3), expected(rows, 3, order))
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_whole_table_in_many_blocks_and_buckets(spark, monkeypatch, order):
+    monkeypatch.setattr(lm, "BUCKET_TOKENS", 1 << 12)
+    monkeypatch.setattr(lm, "BLOCK_TOKENS", 5_000)
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    check(lm.scores(docs, order=order), expected([(r.doc_id, r.text) for r in docs.collect()], 10, order))
+
+
+def test_nothing_to_learn_from(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    r = lm.scores(docs, folds=1).first()
+    assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (True, 3, 0, 0, 0, 0)
+
+
+def test_empty_table(spark):
+    assert lm.scores(no_documents(spark)).count() == 0

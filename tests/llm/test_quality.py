@@ -1,0 +1,80 @@
+from __future__ import annotations
+
+import math
+from collections import Counter
+
+from rideflow.llm import quality
+from tests.llm.fixtures import FOLDER, WORD, base_counts, no_documents, odd_documents
+
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def check_counts(judged, rows):
+    want = Counter((doc_id, *base_counts(text or "")) for doc_id, text in rows)
+    assert Counter(tuple(r) for r in judged.select("doc_id", *COUNTS).collect()) == want
+    for r in judged.collect():
+        failed = r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words
+        assert r.base_failed == failed
+        assert r.kept == (not failed and r.score >= quality.LOWEST_SCORE)
+
+
+def test_odd_rows(spark):
+    docs = odd_documents(spark)
+    trusted = spark.createDataFrame([(5,), (5,), (None,), (99,)], "doc_id long")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    check_counts(quality.judge(docs, trusted), rows)
+    kept = quality.kept(docs, trusted)
+    assert kept.columns == docs.columns
+    assert {r.fp for r in kept.collect()} <= {"a"}
+
+
+def test_without_trusted_documents_the_base_rules_decide(spark):
+    docs = odd_documents(spark)
+    for r in quality.judge(docs, no_documents(spark)).collect():
+        assert r.score == 0 and r.kept == (not r.base_failed)
+
+
+def test_empty_table(spark):
+    assert quality.judge(no_documents(spark), no_documents(spark)).count() == 0
+    assert quality.kept(no_documents(spark), odd_documents(spark)).count() == 0
+
+
+def test_scores_are_mean_log_ratios(spark):
+    """Against plain counts of words and pairs, whose buckets are told apart here."""
+    texts = {1: "a b a", 2: "c d", 3: "a b", 4: "zz"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    trusted = spark.createDataFrame([(1,), (3,)], "doc_id long")
+    grams = {
+        i: (w := WORD.findall(t)) + [" ".join(p) for p in zip(w, w[1:])] for i, t in texts.items()
+    }
+    raw = Counter(g for x in grams.values() for g in x)
+    good = Counter(g for i in (1, 3) for g in grams[i])
+    extra = quality.SMOOTHING * quality.BUCKETS
+
+    def ratio(g):
+        p = (good[g] + quality.SMOOTHING) / (good.total() + extra)
+        return math.log(p / ((raw[g] + quality.SMOOTHING) / (raw.total() + extra)))
+
+    for r in quality.judge(docs, trusted).collect():
+        want = sum(map(ratio, grams[r.doc_id])) / len(grams[r.doc_id])
+        assert abs(r.score - want) < 1e-5
+
+
+def test_whole_table_and_labels(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    judged = quality.judge(docs, labels.where("quality = 1"))
+    check_counts(judged, [(r.doc_id, r.text) for r in docs.collect()])
+    both = judged.where("not base_failed").join(labels, "doc_id")
+    rates = {r.quality: r.k for r in both.groupBy("quality").agg({"kept": "count"}).withColumnRenamed("count(kept)", "k").collect()}
+    kept = {r.quality: r["count"] for r in both.where("kept").groupBy("quality").count().collect()}
+    assert kept[1] == rates[1] and kept.get(0, 0) < 0.15 * rates[0]
+
+
+def test_a_large_trusted_list_is_joined_by_shuffling(spark, monkeypatch):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    trusted = spark.read.parquet(f"{FOLDER}/labels.parquet").where("quality = 1")
+    want = sorted(map(tuple, quality.judge(docs, trusted).select("doc_id", "score", "kept").collect()))
+    monkeypatch.setattr(quality, "small_side", lambda ids: ids)
+    got = sorted(map(tuple, quality.judge(docs, trusted).select("doc_id", "score", "kept").collect()))
+    assert got == want
