@@ -86,7 +86,8 @@ class WordEncoder:
         letters, pairs, others = set(), [], []
         for word in words.difference(known):
             bare = word[:-1] if word[-1:] in (b",", b".") else word
-            if bare.decode("utf-8", "replace").isalpha():
+            # A small letter may be a letter and a mark.
+            if bare.decode("utf-8", "replace").lower().isalpha():
                 letters.add(bare)
                 if bare is not word:
                     pairs.append((word, bare, word[-1:]))
