@@ -18,6 +18,8 @@ from rideflow.llm.common import small_side, words
 
 BUCKETS = 1 << 18
 SMOOTHING = 0.5
+# Ratios are whole thousandths: two bytes a bucket, and sums that are exact.
+SCALE = 1000
 LOWEST_SCORE = -0.25
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
@@ -103,7 +105,8 @@ def _buckets(hashes: Column) -> Column:
 def log_ratios(
     docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row with an array: for each bucket ln of its trusted over its overall probability.
+    """One row with an array: for each bucket ln of its trusted over its overall probability, in
+    thousandths.
 
     Counts are summed within each task before they are shuffled; the result has ``BUCKETS`` numbers,
     whatever the size of the corpus. ``trusted`` has the ids of the trusted documents in ``doc_id``.
@@ -125,11 +128,14 @@ def log_ratios(
         F.sum("t").alias("t"),
     )
     extra = SMOOTHING * BUCKETS
-    ratio = lambda x: (
-        F.log((x["t"] + SMOOTHING) / (F.col("t") + extra))
-        - F.log((x["n"] + SMOOTHING) / (F.col("n") + extra))
-    ).cast("float")
-    zero = lambda x: F.lit(0.0).cast("float")
+    ratio = lambda x: F.round(
+        SCALE
+        * (
+            F.log((x["t"] + SMOOTHING) / (F.col("t") + extra))
+            - F.log((x["n"] + SMOOTHING) / (F.col("n") + extra))
+        )
+    ).cast("smallint")
+    zero = lambda x: F.lit(0).cast("smallint")
     return one.select(
         F.when(F.col("t") > 0, F.transform("x", ratio)).otherwise(F.transform("x", zero)).alias("r")
     )
@@ -143,20 +149,20 @@ def judge(
     The ratios are a scalar subquery of fixed size; each document is then scored where it lies.
     """
     ratios = log_ratios(docs, trusted, id_col, text_col)
-    hashed = _hashed(docs, text_col)
     base = base_columns(F.col("__text"), F.col("__words"), F.col("__hashes"))
-    counted = hashed.withColumns(base | {"__buckets": _buckets(F.col("__hashes"))})
-    total = F.aggregate(
-        "__buckets", F.lit(0.0), lambda a, b: a + F.get(F.col("__r"), b).cast("double")
+    found = F.struct(
+        *(c.alias(n) for n, c in base.items()), _buckets(F.col("__hashes")).alias("__buckets")
     )
+    # An exploded array of one: no later filter is moved below the counting, where it would have to
+    # count anew for every mention of a column.
+    columns = [F.col(f"`{c}`") for c in docs.columns if c not in (*base, "score", "base_failed", "kept")]
+    counted = _hashed(docs, text_col).select(*columns, F.explode(F.array(found)).alias("__found"))
+    named = counted.select(*columns, "__found.*").withColumn("__r", ratios.scalar())
+    total = F.aggregate("__buckets", F.lit(0).cast("bigint"), lambda a, b: a + F.get("__r", b))
+    score = F.when(F.size("__buckets") > 0, total / F.size("__buckets") / SCALE).otherwise(0.0)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    score = F.when(F.size("__buckets") > 0, total / F.size("__buckets")).otherwise(0.0)
-    scored = counted.withColumn("__r", ratios.scalar()).withColumns(
-        {"base_failed": failed, "score": score}
-    )
-    judged = scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= LOWEST_SCORE))
-    return judged.drop("__text", "__words", "__hashes", "__buckets", "__r")
-
+    judged = named.withColumns({"base_failed": failed, "score": score}).drop("__buckets", "__r")
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= LOWEST_SCORE))
 
 
 def kept(
