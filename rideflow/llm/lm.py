@@ -12,8 +12,8 @@ token the walk takes its state's arc, or fails until a state has one.
 
 The corpus is never held in one place. Texts are turned into blocks of some million tokens; each
 block reports the distinct n-grams it has and how often it trained on them; the reports are summed by
-n-gram in buckets whose number follows the corpus, and a block gets back the totals of its own
-n-grams, from which it builds its own part of the automaton. Words and n-grams are known by hashes:
+n-gram in buckets whose number follows the corpus, and a block gets back what the others have of its
+own n-grams, from which it builds its own part of the automaton. Words and n-grams are known by hashes:
 words by all 64 bits, longer n-grams by their bucket and 40 bits more.
 
 Null texts count as empty; an empty text is one end token. Null ids are trained on. Repeated rows
@@ -188,6 +188,20 @@ def _unpacked(data: bytes, bucket: int, low: int) -> np.ndarray:
     return wide.view("<u8").ravel() | (np.uint64(bucket) << np.uint64(low))
 
 
+def _short(counts: np.ndarray) -> bytes:
+    """Counts that are mostly small: their number, a byte each, then those that a byte can't hold."""
+    size = np.array([len(counts)], "<u8").tobytes()
+    small = np.minimum(counts, 255).astype(np.uint8)
+    return size + small.tobytes() + counts[counts >= 255].astype("<u8").tobytes()
+
+
+def _long(data: bytes) -> np.ndarray:
+    n = int(np.frombuffer(data, "<u8", 1)[0])
+    counts = np.frombuffer(data, np.uint8, n, 8).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(data, "<u8", -1, 8 + n)
+    return counts
+
+
 def reports(table: DataFrame, sizes: list[int], bits: int) -> DataFrame:
     """By block and bucket the block's distinct n-grams and their trained counts."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -207,7 +221,7 @@ def reports(table: DataFrame, sizes: list[int], bits: int) -> DataFrame:
                     rows = []
                     for bucket, (a, b) in enumerate(zip(edges, [*edges[1:], len(keys)])):
                         if a < b:
-                            data = counts[a:b].astype("<u4").tobytes()
+                            data = _short(counts[a:b])
                             rows.append((size, bucket, row["block"], _packed(keys[a:b], low), data))
                     yield _record(rows, kinds)
 
@@ -215,7 +229,7 @@ def reports(table: DataFrame, sizes: list[int], bits: int) -> DataFrame:
 
 
 def totals(reported: DataFrame, bits: int) -> DataFrame:
-    """For each block and bucket the n-grams whose total differs from the block's own count.
+    """For each block and bucket how often its n-grams, in their order, were trained on elsewhere.
 
     Rows without a block tell the number of distinct n-grams of a bucket that were trained on.
     """
@@ -230,17 +244,14 @@ def totals(reported: DataFrame, bits: int) -> DataFrame:
         size, bucket = rows[0]["size"], rows[0]["bucket"]
         low = _low(size, bits)
         keys = [_unpacked(r["keys"], bucket, low) for r in rows]
-        own = [np.frombuffer(r["counts"], "<u4").astype(np.int64) for r in rows]
+        own = [_long(r["counts"]) for r in rows]
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
         summed = np.bincount(at, np.concatenate(own), minlength=len(distinct)).astype(np.int64)
         out = [(size, bucket, None, b"", b"", int((summed > 0).sum()))]
         end = 0
-        for row, k, c in zip(rows, keys, own):
-            start, end = end, end + len(k)
-            whole = summed[at[start:end]]
-            new = whole != c
-            data = whole[new].astype("<u8").tobytes()
-            out.append((size, bucket, row["block"], _packed(k[new], low), data, 0))
+        for row, c in zip(rows, own):
+            start, end = end, end + len(c)
+            out.append((size, bucket, row["block"], b"", _short(summed[at[start:end]] - c), 0))
         return pa.Table.from_batches([_record(out, kinds)])
 
     return reported.groupBy("size", "bucket").applyInArrow(total, schema)
@@ -249,15 +260,14 @@ def totals(reported: DataFrame, bits: int) -> DataFrame:
 class Automaton:
     """The arcs and failure arcs that a block's texts can meet, with their weights."""
 
-    def __init__(self, tokens: Tokens, found: dict[int, list], order: int, floor: float, bits: int, starts: int):
+    def __init__(self, tokens: Tokens, found: dict[int, list], floor: float, starts: int):
         self.tokens = tokens
         self.weights, self.failures, self.seen = [], [], []
         context = lower = None
-        for size in range(1, order + 1):
-            keys, at, counts = tokens.distinct(size)
-            for bucket, data, whole in found.get(size, ()):
-                where = np.searchsorted(keys, _unpacked(data, bucket, _low(size, bits)))
-                counts[where] = np.frombuffer(whole, "<u8").astype(np.int64)
+        for size in range(1, len(tokens.grams) + 1):
+            _, at, counts = tokens.distinct(size)
+            # Buckets follow the order of the keys.
+            counts += np.concatenate([_long(data) for _, data in sorted(found[size])])
             seen = counts[at]
             if size == 1:
                 chance = (seen + 0.1) / floor
@@ -326,11 +336,11 @@ def scores(
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         found: dict[int, list] = {}
         for r in right.to_pylist():
-            found.setdefault(r["size"], []).append((r["bucket"], r["keys"], r["counts"]))
+            found.setdefault(r["size"], []).append((r["bucket"], r["counts"]))
         out = []
         for row in left.to_pylist():
             tokens = Tokens(row, order, bits)
-            model = Automaton(tokens, found, order, floor, bits, texts)
+            model = Automaton(tokens, found, floor, texts)
             sums = [
                 np.add.reduceat(x, tokens.starts)
                 for x in (model.known.astype(np.int64), model.weights[0], model.walk())
@@ -348,6 +358,6 @@ def scores(
 
     return (
         table.groupBy("block")
-        .cogroup(known.select("size", "bucket", "block", "keys", "counts").groupBy("block"))
+        .cogroup(known.select("size", "bucket", "block", "counts").groupBy("block"))
         .applyInArrow(score, _SCORES)
     )
