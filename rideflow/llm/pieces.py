@@ -164,14 +164,17 @@ class Codec:
                     self.wrong[word] = (x == y, back == word.replace(MARK, " "))
 
     def _theirs(self, words: list[str]) -> list[list[int]]:
-        """The sentencepiece library's ids of words, each in a text where it stands alone."""
-        if not self.normaliser.by_word or not self.normaliser.prefix:
+        """The sentencepiece library's ids of words, each in a text of its own."""
+        if not self.normaliser.by_line or not self.normaliser.prefix:
             return self.native.encode([w.removeprefix(self.normaliser.prefix) for w in words])
-        # A marked word follows the prefix; any other one follows a line end.
-        texts = [w[1:] if w.startswith(MARK) else "\n" + w for w in words]
-        before = len(self.native.encode("\n"))
+        # A marked word follows the prefix, any other one a line end; another line end follows both.
+        texts = [(w[1:] if w.startswith(MARK) else "\n" + w) + "\n" for w in words]
+        first = self.native.encode("\n")
         found = self.native.encode(texts, num_threads=self.threads)
-        return [x if w.startswith(MARK) else x[before:] for w, x in zip(words, found)]
+        last = len(first) - 1
+        return [
+            x[0 if w.startswith(MARK) else len(first) : len(x) - last] for w, x in zip(words, found)
+        ]
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, int, bool, bool]]:
         """Unsigned little-endian 32-bit ids of each text, words, parity, whether it decodes."""

@@ -1,0 +1,42 @@
+from __future__ import annotations
+
+import corpus_pipeline
+from rideflow.llm import exact, simhash
+from tests.llm.fixtures import CLASHING, fingerprint, no_documents, odd_documents
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+def test_stages_one_after_the_other(spark):
+    """Each stage's decisions hold for what it returns, and the last packs all that is left."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    columns, before = docs.columns, docs.count()
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.stage(step(spark, docs, FOLDER), "test")
+        assert docs.columns == columns
+        assert 0.5 * before < docs.count() <= before, name
+        before = docs.count()
+    assert exact.copies(docs).where("group_size > 1").count() == 0
+    fps = [fingerprint(r.text) for r in docs.collect()]
+    assert not any((a ^ b).bit_count() <= 3 for i, a in enumerate(fps) for b in fps[:i])
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER)
+    assert packed.select("doc_id").distinct().count() == before
+    run = corpus_pipeline.run(spark, FOLDER)
+    key = ["doc_id", "start", "length", "ids_crc32"]
+    assert run.select(key).exceptAll(packed.select(key)).count() == 0
+    assert packed.select(key).exceptAll(run.select(key)).count() == 0
+
+
+def test_stages_take_odd_and_empty_tables(spark):
+    for make in (odd_documents, no_documents):
+        docs = make(spark)
+        for _, step in corpus_pipeline.STAGES[:-1]:
+            docs = corpus_pipeline.stage(step(spark, docs, FOLDER), "test")
+            assert docs.columns == [c.split()[0] for c in CLASHING.split(", ")]
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).count() >= docs.count()
+
+
+def test_components_keep_one_each(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = simhash.near_duplicates(docs)
+    assert simhash.one_of_each(docs).count() == found.select("component_id").distinct().count()
