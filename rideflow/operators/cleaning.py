@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
 from rideflow.functions.labels import seconds_between
@@ -75,23 +75,29 @@ def with_coordinates(rides: DataFrame) -> DataFrame:
 
 
 def to_ride_table(clean: DataFrame) -> DataFrame:
-    """The 14 columns of the ride table, by name and declared type, plus its layout column."""
+    """The 14 columns of the ride table, by name and declared type, plus its layout column.
+
+    ``date`` is the day by UTC, whatever the session's time zone.
+    """
     named = clean if "duration" in clean.columns else clean.withColumnRenamed(
         "duration_seconds", "duration"
     )
     typed = named.select(*[F.col(f.name).cast(f.dataType) for f in RIDE_TABLE.fields])
-    return typed.withColumn("date", F.to_date("started_at"))
+    utc = F.to_utc_timestamp("started_at", F.current_timezone())
+    return typed.withColumn("date", F.to_date(utc))
 
 
 def first_per_key(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """One row per key: the first by ``order``, remaining ties by the other columns.
+    """One row per key: the first by ``order``, NULLs last, remaining ties by the other columns.
 
-    A minimum over structs instead of a ranking window: tasks drop copies before the shuffle, so
-    a key with a very large number of copies never meets in one task.
+    A ranking window whose rank is limited to 1: each task keeps only its first copy of a key before
+    the shuffle, so a key with a very large number of copies never meets in one task.
     """
     others = [c for c in df.columns if c != key and c not in order]
-    kept = df.groupBy(key).agg(F.min(F.struct(*order, *others)).alias("kept"))
-    return kept.select(key, "kept.*").select(*df.columns)
+    ranked = Window.partitionBy(key).orderBy(
+        *(F.col(c).asc_nulls_last() for c in order), *(F.col(c).asc_nulls_last() for c in others)
+    )
+    return df.withColumn("_rank", F.row_number().over(ranked)).filter("_rank = 1").drop("_rank")
 
 
 def union_distinct(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rideflow.functions.labels import rides_text
 from rideflow.functions.rounding import half_even
@@ -61,9 +61,39 @@ def fit_forecast(
     days = with_split(training.select("date", *FEATURES, LABEL)).orderBy("date")
     days = stage(days, "training")
     model = forest(seed, trees, max_depth).fit(days.filter(F.col("part") == "train"))
+    return Forecast(model, fit_percent(model, days))
+
+
+def fit_percent(model: PipelineModel, training: DataFrame) -> float:
+    """R² on the held-out days, in percent with one decimal."""
+    days = with_split(training.select("date", *FEATURES, LABEL))
     scored = model.transform(days.filter(F.col("part") == "test"))
     r2 = RegressionEvaluator(labelCol=LABEL, metricName="r2").evaluate(scored)
-    return Forecast(model, round(r2 * 100, 1))
+    return round(r2 * 100, 1)
+
+
+def fit_or_load(training: DataFrame, path: str | None = None, **options: int) -> Forecast:
+    """The forest saved at ``path`` and its fit on these days; fitted and saved if there is none."""
+    if path is not None and _exists(training.sparkSession, path):
+        model = load_forecast(path)
+        return Forecast(model, fit_percent(model, stage(training, "training")))
+    fitted = fit_forecast(training, **options)
+    if path is not None:
+        save_forecast(fitted.model, path)
+    return fitted
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/metadata")
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def r_squared(scored: DataFrame) -> DataFrame:
+    """One row: 1 - SSE / SST of predictions against labels."""
+    mean = scored.agg(F.avg(LABEL).alias("mean"))
+    error = F.sum((F.col(LABEL) - F.col("prediction")) ** 2)
+    spread = F.sum((F.col(LABEL) - F.col("mean")) ** 2)
+    return scored.withColumn("mean", mean.scalar()).agg((1 - error / spread).alias("r2"))
 
 
 def forecast(model: PipelineModel, weather: DataFrame, start: str | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ places each ride once.
 from __future__ import annotations
 
 from rideflow.functions.hexagons import CENTRE_LAT, CENTRE_LNG, EAST_M, NORTH_M, RADIUS_M
-from rideflow.plans.catalog import CURRENT_AFTER, DAY, PAST_AFTER, PAST_BEFORE, SERVED_DAYS
+from rideflow.plans.catalog import FORECAST_FROM, CURRENT_AFTER, DAY, PAST_AFTER, PAST_BEFORE, SERVED_DAYS
 
 _RIDES = """
 parts AS (
@@ -329,9 +329,10 @@ UNION SELECT * FROM rides WHERE start_station_id IS NOT NULL AND end_station_id
 copies AS (
   SELECT * FROM rides
   UNION ALL SELECT * REPLACE (ended_at + INTERVAL 1 MINUTE AS ended_at) FROM rides
+  UNION ALL SELECT * REPLACE (cast(NULL AS timestamp) AS started_at) FROM rides
 )
 SELECT * FROM copies
-QUALIFY row_number() OVER (PARTITION BY ride_id ORDER BY started_at, ended_at) = 1""",
+QUALIFY row_number() OVER (PARTITION BY ride_id ORDER BY started_at NULLS LAST, ended_at) = 1""",
         "rides_per_day": f"""{rides}
 SELECT cast(started_at AS date) AS date, count(*) AS count FROM rides GROUP BY ALL""",
         "ride_type_distribution": f"""{rides}
@@ -394,10 +395,20 @@ SELECT date, {", ".join(_MEASURES)}, count FROM training""",
         "training_split": f"""{training}
 SELECT date, count, CASE WHEN datediff('day', date '1970-01-01', date) % 5 = 0
                          THEN 'test' ELSE 'train' END AS part FROM training""",
+        "forecast_fit": f"""{training}
+SELECT date, CASE WHEN datediff('day', date '1970-01-01', date) % 5 = 0
+                  THEN 'test' ELSE 'train' END AS part, count, true AS plausible FROM training""",
+        "daily_forecast": f"""{weather}
+SELECT cast(datetime AS date) AS date, true AS plausible, true AS labelled FROM weather
+WHERE cast(datetime AS date) >= date '{FORECAST_FROM}'""",
+        "forecast_r2": f"{weather} SELECT cast(datetime AS date) AS date, true AS fits FROM weather",
+        "forecast_vs_actual": f"""{snaps}
+SELECT date, k, i + 1 AS completed, true AS adds_up FROM snaps""",
         "stream_clean": f"{_CLEAN_TABLE} FROM clean",
         "stream_to_table": table,
         "stream_weather_ingest": f"{weather} SELECT * REPLACE ({_FLOAT_WEATHER}) FROM weather",
-        "stream_dedup": f"{rides} SELECT * FROM rides",
+        "stream_dedup": f"""{rides} SELECT * REPLACE (
+  CASE WHEN cast(ride_id AS bigint) % 10 <> 0 THEN started_at END AS started_at) FROM rides""",
         "stream_hourly": f"""{priced} {hours} FROM priced
 WHERE start_station_id IS NOT NULL GROUP BY ALL""",
     }

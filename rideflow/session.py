@@ -5,10 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
+_RUN_FOLDER: ContextVar[str | None] = ContextVar("run_folder", default=None)
 
 
 def local_session(cpus: str | int = "*", app: str = "rideflow") -> SparkSession:
@@ -51,8 +55,28 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A path nobody else writes to; it lives as long as the checkpoint folder's contents do."""
-    return f"{shared_dir(spark)}/rideflow/{label}-{uuid.uuid4().hex}"
+    """A path nobody else writes to, in the folder of the run if there is one.
+
+    Otherwise it lives as long as the checkpoint folder's contents do.
+    """
+    parent = _RUN_FOLDER.get() or f"{shared_dir(spark)}/rideflow"
+    return f"{parent}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables made within go to one folder, which is removed at the end.
+
+    What is returned from within must have been written elsewhere by then.
+    """
+    path = f"{shared_dir(spark)}/rideflow/run-{uuid.uuid4().hex}"
+    token = _RUN_FOLDER.set(path)
+    try:
+        yield path
+    finally:
+        _RUN_FOLDER.reset(token)
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:

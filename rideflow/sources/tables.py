@@ -7,11 +7,13 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from rideflow.operators.cleaning import first_per_key, on_day, to_ride_table
+from rideflow.operators.cleaning import first_per_key, to_ride_table
 from rideflow.schemas import RIDE_TABLE, RIDE_TABLE_STORED, WEATHER_COLUMNS, WEATHER_TABLE
 
-# Keys of one batch are broadcast up to this number (a key is some 40 bytes).
-BROADCAST_KEYS = 1_000_000
+# Keys of one batch are broadcast up to so many bytes, 32 added to each.
+BROADCAST_BYTES = 64 << 20
+# Days of one batch that are looked up as constants; more are matched by a join.
+DAY_LIST = 400
 
 
 def _columns(schema: StructType) -> str:
@@ -35,8 +37,17 @@ def create_weather_table(spark: SparkSession, name: str, location: str | None =
     )
 
 
-def insert_by_name(spark: SparkSession, name: str, rows: DataFrame) -> None:
-    """Append ``rows`` to a catalog table, columns matched by name."""
+def insert_by_name(
+    spark: SparkSession, name: str, rows: DataFrame, key: str | None = None, order: Sequence[str] = ()
+) -> None:
+    """Append ``rows`` to a catalog table, columns matched by name.
+
+    With ``key`` a row is appended only if it has a key that is new, the first by ``order`` of
+    several.
+    """
+    if key is not None:
+        fresh = first_per_key(rows.filter(F.col(key).isNotNull()), key, order)
+        rows = fresh.join(spark.table(name).select(key), key, "left_anti")
     balanced = rows.hint("rebalance", "date") if "date" in rows.columns else rows
     spark.sql(f"INSERT INTO {name} BY NAME SELECT * FROM {{rows}}", rows=balanced)
 
@@ -50,6 +61,19 @@ def _stored(
     return spark.read.schema(schema).parquet(path)
 
 
+def _same_partitions(known: DataFrame, fresh: DataFrame, partition_by: str) -> DataFrame:
+    """Stored rows in the very partitions the new ones fall into, however far apart these are."""
+    parts = fresh.select(partition_by).distinct()
+    found = [r[0] for r in parts.limit(DAY_LIST + 1).collect()]
+    if len(found) > DAY_LIST:
+        same = F.col(partition_by).eqNullSafe(F.col("_part"))
+        return known.join(parts.withColumnRenamed(partition_by, "_part"), same, "left_semi")
+    # Constants, so that other partitions are not even listed.
+    column = F.col(partition_by)
+    listed = column.isin([x for x in found if x is not None])
+    return known.filter(listed | column.isNull() if None in found else listed)
+
+
 def append_unique(
     rows: DataFrame,
     path: str,
@@ -61,7 +85,7 @@ def append_unique(
     """Append the rows whose key is new, one per key; rows without a key are refused.
 
     By default the key is looked up in the whole table. With ``within_partition`` it is looked up
-    only in the range of partitions the rows fall into: right where copies of a row always share
+    only in the partitions the rows fall into: right where copies of a row always share
     its partition, and then the cost of an append no longer grows with the table.
 
     Appending the same rows again changes nothing, so a replayed micro-batch is harmless. One
@@ -71,15 +95,12 @@ def append_unique(
     fresh = first_per_key(rows.filter(F.col(key).isNotNull()), key, order).persist()
     try:
         known = _stored(spark, path, rows.schema, partition_by)
-        span = F.col(partition_by) if within_partition and partition_by else F.lit(None)
-        size = fresh.agg(
-            F.count("*").alias("rows"), F.min(span).alias("low"), F.max(span).alias("high")
-        ).first()
-        if size.low is not None:
-            # Constants, so that other partitions are not even listed.
-            known = known.filter(span.between(size.low, size.high) | span.isNull())
+        width = F.octet_length(F.col(key).cast("string")) + 32
+        size = fresh.agg(F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first().bytes
+        if within_partition and partition_by:
+            known = _same_partitions(known, fresh, partition_by)
         known = known.select(key)
-        if size.rows <= BROADCAST_KEYS:
+        if size <= BROADCAST_BYTES:
             # A pass over the stored keys without shuffling them; at most one hit per key.
             hits = known.join(F.broadcast(fresh.select(key)), key, "left_semi")
             new = fresh.join(F.broadcast(hits), key, "left_anti")
@@ -141,6 +162,6 @@ def first_days(weather: DataFrame, days: int) -> DataFrame:
 
 
 def read_day(spark: SparkSession, path: str, day: str) -> DataFrame:
-    """Rides of one day in start order; only that day's folder is read."""
+    """Rides of one day, by UTC, in start order; only that day's folder is read."""
     stored = read_ride_table(spark, path).filter(F.col("date") == F.lit(day).cast("date"))
-    return on_day(stored, day).orderBy("started_at", "ride_id")
+    return stored.orderBy("started_at", "ride_id")

@@ -49,14 +49,18 @@ def clean_stream(
     checkpoint: str,
     every: str | None = None,
     files_per_trigger: int | None = None,
+    to_partition: int | None = CLEAN_PARTITION,
 ) -> StreamingQuery:
-    """Raw ride messages in, cleaned ones with their duration out, on the other partition."""
+    """Raw ride messages in, cleaned ones with their duration out, on the other partition.
+
+    With ``to_partition`` None a Kafka target spreads them over all its partitions.
+    """
     partition = None if isinstance(source, dict) else RAW_PARTITION
     messages = stream_topic(spark, source, partition, files_per_trigger)
     clean = clean_ride_messages(clean_rides(parse_rides(messages)))
     # Batch ids count from 0 for each checkpoint; its name keeps two of them apart.
     sender = uuid.uuid5(uuid.NAMESPACE_URL, checkpoint).hex
-    return run(clean, batch_writer(target, CLEAN_PARTITION, sender), checkpoint, "append", every)
+    return run(clean, batch_writer(target, to_partition, sender), checkpoint, "append", every)
 
 
 def load_rides_stream(
@@ -93,22 +97,23 @@ def load_weather_stream(
     return run(days, table_writer(append_weather, table), checkpoint, "append", every)
 
 
-def dedup_rides(rides: DataFrame, delay: str = "2 days", salts: int = 16) -> DataFrame:
-    """Each ride once, if its copies arrive within ``delay`` of each other.
+def dedup_rides(rides: DataFrame, delay: str = "2 days", salts: int | None = None) -> DataFrame:
+    """Each ride once, if its copies reach the job within ``delay`` of each other.
 
-    State is kept for ``delay`` only, and a ride that comes later than that is dropped; the ride
-    table (:func:`load_rides_stream`) takes rides of any age and checks all its keys instead.
+    The clock is the job's own, the time of the micro-batch: no ride is ever late, however old its
+    start is, however the input is cut into batches, and with or without a start time. A key is
+    remembered for ``delay``.
 
-    Copies are first dropped within ``salts`` slices of the input, so that a ride sent very many
-    times reaches the task that owns its key at most ``salts`` times.
+    With ``salts`` copies are first dropped within so many slices of the input, at the price of a
+    second shuffle and state: a ride sent very many times then reaches the task that owns its key at
+    most ``salts`` times.
     """
-    keyed = rides.filter(F.col("ride_id").isNotNull()).withWatermark("started_at", delay)
-    sliced = keyed.withColumn("_slice", F.pmod(F.spark_partition_id(), F.lit(salts)))
-    return (
-        sliced.dropDuplicatesWithinWatermark(["ride_id", "_slice"])
-        .drop("_slice")
-        .dropDuplicatesWithinWatermark(["ride_id"])
-    )
+    seen = rides.filter(F.col("ride_id").isNotNull()).withColumn("_seen", F.current_timestamp())
+    keyed = seen.withWatermark("_seen", delay)
+    if salts is not None:
+        sliced = keyed.withColumn("_slice", F.pmod(F.spark_partition_id(), F.lit(salts)))
+        keyed = sliced.dropDuplicatesWithinWatermark(["ride_id", "_slice"]).drop("_slice")
+    return keyed.dropDuplicatesWithinWatermark(["ride_id"]).drop("_seen")
 
 
 def dedup_stream(
@@ -116,16 +121,17 @@ def dedup_stream(
     source: str | dict[str, str],
     target: str,
     checkpoint: str,
-    delay: str = "2 days",
     every: str | None = None,
     files_per_trigger: int | None = None,
+    delay: str = "2 days",
+    salts: int | None = None,
 ) -> StreamingQuery:
     """Raw ride messages in, each ride once out, as a Parquet folder."""
     partition = None if isinstance(source, dict) else RAW_PARTITION
     rides = parse_rides(stream_topic(spark, source, partition, files_per_trigger))
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return (
-        dedup_rides(rides, delay)
+        dedup_rides(rides, delay, salts)
         .writeStream.format("parquet")
         .outputMode("append")
         .option("path", target)
@@ -135,17 +141,7 @@ def dedup_stream(
     )
 
 
-def hourly_windows(rides: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Rides and revenue per tumbling hour and bike type, on batch or stream."""
-    known = rides.filter(F.col("rideable_type").isNotNull()).withWatermark("started_at", delay)
-    return (
-        known.groupBy(F.window("started_at", "1 hour"), "rideable_type")
-        .agg(
-            F.count("ride_id").alias("rides"),
-            F.coalesce(F.sum("revenue"), F.lit(0.0)).alias("revenue"),
-        )
-        .select(F.col("window.start").alias("hour"), "rideable_type", "rides", "revenue")
-    )
+HOURS = "hour timestamp, rideable_type string, rides long, revenue double"
 
 
 def hourly_stream(
@@ -153,36 +149,69 @@ def hourly_stream(
     source: str | dict[str, str],
     target: str,
     checkpoint: str,
-    delay: str = "1 day",
     every: str | None = None,
     files_per_trigger: int | None = None,
-    mode: str = "update",
+    delay: str = "2 days",
 ) -> StreamingQuery:
-    """Cleaned ride messages in, hourly figures out, one folder per micro-batch.
+    """Cleaned ride messages in, hourly figures out: what each micro-batch adds to its hours.
 
-    In update mode an hour is written again whenever it grows, so the newest hours show up at once;
-    in append mode it is written once, when the watermark has passed it, which keeps the folder of a
-    long-running job small. :func:`latest_hours` reads the current figures of either. A target
-    belongs to one checkpoint. Rides later than ``delay`` are not counted.
+    A ride counts once if its copies reach the job within ``delay`` of each other
+    (:func:`dedup_rides`). Counts and sums add up, so no hour is ever closed and no ride too late; a
+    batch that runs again replaces its own folder. :func:`latest_hours` adds the batches up,
+    :func:`fold_hours` replaces old ones by their sum. A target belongs to one checkpoint.
     """
     partition = None if isinstance(source, dict) else CLEAN_PARTITION
     messages = stream_topic(spark, source, partition, files_per_trigger)
     rides = parse_clean_rides(messages).withColumnRenamed("duration", "duration_seconds")
-    figures = hourly_windows(with_revenue(rides), delay)
 
     def write(rows: DataFrame, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        added = _summed(with_revenue(rows).select(
+            F.date_trunc("hour", "started_at").alias("hour"),
+            "rideable_type",
+            F.lit(1).alias("rides"),
+            "revenue",
+        ))
+        added.write.mode("overwrite").parquet(f"{target}/added/batch={batch_id}")
+
+    return run(dedup_rides(rides, delay), write, checkpoint, "append", every)
+
+
+def _summed(parts: DataFrame) -> DataFrame:
+    known = parts.filter(F.col("rideable_type").isNotNull() & F.col("hour").isNotNull())
+    return known.groupBy("hour", "rideable_type").agg(
+        F.sum("rides").cast("long").alias("rides"),
+        F.coalesce(F.sum("revenue"), F.lit(0.0)).alias("revenue"),
+    )
+
 
-    return run(figures, write, checkpoint, mode, every)
+def _parts(spark: SparkSession, target: str, upto: int | None = None) -> DataFrame:
+    """The newest folded sum and the batches after it, no further than ``upto``."""
+    none = spark.createDataFrame([], f"{HOURS}, upto long")
+    none.write.mode("ignore").partitionBy("upto").parquet(f"{target}/folded")
+    none.withColumnRenamed("upto", "batch").write.mode("ignore").partitionBy("batch").parquet(
+        f"{target}/added"
+    )
+    folded = spark.read.schema(f"{HOURS}, upto long").parquet(f"{target}/folded")
+    added = spark.read.schema(f"{HOURS}, batch long").parquet(f"{target}/added")
+    last = folded.agg(F.max("upto")).first()[0]
+    if last is not None:
+        folded, added = folded.filter(F.col("upto") == last), added.filter(F.col("batch") > last)
+    if upto is not None:
+        added = added.filter(F.col("batch") <= upto)
+    return folded.drop("upto").unionByName(added.drop("batch"))
 
 
 def latest_hours(spark: SparkSession, target: str) -> DataFrame:
-    """The last figures written for each hour and bike type."""
-    changes = spark.read.schema(
-        "hour timestamp, rideable_type string, rides long, revenue double, batch long"
-    ).parquet(target)
-    return (
-        changes.groupBy("hour", "rideable_type")
-        .agg(F.max(F.struct("batch", "rides", "revenue")).alias("last"))
-        .select("hour", "rideable_type", "last.rides", "last.revenue")
+    """The figures of each hour and bike type, over all batches so far."""
+    return _summed(_parts(spark, target))
+
+
+def fold_hours(spark: SparkSession, target: str, upto: int) -> None:
+    """Write the sum of all batches up to number ``upto``; readers then take it in their stead.
+
+    The batches stay where they are, so a reader that began before still finds them; their folders
+    may go once no such reader is left.
+    """
+    _summed(_parts(spark, target, upto)).write.mode("overwrite").parquet(
+        f"{target}/folded/upto={upto}"
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from rideflow.plans.catalog import QUERIES
+from rideflow.plans.oracles import oracles
 from tests.oracle import TESTDATA, connect, frame_rows, sql_rows
 
 FOLDER = f"{TESTDATA}/sf0.001"
@@ -12,6 +14,7 @@ SQL_TYPES = {
     "string": "VARCHAR",
     "bigint": "BIGINT",
     "int": "INTEGER",
+    "boolean": "BOOLEAN",
     "double": "DOUBLE",
     "date": "DATE",
     "timestamp_ntz": "TIMESTAMP",
@@ -39,13 +42,8 @@ def test_rides_come_in_start_order(spark, name):
     assert keys == sorted(keys) and len(keys) > 1
 
 
-def test_only_the_forecast_has_no_sql():
-    assert sorted(set(queries()) - set(oracle_sql())) == [
-        "daily_forecast",
-        "forecast_fit",
-        "forecast_r2",
-        "forecast_vs_actual",
-    ]
+def test_every_query_of_the_catalogue_has_sql():
+    assert set(QUERIES) == set(oracles())
 
 
 def test_entry_is_the_flagship(spark):

@@ -91,7 +91,7 @@ def test_table_keeps_one_row_per_key(spark, make_rides, tmp_path, monkeypatch):
     stored = tables.read_ride_table(spark, table)
     assert sorted(r.ride_id for r in stored.collect()) == ["a", "b", "c"]
     # The same without broadcasting the batch's keys.
-    monkeypatch.setattr(tables, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(tables, "BROADCAST_BYTES", -1)
     tables.append_rides(clean_rides(make_rides({"ride_id": "c"}, {"ride_id": "d"})), table)
     stored = tables.read_ride_table(spark, table)
     assert sorted(r.ride_id for r in stored.collect()) == ["a", "b", "c", "d"]
@@ -103,8 +103,8 @@ def test_keys_of_resent_rides_are_looked_up_in_their_day(spark, make_rides, tmp_
     sent = make_rides(
         {"ride_id": "a", "started_at": first}, {"ride_id": "b", "started_at": second}
     )
-    for keys in (tables.BROADCAST_KEYS, 0):
-        monkeypatch.setattr(tables, "BROADCAST_KEYS", keys)
+    for keys in (tables.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(tables, "BROADCAST_BYTES", keys)
         tables.append_rides(clean_rides(sent), table, resent_unchanged=True)
         tables.append_rides(clean_rides(sent.limit(1)), table, resent_unchanged=True)
     stored = tables.read_ride_table(spark, table)
@@ -154,3 +154,56 @@ def test_catalog_tables_are_created_once(spark, make_rides, tmp_path):
     tables.create_ride_table(spark, name, location)
     assert spark.table(name).drop("date").first().ride_id == "r00000"
     spark.sql(f"DROP TABLE {name}")
+
+
+def test_catalog_tables_may_have_a_key(spark, make_rides, tmp_path):
+    name = "rides_with_a_key"
+    tables.create_ride_table(spark, name, str(tmp_path / "rides"))
+    first = make_rides({"ride_id": "a"}, {"ride_id": "a", "started_at": None}, {"ride_id": None})
+    again = make_rides({"ride_id": "a", "seconds": 60}, {"ride_id": "b"})
+    for rides in (first, again, again):
+        rows = to_ride_table(clean_rides(rides))
+        tables.insert_by_name(spark, name, rows, "ride_id", ["started_at"])
+    stored = sorted((r.ride_id, r.duration) for r in spark.table(name).collect())
+    assert stored == [("a", 600.0), ("b", 600.0)]
+    spark.sql(f"DROP TABLE {name}")
+
+
+def test_a_copy_without_start_time_never_wins(spark, make_rides, tmp_path):
+    table = str(tmp_path / "rides")
+    at = dt.datetime(2024, 1, 5, 9)
+    rides = make_rides({"ride_id": "a", "started_at": None}, {"ride_id": "a", "started_at": at})
+    tables.append_rides(clean_rides(rides), table)
+    assert tables.read_ride_table(spark, table).first().started_at == at
+
+
+def test_days_are_those_of_utc_in_any_session(spark, make_rides, tmp_path):
+    table = str(tmp_path / "rides")
+    hours = [dt.datetime(2024, 1, 5) + dt.timedelta(hours=h) for h in range(-3, 27)]
+    rides = make_rides(*[{"ride_id": f"{i:02d}", "started_at": t} for i, t in enumerate(hours)])
+    seen = []
+    try:
+        for number, zone in enumerate(("UTC", "America/New_York", "Asia/Tokyo")):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            tables.append_rides(clean_rides(rides), f"{table}{number}")
+            for other in ("UTC", "America/New_York"):
+                spark.conf.set("spark.sql.session.timeZone", other)
+                day = tables.read_day(spark, f"{table}{number}", "2024-01-05")
+                seen.append([r.ride_id for r in day.collect()])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert len(seen[0]) == 24 and all(s == seen[0] for s in seen)
+
+
+def test_only_the_days_of_a_batch_are_looked_up(spark, make_rides, tmp_path, monkeypatch):
+    table = str(tmp_path / "rides")
+    days = [dt.datetime(2024, 1, d, 9) for d in range(1, 29)]
+    rides = make_rides(*[{"ride_id": str(i), "started_at": t} for i, t in enumerate(days)])
+    tables.append_rides(clean_rides(rides), table)
+    fresh = to_ride_table(
+        clean_rides(make_rides({"started_at": days[0]}, {"started_at": days[-1]}))
+    )
+    for listed in (tables.DAY_LIST, 1):
+        monkeypatch.setattr(tables, "DAY_LIST", listed)
+        known = tables._same_partitions(tables.read_ride_table(spark, table), fresh, "date")
+        assert sorted(r.ride_id for r in known.collect()) == ["0", "27"]

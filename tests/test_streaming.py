@@ -142,16 +142,46 @@ def test_hours_grow_with_late_rides(spark, make_rides, paths):
     assert got[at, "classic_bike"] == (2, 3.0)
 
 
-def test_append_mode_writes_an_hour_once_it_is_over(spark, make_rides, paths):
-    at = dt.datetime(2024, 1, 5, 9)
-    done = make_rides({"started_at": at}, {"started_at": at + dt.timedelta(minutes=5)})
-    send_clean(done, paths["topic"])
-    send_clean(make_rides({"started_at": at + dt.timedelta(days=3)}), paths["topic"], batch=1)
+@pytest.mark.parametrize("files", [None, 1, 3])
+def test_no_ride_is_too_late_however_the_input_is_cut(spark, make_rides, paths, files):
+    """Six files that each span two months, copies in other files, rides without a start."""
+    at = dt.datetime(2024, 1, 1, 9)
+    rides = [
+        {"ride_id": str(i), "started_at": None if i % 9 == 0 else at + dt.timedelta(hours=i * 37 % 1440)}
+        for i in range(90)
+    ]
+    for batch in range(6):
+        mine = [r for i, r in enumerate(rides) if (i * 5 + batch) % 6 < 2]
+        send(make_rides(*mine).coalesce(1), paths["topic"], batch=batch)
+        send_clean(make_rides(*mine).coalesce(1), paths["topic"], batch)
+    jobs.dedup_stream(
+        spark, paths["topic"], paths["out"], paths["check"], files_per_trigger=files
+    ).awaitTermination()
+    got = sorted(int(r.ride_id) for r in spark.read.parquet(paths["out"]).collect())
+    assert got == list(range(90))
     jobs.hourly_stream(
-        spark, paths["topic"], paths["out"], paths["check"], mode="append"
+        spark, paths["topic"], paths["table"], paths["check2"], files_per_trigger=files
+    ).awaitTermination()
+    batch = hourly(with_revenue(with_duration(make_rides(*rides))))
+    want = {(r.hour, r.rideable_type): (r.rides, round(r.revenue, 6)) for r in batch.collect()}
+
+    def hours():
+        found = jobs.latest_hours(spark, paths["table"]).collect()
+        return {(r.hour, r.rideable_type): (r.rides, round(r.revenue, 6)) for r in found}
+
+    assert hours() == want
+    for upto in (0, 1, 0):
+        jobs.fold_hours(spark, paths["table"], upto)
+        assert hours() == want
+
+
+def test_slices_are_an_option(spark, make_rides, paths):
+    rides = make_rides(*[{"ride_id": f"r{i % 7}"} for i in range(70)]).repartition(4)
+    send(rides, paths["topic"])
+    jobs.dedup_stream(
+        spark, paths["topic"], paths["out"], paths["check"], salts=4
     ).awaitTermination()
-    hours = jobs.latest_hours(spark, paths["out"]).collect()
-    assert [(r.hour, r.rides) for r in hours] == [(at, 2)]
+    assert spark.read.parquet(paths["out"]).count() == 7
 
 
 def test_weather_stream_keeps_one_row_per_day(spark, paths):
