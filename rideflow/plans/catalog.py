@@ -554,13 +554,17 @@ def stream_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def stream_to_table(spark: SparkSession, folder: str) -> DataFrame:
-    """Every ride is sent twice, in two batches; the table keeps one."""
-    topic, table = _clean_topic(spark, folder), scratch_path(spark, "ride-table")
+    """Every ride is sent again a day later, over several micro-batches; the table keeps the first."""
+    topic, table = scratch_path(spark, "rides-topic"), scratch_path(spark, "ride-table")
     checkpoint = _checkpoint(spark)
-    jobs.load_rides_stream(spark, topic, table, checkpoint).awaitTermination()
     clean = cleaning.clean_rides(star.rides(spark, folder))
-    topics.publish(topics.clean_ride_messages(clean), topic, topics.CLEAN_PARTITION, batch=1)
-    jobs.load_rides_stream(spark, topic, table, checkpoint).awaitTermination()
+    later = clean.withColumn("started_at", F.expr("started_at + interval 1 day"))
+    for batch, rides in enumerate((clean, later)):
+        messages = topics.clean_ride_messages(rides.repartition(2, F.xxhash64("ride_id")))
+        topics.publish(messages, topic, topics.CLEAN_PARTITION, batch)
+        jobs.load_rides_stream(
+            spark, topic, table, checkpoint, files_per_trigger=1
+        ).awaitTermination()
     return cleaning.with_coordinates(tables.read_ride_table(spark, table))
 
 

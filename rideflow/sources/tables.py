@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from rideflow.operators.cleaning import first_per_key, to_ride_table
@@ -14,6 +14,8 @@ from rideflow.schemas import RIDE_TABLE, RIDE_TABLE_STORED, WEATHER_COLUMNS, WEA
 BROADCAST_BYTES = 64 << 20
 # Days of one batch that are looked up as constants; more are matched by a join.
 DAY_LIST = 400
+# Buckets of the key table; a batch reads those its keys fall into.
+KEY_BUCKETS = 1024
 
 
 def _columns(schema: StructType) -> str:
@@ -74,6 +76,39 @@ def _same_partitions(known: DataFrame, fresh: DataFrame, partition_by: str) -> D
     return known.filter(listed | column.isNull() if None in found else listed)
 
 
+def _bucket(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int")
+
+
+def _key_table(spark: SparkSession, path: str, stored: DataFrame, key: str, part: str) -> DataFrame:
+    """Keys of the table at ``path`` with their partition, laid out by hash beside it.
+
+    It is made from the table itself if it isn't there yet.
+    """
+    place = f"{path.rstrip('/')}_keys"
+    rows = stored.select(key, part).withColumn("bucket", _bucket(key))
+    rows.hint("rebalance", "bucket").write.mode("ignore").partitionBy("bucket").parquet(place)
+    return spark.read.schema(rows.schema).parquet(place)
+
+
+def _write_keys(path: str, rows: DataFrame, key: str, part: str) -> None:
+    bucketed = rows.select(key, part).withColumn("bucket", _bucket(key))
+    bucketed.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(
+        f"{path.rstrip('/')}_keys"
+    )
+
+
+def _stored_keys(known: DataFrame, keys: DataFrame, fresh: DataFrame, key: str, part: str) -> DataFrame:
+    """Stored rows that may share a key with ``fresh``.
+
+    Only the buckets of the new keys are read, and only the partitions that these say the keys are
+    in. A key whose row isn't in its partition was written by an append that failed before its rows.
+    """
+    buckets = [r[0] for r in fresh.select(_bucket(key).alias("b")).distinct().collect()]
+    mine = keys.filter(F.col("bucket").isin(buckets)) if len(buckets) < KEY_BUCKETS else keys
+    return _same_partitions(known, mine.join(fresh.select(key), key, "left_semi"), part)
+
+
 def append_unique(
     rows: DataFrame,
     path: str,
@@ -84,9 +119,10 @@ def append_unique(
 ) -> None:
     """Append the rows whose key is new, one per key; rows without a key are refused.
 
-    By default the key is looked up in the whole table. With ``within_partition`` it is looked up
-    only in the partitions the rows fall into: right where copies of a row always share
-    its partition, and then the cost of an append no longer grows with the table.
+    A table with partitions has a narrow table of its keys beside it, in buckets by hash: an append
+    reads the buckets of its keys and the partitions of those it finds there. With
+    ``within_partition`` keys are looked up in the partitions of the rows themselves: right where
+    copies of a row always share its partition. A table without partitions is read whole.
 
     Appending the same rows again changes nothing, so a replayed micro-batch is harmless. One
     writer per table at a time, as with any primary key that is checked before it is written.
@@ -99,6 +135,9 @@ def append_unique(
         size = fresh.agg(F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first().bytes
         if within_partition and partition_by:
             known = _same_partitions(known, fresh, partition_by)
+        elif partition_by:
+            keys = _key_table(spark, path, known, key, partition_by)
+            known = _stored_keys(known, keys, fresh, key, partition_by)
         known = known.select(key)
         if size <= BROADCAST_BYTES:
             # A pass over the stored keys without shuffling them; at most one hit per key.
@@ -109,6 +148,8 @@ def append_unique(
         if partition_by is None:
             new.write.mode("append").parquet(path)
         else:
+            # Keys first: should the append fail in between, they point to rows that aren't there.
+            _write_keys(path, new, key, partition_by)
             # Rebalancing gathers a day into few files, but splits a day that is too large.
             new.hint("rebalance", partition_by).write.mode("append").partitionBy(
                 partition_by

@@ -207,3 +207,32 @@ def test_only_the_days_of_a_batch_are_looked_up(spark, make_rides, tmp_path, mon
         monkeypatch.setattr(tables, "DAY_LIST", listed)
         known = tables._same_partitions(tables.read_ride_table(spark, table), fresh, "date")
         assert sorted(r.ride_id for r in known.collect()) == ["0", "27"]
+
+
+def test_an_append_reads_the_buckets_of_its_keys(spark, make_rides, tmp_path):
+    table = str(tmp_path / "rides")
+    days = [dt.datetime(2024, 1, d, 9) for d in range(1, 29)]
+    rides = make_rides(*[{"ride_id": str(i), "started_at": t} for i, t in enumerate(days)])
+    tables.append_rides(clean_rides(rides), table)
+    moved = to_ride_table(clean_rides(make_rides({"ride_id": "3", "started_at": days[20]})))
+    stored = tables.read_ride_table(spark, table)
+    keys = tables._key_table(spark, table, stored, "ride_id", "date")
+    assert keys.count() == 28
+    found = tables._stored_keys(stored, keys, moved, "ride_id", "date")
+    assert [r.ride_id for r in found.collect()] == ["3"]
+    bucket = moved.select(tables._bucket("ride_id")).first()[0]
+    plan = keys.filter(F.col("bucket").isin([bucket]))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan
+    assert "PartitionFilters: [isnotnull(date" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keys_without_rows_are_no_keys(spark, make_rides, tmp_path):
+    """An append that failed between its keys and its rows is made good by the next one."""
+    table = str(tmp_path / "rides")
+    tables.append_rides(clean_rides(make_rides({"ride_id": "a"})), table)
+    lost = to_ride_table(clean_rides(make_rides({"ride_id": "b"})))
+    tables._write_keys(table, lost, "ride_id", "date")
+    for _ in range(2):
+        tables.append_rides(clean_rides(make_rides({"ride_id": "b"}, {"ride_id": "a"})), table)
+    stored = tables.read_ride_table(spark, table)
+    assert sorted(r.ride_id for r in stored.collect()) == ["a", "b"]
