@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,8 @@ from rideflow.llm.common import documents
 
 MARK = "▁"
 # Distinct words whose ids a worker keeps; beyond it the worker starts anew.
-KNOWN_WORDS = 300_000
-_SLICE = 1 << 20
+KNOWN_WORDS = 600_000
+_SLICE = 4 << 20
 _UNIGRAM, _BPE = 1, 2
 _NORMAL, _UNKNOWN, _CONTROL, _OWN, _BYTE = 1, 2, 3, 4, 6
 
@@ -148,43 +149,48 @@ class Codec:
         self.known: dict[str, bytes] = {}
         self.wrong: dict[str, tuple[bool, bool]] = {}
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: set[str]) -> None:
         """Encode new words in one batch, on all threads, and verify them."""
         if len(self.known) > KNOWN_WORDS:
             self.known.clear()
             self.wrong.clear()
-        new = [w for w in words if w not in self.known]
+        new = list(words.difference(self.known))
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        for word, x in zip(new, ids):
-            self.known[word] = np.array(x, "<u4").tobytes()
+        self.known.update(zip(new, [array("I", x).tobytes() for x in ids]))
         if self.native is not None:
             again = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
-            for word, x, y, back in zip(new, ids, self._theirs(new), again):
-                if x != y or back != word.replace(MARK, " "):
-                    self.wrong[word] = (x == y, back == word.replace(MARK, " "))
+            plain = [w.replace(MARK, " ") for w in new]
+            theirs = self._theirs(new)
+            if ids != theirs or again != plain:
+                for word, *pairs in zip(new, zip(ids, theirs), zip(again, plain)):
+                    same = tuple(a == b for a, b in pairs)
+                    if not all(same):
+                        self.wrong[word] = same
 
     def _theirs(self, words: list[str]) -> list[list[int]]:
         """The sentencepiece library's ids of words, each in a text of its own."""
-        if not self.normaliser.by_line or not self.normaliser.prefix:
-            return self.native.encode([w.removeprefix(self.normaliser.prefix) for w in words])
-        # A marked word follows the prefix, any other one a line end; another line end follows both.
-        texts = [(w[1:] if w.startswith(MARK) else "\n" + w) + "\n" for w in words]
+        prefix = self.normaliser.prefix
+        alone = [w[1:] if w.startswith(MARK) else None for w in words]
+        if not self.normaliser.by_line or not prefix:
+            return self.native.encode([w.removeprefix(prefix) for w in words])
+        found = self.native.encode([t or "" for t in alone], num_threads=self.threads)
+        # A word without a mark, or a mark without a word, needs line ends around it.
+        others = [i for i, t in enumerate(alone) if not t]
         first = self.native.encode("\n")
-        found = self.native.encode(texts, num_threads=self.threads)
-        last = len(first) - 1
-        return [
-            x[0 if w.startswith(MARK) else len(first) : len(x) - last] for w, x in zip(words, found)
-        ]
+        texts = ["\n" * (alone[i] is None) + (words[i] if alone[i] is None else "") + "\n" for i in others]
+        for i, x in zip(others, self.native.encode(texts, num_threads=self.threads)):
+            found[i] = x[len(first) if alone[i] is None else 0 : len(x) - len(first) + 1]
+        return found
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, int, bool, bool]]:
         """Unsigned little-endian 32-bit ids of each text, words, parity, whether it decodes."""
         split = [self.normaliser.words(self.normaliser(t)) for t in texts]
-        self.learn(list(set().union(*split)))
-        known, wrong = self.known, self.wrong
+        self.learn(set().union(*split))
+        known, wrong = self.known.__getitem__, self.wrong
         out = []
         for words in split:
             bad = [wrong[w] for w in words if w in wrong] if wrong else []
-            ids = b"".join([known[w] for w in words])
+            ids = b"".join(map(known, words))
             out.append((ids, len(words), all(a for a, _ in bad), all(b for _, b in bad)))
         return out
 
