@@ -17,10 +17,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rideflow.llm.common import small_side, words
 
 BUCKETS = 1 << 18
-SMOOTHING = 0.5
+# Pseudo-counts of every bucket in both multinomials.
+SMOOTHING = 8.0
 # Ratios are whole thousandths: two bytes a bucket, and sums that are exact.
 SCALE = 1000
-LOWEST_SCORE = -0.25
+LOWEST_SCORE = -0.15
 SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
 
@@ -127,13 +128,11 @@ def log_ratios(
         F.sum("n").alias("n"),
         F.sum("t").alias("t"),
     )
-    extra = SMOOTHING * BUCKETS
+    # Both multinomials are smoothed alike, the overall counts scaled to the trusted total: an n-gram
+    # that is rare tells little, whether trusted documents happen to have it or not.
+    share = F.col("t") / F.col("n")
     ratio = lambda x: F.round(
-        SCALE
-        * (
-            F.log((x["t"] + SMOOTHING) / (F.col("t") + extra))
-            - F.log((x["n"] + SMOOTHING) / (F.col("n") + extra))
-        )
+        SCALE * F.log((x["t"] + SMOOTHING) / (x["n"] * share + SMOOTHING))
     ).cast("smallint")
     zero = lambda x: F.lit(0).cast("smallint")
     return one.select(
