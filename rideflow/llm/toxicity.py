@@ -2,7 +2,7 @@
 
 Labels are known for whole documents only, so words are labelled first: a word of a toxic document is
 toxic if it, or one of its beginnings, is found in toxic documents after many different words and in
-clean ones hardly ever; copies of one text thus lend no weight. The field has two states; a word's
+clean ones hardly ever; copies of one text thus lend little weight. The field has two states; a word's
 evidence is the sum of weights of its hashed features, neighbouring states are tied by transition
 weights, and both are fitted by the gradient of the conditional likelihood, which forward-backward
 gives. In a text the same recursion gives every word's marginal probability of being toxic. A
@@ -28,14 +28,17 @@ from pyspark.sql import DataFrame, functions as F
 from rideflow.llm.common import in_fold
 
 FOLDS = 5
-SAMPLE = 3000
+SAMPLE = 2000
 SAMPLE_CHARS = 20_000
 FEATURES = 1 << 18
+_MARKS = 1 << 22
 WINDOW = 64
 MOST_WINDOWS = 16_000
 ROUNDS = 80
+# Words whose evidence a worker keeps; beyond it the worker starts anew.
+KNOWN_WORDS = 300_000
 RATIO = 10.0
-_SLICE = 8 << 20
+_SLICE = 4 << 20
 _NO_WORD = re.compile(r"^\W+|\W+$")
 
 
@@ -45,8 +48,9 @@ def features(word: str) -> list[str]:
     return [f"={bare}", *(f"{n}{bare[:n]}" for n in range(3, 7) if len(bare) >= n)]
 
 
-def buckets(word: str) -> list[int]:
-    return [zlib.crc32(f.encode()) % FEATURES for f in features(word)]
+def codes(word: str) -> list[int]:
+    """Hashes of the word's features."""
+    return [zlib.crc32(f.encode()) for f in features(word)]
 
 
 @dataclass
@@ -59,23 +63,25 @@ class Field:
     logistic: np.ndarray
 
 
-def _toxic_features(texts: list[list[str]], toxic: list[bool]) -> set[str]:
-    """Features with support from toxic documents and next to none from clean ones."""
-    seen: dict[str, list[set[int]]] = {}
-    totals = [1, 1]
-    for words, label in zip(texts, toxic):
-        totals[label] += len(words)
-        before = 0
-        for word in words:
-            for f in features(word):
-                seen.setdefault(f, [set(), set()])[label].add(before)
-            before = zlib.crc32(word.encode())
-    least = max(3, sum(toxic) // 200)
-    return {
-        f
-        for f, (clean, bad) in seen.items()
-        if len(bad) >= least and len(bad) / totals[1] >= RATIO * (len(clean) + 1) / totals[0]
-    }
+def _toxic_words(
+    coded: list[np.ndarray], toxic: list[bool], owner: np.ndarray, code: np.ndarray, size: int
+) -> np.ndarray:
+    """Which of ``size`` words are toxic: some feature of theirs has support from toxic documents
+    and next to none from clean ones. Each pair of a word and its predecessor counts once."""
+    pairs: list[list[np.ndarray]] = [[], []]
+    for words, label in zip(coded, toxic):
+        before = np.concatenate([[-1], words[:-1]]) if len(words) else words
+        pairs[label].append((before + 1) * size + words)
+    seen, totals = [], []
+    for part in pairs:
+        distinct = np.unique(np.concatenate(part))
+        by_word = np.bincount(distinct % size, minlength=size)
+        seen.append(np.bincount(code % _MARKS, by_word[owner], minlength=_MARKS))
+        totals.append(sum(map(len, part)) + 1)
+    clean, bad = seen
+    marked = bad >= max(3, sum(toxic) // 200)
+    marked &= bad / totals[1] >= RATIO * (clean + 1) / totals[0]
+    return np.bincount(owner, marked[code % _MARKS], minlength=size) > 0
 
 
 def _forward_backward(odds: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,15 +101,16 @@ def fit(texts: list[str], toxic: list[bool], prior: float) -> Field | None:
     """The field for sample texts with labels; ``prior`` is the share of toxic documents at large."""
     if not any(toxic) or all(toxic):
         return None
-    split = [t.split() for t in texts]
-    marked = _toxic_features(split, toxic)
     ids: dict[str, int] = {}
-    coded = [np.array([ids.setdefault(w, len(ids)) for w in s], np.int64) for s in split]
+    coded = [np.array([ids.setdefault(w, len(ids)) for w in t.split()], np.int64) for t in texts]
     names = list(ids)
-    bad_word = np.array([any(f in marked for f in features(w)) for w in names], bool)
-    hashed = [buckets(w) for w in names]
+    hashed = [codes(w) for w in names]
     owner = np.repeat(np.arange(len(names)), [len(h) for h in hashed])
-    flat = np.array([b for h in hashed for b in h], np.int64)
+    code = np.array([c for h in hashed for c in h], np.int64)
+    if not len(code):
+        return None
+    bad_word = _toxic_words(coded, toxic, owner, code, len(names))
+    flat = code % FEATURES
 
     rows, labels = [], []
     for words, label in zip(coded, toxic):
@@ -152,7 +159,9 @@ def fit(texts: list[str], toxic: list[bool], prior: float) -> Field | None:
             )
         weights, bias, moves = weights + moved[0], bias + moved[1][0], moves + moved[2]
     field = Field(weights.astype(np.float32), float(bias), moves, np.zeros(3))
-    seen = np.array([summary(p) for p in Reader(field).marginals([t.encode() for t in texts])])
+    reader, raw = Reader(field), [t.encode() for t in texts]
+    parts = [reader.marginals(raw[at : at + 500]) for at in range(0, len(raw), 500)]
+    seen = np.array([summary(p) for part in parts for p in part])
     field.logistic = _logistic(seen, np.array(toxic, float), prior)
     return field
 
@@ -189,10 +198,10 @@ class Reader:
         try:
             return [known[w] for w in words]
         except KeyError:
-            if len(known) > 1_000_000:
+            if len(known) > KNOWN_WORDS:
                 known.clear()
             for w in set(words).difference(known):
-                at = buckets(w.decode("utf-8", "replace"))
+                at = [c % FEATURES for c in codes(w.decode("utf-8", "replace"))]
                 known[w] = self.field.bias + float(self.field.weights[at].sum())
             return [known[w] for w in words]
 
