@@ -9,7 +9,8 @@ and what is to be learnt of an assistant's turn is its text with the closing mar
 
 A conversation is laid out in parts of ``PART`` turn numbers, so one that holds a large share of all
 rows is rendered by many tasks; a part is a row. Within a part the turns come in order of turn, role
-and text; a turn number with more than ``MOST_ROWS`` rows is first dealt by a hash of role and text. A null role counts as ``unknown``, a null text as empty, a null turn comes first; rows
+and text; a turn number with more than ``MOST_ROWS`` rows is first dealt by a hash of role and text.
+A null role counts as ``unknown``, a null text as empty, a null turn comes first; rows
 without a conversation are a conversation of their own, with a null id. Repeated rows are repeated
 turns. Markers within a text have their bar doubled, so no text can end its turn; white space and
 ``>`` in a name become ``_``. An empty table gives no rows, other columns are no matter.

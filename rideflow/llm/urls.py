@@ -97,18 +97,21 @@ def _filter(encoded: DataFrame, number: int, size: int) -> Level:
     at = encoded.select(
         F.explode(
             F.transform(
-                F.sequence(F.lit(0), F.lit(probes - 1)), lambda p: _bit(F.col("key"), number, p, bits)
+                F.sequence(F.lit(0), F.lit(probes - 1)),
+                lambda p: _bit(F.col("key"), number, p, bits),
             )
         ).alias("at")
     )
     place = F.col("at").bitwiseAND(F.lit(63)).cast("int")
-    mine = at.select(
-        F.shiftright("at", 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), place).alias("b")
+    one_bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), place)
+    mine = at.select(F.shiftright("at", 6).alias("w"), one_bit.alias("b"))
+    every = encoded.sparkSession.range(bits // 64).select(
+        F.col("id").alias("w"), F.lit(0).cast("bigint").alias("b")
     )
-    every = encoded.sparkSession.range(bits // 64).select(F.col("id").alias("w"), F.lit(0).cast("bigint").alias("b"))
     words = mine.unionByName(every).groupBy("w").agg(F.bit_or("b").alias("b"))
     one = words.agg(F.array_sort(F.collect_list(F.struct("w", "b"))).alias("x"))
-    return Level(stage(one.select(F.transform("x", lambda s: s["b"]).alias("words")), "bloom"), number, bits, probes)
+    written = stage(one.select(F.transform("x", lambda s: s["b"]).alias("words")), "bloom")
+    return Level(written, number, bits, probes)
 
 
 def _passes(key: Column, level: Level, words: Column) -> Column:
@@ -117,7 +120,8 @@ def _passes(key: Column, level: Level, words: Column) -> Column:
     def found(probe: Column) -> Column:
         at = _bit(key, level.number, probe, level.bits)
         word = F.get(words, F.shiftright(at, 6).cast("int"))
-        return F.call_function("shiftright", word, at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+        place = at.bitwiseAND(F.lit(63)).cast("int")
+        return F.call_function("shiftright", word, place).bitwiseAND(F.lit(1)) == 1
 
     return F.forall(F.sequence(F.lit(0), F.lit(level.probes - 1)), found)
 
@@ -142,7 +146,7 @@ def listed(key: Column, levels: list[Level]) -> Column:
 
 
 def cascade(universe: DataFrame) -> list[Level] | None:
-    """Filters for a written table of distinct ``key`` and ``listed``; None if they'd be too large."""
+    """Filters for a written table of ``key`` and ``listed``; None if they'd be too large."""
     encoded, others = universe.where("listed"), universe.where("not listed")
     levels: list[Level] = []
     while size := encoded.count():
@@ -170,7 +174,9 @@ def judge(
     split = urls.select("page_id", *(c.alias(n) for n, c in parts(F.col("__url")).items()))
     keyed = split.withColumn("__keys", keys(F.col("host"), F.col("path"), lengths))
     is_rule = lambda k: k.isin(*verdicts)
-    named = lambda k: ~F.contains(k, F.lit("/")) & F.split_part(k, F.lit("."), F.lit(1)).isin(*names)
+    named = lambda k: (
+        ~F.contains(k, F.lit("/")) & F.split_part(k, F.lit("."), F.lit(1)).isin(*names)
+    )
     universe = stage(
         keyed.select(F.explode("__keys").alias("key")).distinct().withColumn(
             "listed", is_rule(F.col("key")) | named(F.col("key"))
@@ -188,7 +194,11 @@ def judge(
     table = F.create_map(*(F.lit(x) for pair in rules for x in pair))
     own = F.when(F.size("__found") > 0, F.lit("block")).otherwise(F.lit("allow"))
     return found.withColumn("rule", rule).select(
-        "page_id", "host", "path", "rule", F.coalesce(F.element_at(table, F.col("rule")), own).alias("verdict")
+        "page_id",
+        "host",
+        "path",
+        "rule",
+        F.coalesce(F.element_at(table, F.col("rule")), own).alias("verdict"),
     )
 
 
@@ -197,7 +207,9 @@ def _joined(keyed: DataFrame, universe: DataFrame) -> DataFrame:
     hosts = keyed.select("host", "path", "__keys").distinct()
     pairs = hosts.select("host", "path", F.posexplode("__keys").alias("at", "key"))
     hits = pairs.join(universe.where("listed").select("key"), "key")
-    lists = hits.groupBy("host", "path").agg(F.array_sort(F.collect_list(F.struct("at", "key"))).alias("x"))
+    lists = hits.groupBy("host", "path").agg(
+        F.array_sort(F.collect_list(F.struct("at", "key"))).alias("x")
+    )
     none = F.array().cast("array<string>")
     found = F.coalesce(F.transform("x", lambda s: s["key"]), none)
     return keyed.join(lists, ["host", "path"], "left").withColumn("__found", found)
