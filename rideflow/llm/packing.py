@@ -15,11 +15,13 @@ are settled by the order of id, start and checksum. An empty table gives no piec
 from __future__ import annotations
 
 import heapq
+import os
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from rideflow.llm.common import documents
@@ -29,10 +31,9 @@ CAPACITY = 4096
 PIECE = 512
 WINDOWS = 512
 END_ID = 2
-# Distinct words whose ids a worker keeps; beyond it the worker starts anew.
-KNOWN_WORDS = 400_000
-_SLICE = 1 << 21
-_TOGETHER = 500
+_SLICE = 6 << 20
+_TOGETHER = 200
+_BATCH = 50
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 _PLACED = (
@@ -41,70 +42,87 @@ _PLACED = (
 )
 
 
+# Small letters of ASCII and Latin-1, which no normalising changes, then any ASCII punctuation but
+# for that of contractions and of the tokenizer's own marks.
+_STOP = r"[!-&(-/:;=?@\[-`{}~]"
+_PLAIN = rf"^[a-zß-öø-ÿ]+{_STOP}*$"
+
+
 class WordEncoder:
-    """Ids of whole texts, word by word.
+    """Ids of whole texts, each distinct word of a batch encoded once.
 
     The tokenizer lowers case, drops white space and lets no token cross it, so the ids of a text are
-    those of its words in order; a word met before is looked up. A word of letters and the commas or
-    stops after it are separate, too. Words of letters alone are one unit for the tokenizer, the last
-    of its ids marks the end, so many new ones are encoded as one text.
+    those of its words in order. Plain words, one unit or two with their punctuation, need no
+    normalising, and the last id of each unit marks its end: many of them are encoded as one text.
+    All other words go through the tokenizer as it is.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        ends = [t for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence(
+            [
+                pre_tokenizers.WhitespaceSplit(),
+                pre_tokenizers.Punctuation("contiguous"),
+                pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
+            ]
+        )
+        ends = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.last[[self.tokenizer.token_to_id(t) for t in ends]] = True
-        self.known: dict[bytes, bytes] = {}
-
-    def _add(self, words: list[bytes]) -> None:
-        """Words one by one, in a batch."""
-        texts = [w.decode("utf-8", "replace") for w in words]
-        for word, x in zip(words, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            self.known[word] = np.array(x.ids, "<u4").tobytes()
-
-    def _add_letters(self, words: list[bytes]) -> None:
-        """Words of letters alone, many as one text."""
-        for at in range(0, len(words), _TOGETHER):
-            part = words[at : at + _TOGETHER]
-            text = b" ".join(part).decode()
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) != len(part):
-                self._add(part)
-                continue
-            data, starts = ids.tobytes(), [0, *(4 * ends[:-1]).tolist()]
-            for word, a, b in zip(part, starts, (4 * ends).tolist()):
-                self.known[word] = data[a:b]
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) > KNOWN_WORDS:
-            self.known.clear()
-        known = self.known
-        letters, pairs, others = set(), [], []
-        for word in words.difference(known):
-            bare = word[:-1] if word[-1:] in (b",", b".") else word
-            # A small letter may be a letter and a mark.
-            if bare.decode("utf-8", "replace").lower().isalpha():
-                letters.add(bare)
-                if bare is not word:
-                    pairs.append((word, bare, word[-1:]))
-            else:
-                others.append(word)
-        self._add([b",", b".", *others])
-        self._add_letters(list(letters.difference(known)))
-        for word, bare, stop in pairs:
-            known[word] = known[bare] + known[stop]
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        """Unsigned little-endian 32-bit ids of each text."""
+        self.last[ends] = True
+
+    def _plain(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain words end to end, and how many each has; none if the ends don't fit."""
+        edges = np.append(np.arange(0, len(words), _TOGETHER), len(words)).astype(np.int32)
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges), words), " ").to_pylist()
+        parts = []
+        for first in range(0, len(texts), _BATCH):
+            found = self.bare.encode_batch_fast(
+                texts[first : first + _BATCH], add_special_tokens=False
+            )
+            parts += [np.array(x.ids, np.uint32) for x in found]
+        ids = np.concatenate(parts)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        stopped = pc.match_substring_regex(words, f"{_STOP}$").to_numpy(zero_copy_only=False)
+        units = np.cumsum(1 + stopped)
+        if units[-1] != len(ends):
+            return self._any(words)
+        return ids, np.diff(ends[units - 1], prepend=0)
+
+    def _any(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same of words of any kind."""
+        found = self.tokenizer.encode_batch_fast(words.to_pylist(), add_special_tokens=False)
+        sizes = np.array([len(x.ids) for x in found], np.int64)
+        return np.array([i for x in found for i in x.ids], np.uint32), sizes
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and where each text's begin, the end of the last included."""
         # Only the tokenizer's own marks tell capitals from small letters.
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        self.learn(set().union(*split))
-        known = self.known
-        return [b"".join([known[w] for w in s]) for s in split]
+        marked = pc.match_substring(texts, "<|")
+        split = pc.ascii_split_whitespace(pc.if_else(marked, texts, pc.ascii_lower(texts)))
+        edges = split.offsets.to_numpy().astype(np.int64)
+        coded = split.values.slice(edges[0], edges[-1] - edges[0]).dictionary_encode()
+        distinct, at = coded.dictionary, coded.indices.to_numpy()
+        plain = pc.match_substring_regex(distinct, _PLAIN)
+        ids, sizes = [np.zeros(0, np.uint32)], np.zeros(len(distinct), np.int64)
+        where = []
+        for mask, encode in ((plain, self._plain), (pc.invert(plain), self._any)):
+            chosen = np.flatnonzero(mask.to_numpy(zero_copy_only=False))
+            if len(chosen):
+                found, sizes[chosen] = encode(distinct.filter(mask))
+                ids.append(found)
+                where.append(chosen)
+        pool, order = np.concatenate(ids), np.concatenate([np.zeros(0, np.int64), *where])
+        starts = np.zeros(len(distinct), np.int64)
+        starts[order] = np.cumsum(sizes[order]) - sizes[order]
+        lengths = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        place = np.repeat((starts[at] - ends[:-1]).astype(np.int32), lengths)
+        place += np.arange(ends[-1], dtype=np.int32)
+        return pool[place], ends[edges - edges[0]]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -117,11 +135,11 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def slices(texts: list[bytes], size: int = _SLICE) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, size: int = _SLICE) -> Iterator[tuple[int, int]]:
     """Ranges of ``texts`` of about ``size`` bytes, so that a worker holds few words at a time."""
     start = held = 0
-    for i, text in enumerate(texts):
-        held += len(text)
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        held += n
         if held >= size:
             yield start, i + 1
             start, held = i + 1, 0
@@ -149,13 +167,17 @@ def pieces(
     end = np.array([END_ID], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # One thread a worker: others would only keep memory of their own.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         encode = encoder(tokenizer)
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            keys, texts = batch.column(0).to_pylist(), batch.column(1)
             for a, b in slices(texts):
                 rows = []
-                for key, ids in zip(keys[a:b], encode(texts[a:b])):
-                    ids += end
+                found, edges = encode(texts.slice(a, b - a))
+                data, edges = found.astype("<u4").tobytes(), (4 * edges).tolist()
+                for key, low, high in zip(keys[a:b], edges, edges[1:]):
+                    ids = data[low:high] + end
                     n = len(ids) // 4
                     for start, length in cuts(n, capacity, piece):
                         part = ids[4 * start : 4 * (start + length)]
@@ -166,9 +188,10 @@ def pieces(
                     [pa.array(c, t) for c, t in zip(zip(*rows), [*[pa.int64()] * 5, pa.binary()])],
                     names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"],
                 )
+                pa.default_memory_pool().release_unused()
 
     plain = documents(docs, id_col, text_col)
-    return plain.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(
+    return plain.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         cut, _PIECES
     )
 
