@@ -107,8 +107,9 @@ def test_first_per_key_takes_the_earliest(make_rides):
 def test_first_per_key_drops_copies_before_the_shuffle(make_rides):
     kept = cleaning.first_per_key(make_rides({}), "ride_id", ["started_at"])
     plan = kept._jdf.queryExecution().executedPlan().toString()
-    assert "partial_min" in plan
-    assert "Window" not in plan
+    # Each task limits a key to its first row, below the shuffle.
+    below = plan.split("Exchange", 1)[1]
+    assert "WindowGroupLimit" in below and "row_number(), 1, Partial" in below
 
 
 def test_union_keeps_each_row_once(make_rides):
