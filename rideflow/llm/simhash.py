@@ -58,21 +58,29 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * bits > len(rows)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` and its fingerprint ``fp`` as a signed long."""
+def _text_hash(text):
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def fingerprints(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_hash: bool = False
+) -> DataFrame:
+    """``doc_id`` and its fingerprint ``fp`` as a signed long; on demand the text's hash ``sha``."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(t.as_py()) for t in batch.column(1)]
             signed = np.array(found, np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(signed)], names=["doc_id", "fp"]
+                [batch.column(0), pa.array(signed), *batch.columns[2:]],
+                names=["doc_id", "fp", *batch.schema.names[2:]],
             )
 
     plain = documents(docs, id_col, text_col)
-    return plain.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(
-        mark, "doc_id long, fp long"
-    )
+    sha = [_text_hash(F.col("text")).alias("sha")] if with_hash else []
+    return plain.select(
+        F.col("doc_id").cast("long"), F.col("text").cast("binary"), *sha
+    ).mapInArrow(mark, "doc_id long, fp long" + (", sha binary" if with_hash else ""))
 
 
 def _quarters(fp: str):
@@ -229,36 +237,43 @@ def _same(a: DataFrame, b: DataFrame) -> bool:
     return sums(a) == sums(b)
 
 
-def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS
-) -> DataFrame:
-    """A row per document: doc_id, fingerprint as 16 hex digits, component_id."""
-    marked = stage(fingerprints(docs, id_col, text_col), "simhash-marked")
+def _classes(marked: DataFrame, radius: int) -> DataFrame:
+    """``fp``, ``root`` and ``component_id`` of all fingerprints."""
     distinct = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-fps")
     roots = components(links(distinct.select("fp"), radius))
     known = distinct.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root")
     )
     named = known.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = known.join(named, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select(
+    return known.join(named, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS
+) -> DataFrame:
+    """A row per document: doc_id, fingerprint as 16 hex digits, component_id."""
+    marked = stage(fingerprints(docs, id_col, text_col), "simhash-marked")
+    return marked.join(_classes(marked, radius).drop("root"), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is its component's; of rows that repeat an id, one."""
-    found = near_duplicates(docs, id_col, text_col)
+    """One row of each component: that of the smallest id, a null id last, then of the smallest
+    hash of the text. Ids may be null or repeated; a row is known by its id and the hash."""
+    marked = stage(fingerprints(docs, id_col, text_col, with_hash=True), "simhash-marked")
+    classes = _classes(marked, RADIUS).drop("component_id")
+    order = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "sha")
+    chosen = marked.join(classes, "fp").groupBy("root").agg(F.min(order).alias("first"))
     first = stage(
-        found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .groupBy(F.col("doc_id").alias("__id"))
-        .agg(F.count("*").alias("__n")),
+        chosen.select(F.col("first.doc_id").alias("__id"), F.col("first.sha").alias("__sha")),
         "simhash-first",
     )
-    same = docs[id_col].eqNullSafe(F.col("__id"))
-    kept = docs.join(first.where("__n = 1"), same, "left_semi")
-    repeated = first.where("__n > 1")
-    if repeated.isEmpty():
-        return kept
-    again = docs.join(repeated, same, "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(again)
+    # All rows of one id and text are in one component, so a pair is chosen once at most.
+    kept = docs.withColumn("__own", _text_hash(docs[text_col])).join(
+        first, docs[id_col].eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left_semi"
+    )
+    repeats = marked.groupBy("doc_id", "sha").count().where("count > 1")
+    if not repeats.isEmpty():
+        kept = kept.dropDuplicates([id_col, "__own"])
+    return kept.drop("__own")

@@ -75,3 +75,15 @@ def test_components_of_long_chains_and_stars(spark):
     df = spark.createDataFrame(edges, "a long, b long")
     got = {r.node: r.root for r in simhash.components(df).collect()}
     assert got == {**{i: 0 for i in range(1, 201)}, **{1000 + i: 1000 for i in range(1, 300)}}
+
+
+def test_unlike_texts_of_null_or_repeated_ids_are_all_kept(spark):
+    texts = [f"{w} alone stands number {i} with {w * 3} and nothing else like it {w[::-1]} at all"
+             for i, w in enumerate(["apple", "river", "stone", "cloud", "tiger", "lemon"])]
+    ids = [None, None, None, 7, 7, 8]
+    rows = [*zip(ids, texts), (None, texts[0]), (9, texts[4]), (7, texts[3])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fps = [fingerprint(t) for t in texts]
+    assert not any((a ^ b).bit_count() <= 3 for i, a in enumerate(fps) for b in fps[:i])
+    kept = sorted((tuple(r) for r in simhash.one_of_each(docs).collect()), key=repr)
+    assert kept == sorted(zip(ids, texts), key=repr)
