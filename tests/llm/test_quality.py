@@ -3,6 +3,8 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import pytest
+
 from rideflow.llm import quality
 from tests.llm.fixtures import FOLDER, WORD, base_counts, no_documents, odd_documents
 
@@ -79,3 +81,24 @@ def test_a_large_trusted_list_is_joined_by_shuffling(spark, monkeypatch):
     monkeypatch.setattr(quality, "small_side", lambda ids: ids)
     got = sorted(map(tuple, quality.judge(docs, trusted).select("doc_id", "score", "kept").collect()))
     assert got == want
+
+
+@pytest.mark.parametrize("fewest", [1 << 8, 1 << 12])
+def test_the_verdict_holds_however_few_buckets_there_are_to_begin_with(spark, monkeypatch, fewest):
+    monkeypatch.setattr(quality, "BUCKETS", fewest)
+    monkeypatch.setattr(quality, "GRAMS_PER_BUCKET", 20, raising=False)
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    judged = quality.judge(docs, labels.where("quality = 1")).where("not base_failed")
+    rows = judged.join(labels, "doc_id").select("quality", "kept").collect()
+    good, junk = ([r.kept for r in rows if r.quality == q] for q in (1, 0))
+    assert sum(good) >= 0.99 * len(good) and sum(junk) < 0.15 * len(junk)
+
+
+def test_ratios_too_many_to_broadcast_are_joined_by_shuffling(spark, monkeypatch):
+    docs = odd_documents(spark).union(odd_documents(spark))
+    trusted = spark.createDataFrame([(5,), (10,)], "doc_id long")
+    columns = ("doc_id", *COUNTS, "score", "kept")
+    want = Counter(tuple(r) for r in quality.judge(docs, trusted).select(*columns).collect())
+    monkeypatch.setattr(quality, "RATIOS_TO_BROADCAST", 0)
+    assert Counter(tuple(r) for r in quality.judge(docs, trusted).select(*columns).collect()) == want
