@@ -10,18 +10,24 @@ from rideflow.llm import (
     chat,
     counts,
     exact,
+    factors,
     lm,
     packing,
     pieces,
     quality,
     simhash,
+    spelling,
     toxicity,
     urls,
+    whitening,
 )
 from rideflow.llm.common import in_fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Least score of a good document.
+GOOD = 0.3
+
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -108,6 +114,28 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counts.token_counts(docs, vocabulary("piece_bpe_32k.model"))
 
 
+def op11_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector on the leading components of the distinct ones, at equal variance."""
+    return whitening.whitened(read(spark, folder, "embeddings"))
+
+
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Every frequent word with its near words' number, its form and the form at the end."""
+    return spelling.variants(read(spark, folder, "documents"))
+
+
+def op13_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """Score and verdict of every document, learnt from labelled ones outside a fold."""
+    docs, metadata = read(spark, folder, "documents"), ["n_chars"]
+    model = factors.learn(docs, read(spark, folder, "labels"), metadata=metadata)
+    return factors.scored(docs, model, metadata=metadata, to="score").select(
+        "doc_id",
+        in_fold(F.col("doc_id"), factors.FOLDS).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= GOOD, 1).otherwise(0).alias("predicted"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -121,6 +149,9 @@ QUERIES: dict[str, Query] = {
         op8_lm_scores,
         op9_exact_dedup,
         op10_token_counts,
+        op11_embedding_whitening,
+        op12_spelling_variants,
+        op13_quality_classifier,
     )
 }
 

@@ -1,0 +1,108 @@
+from __future__ import annotations
+
+import itertools
+
+import numpy as np
+import pytest
+
+from rideflow.llm import factors
+from rideflow.llm.queries import GOOD, QUERIES
+from tests.llm.fixtures import LONG, no_documents, odd_documents
+
+
+def test_scores_equal_the_sum_over_all_pairs():
+    draw = np.random.default_rng(4)
+    weights = draw.normal(size=factors.FEATURES).astype(np.float32)
+    vectors = draw.normal(size=(factors.FEATURES, 3)).astype(np.float32) / 3
+    machine = factors.Machine(0.25, weights, vectors)
+    starts, at, x = factors.Reader().features([b"a b a c", b"", b"one two\none two\n### 12 X"])
+    got = machine.score(starts, at, x)
+    for i, (a, b) in enumerate(zip(starts, [*starts[1:], len(at)])):
+        f, v = at[a:b], x[a:b]
+        assert len(set(f)) == len(f)
+        total = 0.25 + (weights[f] * v).sum()
+        for p, q in itertools.combinations(range(len(f)), 2):
+            total += vectors[f[p]] @ vectors[f[q]] * v[p] * v[q]
+        assert abs(got[i] - 1 / (1 + np.exp(-total))) < 1e-6
+
+
+def test_a_small_sample_is_learnt():
+    """Two texts are told apart by what they don't share."""
+    rows = [(np.array([0, 1]), np.array([1.0, 0.5])), (np.array([1, 2]), np.array([1.0, 1.0]))]
+    good = np.array([True, False])
+    machine = factors.fit(rows, good, 0.5, factors=2, rounds=200)
+    starts, at = np.array([0, 2]), np.concatenate([f for f, _ in rows])
+    p = machine.score(starts, at, np.concatenate([v for _, v in rows]))
+    assert p[0] > 0.8 and p[1] < 0.2
+
+
+def test_pairs_are_learnt_that_no_single_feature_tells():
+    """Good if both or neither of two words are there."""
+    rows, good = [], []
+    for k in range(400):
+        a, b = k % 2, k // 2 % 2
+        f = [10 + a, 20 + b, 30 + k % 7]
+        rows.append((np.array(f), np.ones(3)))
+        good.append(a == b)
+    machine = factors.fit(rows, np.array(good), 0.5, rounds=80)
+    starts = np.arange(0, 1200, 3)
+    p = machine.score(starts, np.concatenate([f for f, _ in rows]), np.ones(1200))
+    assert ((p > 0.5) == np.array(good)).mean() > 0.98
+
+
+def test_odd_rows(spark):
+    docs = odd_documents(spark)
+    labels = spark.createDataFrame(
+        [(5, 1), (6, 1), (8, 0), (10, 0), (None, 1), (99, 0), (5, 1), (7, None)], "doc_id long, quality int"
+    )
+    model = factors.learn(docs, labels, metadata=["fp", "doc_id"], folds=1000)
+    found = factors.scored(docs, model, metadata=["fp", "doc_id"], to="made")
+    assert found.columns == [*docs.columns, "made"]
+    rows = found.collect()
+    assert len(rows) == 12 and all(0 <= r.made <= 1 for r in rows)
+    assert len({r.made for r in rows if r.doc_id == 10}) == 1
+    plain = {r.doc_id: r.made for r in factors.scored(docs, model, to="made").collect()}
+    assert plain[1] == plain[2]
+
+
+@pytest.mark.parametrize("labels", [[], [(5, 1)], [(5, 0), (6, 0)], [(999, 0), (998, 1)]])
+def test_without_both_classes_nothing_is_learnt(spark, labels):
+    docs = odd_documents(spark)
+    model = factors.learn(docs, spark.createDataFrame(labels, "doc_id long, quality int"), folds=1000)
+    scores = {r.made for r in factors.scored(docs, model, to="made").collect()}
+    want = {1.0} if labels == [(5, 1)] else {0.0} if len(labels) == 2 and labels[0][0] == 5 else {0.5}
+    assert scores == want
+
+
+def test_empty_table(spark):
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int")
+    model = factors.learn(no_documents(spark), labels, folds=1000)
+    assert factors.scored(no_documents(spark), model, to="made").count() == 0
+
+
+def test_batches_and_very_long_texts_change_no_score(monkeypatch):
+    draw = np.random.default_rng(1)
+    machine = factors.Machine(
+        0.1, draw.normal(size=factors.FEATURES), draw.normal(size=(factors.FEATURES, 4)) / 9
+    )
+    texts = [LONG.encode(), b"", b"a b", b"\xc3\xa9t\xc3\xa9 \n\n", b"x" * 9] * 2
+    whole = machine.score(*factors.Reader().features(texts))
+    each = [machine.score(*factors.Reader().features([t]))[0] for t in texts]
+    assert np.allclose(whole, each, atol=1e-12)
+
+
+@pytest.mark.parametrize("scale, least", [("sf0.01", 0.93), ("sf0.1", 0.98)])
+def test_held_out_documents(spark, scale, least):
+    folder = f"/root/testdata/{scale}"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    found = QUERIES["op13_quality_classifier"](spark, folder).cache()
+    assert found.count() == docs.count()
+    assert {f.name: f.dataType.simpleString() for f in found.schema} == {
+        "doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"
+    }
+    rows = found.where("held_out").join(labels, "doc_id").collect()
+    assert all(r.predicted == (r.score >= GOOD) and 0 <= r.score <= 1 for r in rows)
+    right = [r.predicted == r.quality for r in rows]
+    assert sum(right) >= least * len(right)
+    found.unpersist()

@@ -1,0 +1,153 @@
+from __future__ import annotations
+
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from rideflow.llm import spelling
+from rideflow.llm.queries import QUERIES
+from tests.llm.fixtures import FOLDER, LONG, no_documents, odd_documents
+
+COLUMNS = ("word", "n", "n_near", "form", "form_n", "root")
+SMALL = str.maketrans({c: c + 32 for c in range(65, 91)})
+
+
+def near(u: str, v: str) -> bool:
+    if abs(len(u) - len(v)) > 1 or u == v:
+        return False
+    short, long = sorted((u, v), key=len)
+    if len(u) == len(v):
+        return sum(a != b for a, b in zip(u, v)) == 1
+    return any(long[:i] + long[i + 1 :] == short for i in range(len(long)))
+
+
+def numbers(rows) -> dict[str, int]:
+    counts = Counter()
+    for doc_id, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            word = run.translate(SMALL)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{word}".encode())
+            if h % 97 == 0:
+                word = word[: h % len(word)] + word[h % len(word) + 1 :]
+            if len(word) >= 5:
+                counts[word] += 1
+    return {w: n for w, n in counts.items() if n >= 3}
+
+
+def brute(n: dict[str, int]) -> list[tuple]:
+    """Words that lose a character alike, or one of which is what the other loses to, are near."""
+    by_loss = {}
+    for w in n:
+        for i in range(len(w)):
+            by_loss.setdefault((i, w[:i] + w[i + 1 :]), set()).add(w)
+    links = {w: set() for w in n}
+    for (_, short), members in by_loss.items():
+        group = members | ({short} & n.keys())
+        for w in group:
+            links[w] |= group
+    out = []
+    form = {}
+    for w in n:
+        found = [v for v in links[w] if near(w, v)]
+        best = min(found, key=lambda v: (-n[v], v), default=None)
+        form[w] = best if best is not None and n[best] >= 2 * n[w] else None
+        out.append((w, n[w], len(found), form[w], n.get(form[w])))
+
+    def root(w):
+        while form[w] is not None:
+            w = form[w]
+        return w
+
+    return sorted((*r, root(r[0])) for r in out)
+
+
+def rows_of(df):
+    return sorted(tuple(r) for r in df.select(*COLUMNS).collect())
+
+
+def test_whole_table(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    want = brute(numbers([(r.doc_id, r.text) for r in docs.collect()]))
+    assert sum(r[2] for r in want) > 500 and any(r[3] != r[5] and r[3] for r in want)
+    found = QUERIES["op12_spelling_variants"](spark, FOLDER)
+    assert rows_of(found) == want
+    # Lists halved down to single characters give the same.
+    assert rows_of(spelling.variants(docs, most=2)) == want
+
+
+def test_odd_rows(spark):
+    odd = odd_documents(spark)
+    more = [
+        (20, "Straße strasse ÀÉÎ àéî ÀÉÎÕÜ àéîõü " * 3),
+        (21, "aaaaa aaaaaa aaaaaaa baaaaa aaaaab aaabaa " * 4),
+        (None, "colour color colours Colour COLOUR kolour × ÷÷÷÷÷ " * 5),
+        (22, ("q" * 3000 + " " + "q" * 2999 + "r ") * 3),
+        (23, LONG),
+    ]
+    docs = odd.unionByName(spark.createDataFrame([(i, t, *"abcde") for i, t in more], odd.schema))
+    want = brute(numbers([(r.doc_id, r.text) for r in docs.collect()]))
+    assert rows_of(spelling.variants(docs)) == want
+    assert rows_of(spelling.variants(docs.union(docs), most=1)) == brute(
+        {w: 2 * n for w, n in numbers2(docs).items() if 2 * n >= 3}
+    )
+
+
+def numbers2(docs):
+    """All words of at least five characters, however rare."""
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    twice = numbers(rows * 3)
+    return {w: n // 3 for w, n in twice.items()}
+
+
+def test_empty_table(spark):
+    assert spelling.variants(no_documents(spark)).count() == 0
+
+
+def test_pairs_of_a_sorted_list():
+    draw = np.random.default_rng(7)
+    for letters, size in (("ab", 60), ("abc", 200), ("abcdefgh", 400)):
+        words = {"".join(draw.choice(list(letters), draw.integers(0, 8))) for _ in range(size)}
+        listed = [(g, w) for g in range(3) for w in sorted(words)]
+        group = np.array([g for g, _ in listed])
+        order, codes, lengths = spelling.sorted_list(group, [w for _, w in listed])
+        i, j = spelling.near_pairs(group[order], codes, lengths)
+        got = sorted((*sorted((order[a], order[b])),) for a, b in zip(i, j))
+        want = [
+            (a, b) for a in range(len(listed)) for b in range(a + 1, len(listed))
+            if listed[a][0] == listed[b][0] and near(listed[a][1], listed[b][1])
+        ]
+        assert got == want
+
+
+@pytest.mark.parametrize("most", [1, 8, 4096])
+def test_one_beginning_for_most_words(spark, most):
+    """Words that share a long beginning, others a long end; lists of all sizes find each pair once."""
+    draw = np.random.default_rng(9)
+    tails = {"".join(draw.choice(list("abcd"), draw.integers(1, 6))) for _ in range(300)}
+    words = {f"samebeginning{t}" for t in tails} | {f"{t}sameend" for t in tails}
+    n = {w: 3 + i % 40 for i, w in enumerate(sorted(words))}
+    table = spark.createDataFrame(list(n.items()), "word string, n long")
+    got = {r.word: (r.n_near, r.near_n, r.near_word) for r in spelling.near_words(table, most).collect()}
+    for w in words:
+        found = [v for v in words if near(w, v)]
+        best = min(found, key=lambda v: (-n[v], v), default=None)
+        assert got.get(w) == ((len(found), n[best], best) if found else None)
+
+
+def test_equal_keys_of_different_lists(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(spelling, "_key", lambda: F.lit(1).cast("long"))
+    n = {w: 5 for w in ("abcde", "abcdf", "xbcde", "abcdef", "zzzzz", "zzzzy", "yyabcdz", "yyabcd")}
+    table = spark.createDataFrame(list(n.items()), "word string, n long")
+    got = {r.word: r.n_near for r in spelling.near_words(table).collect()}
+    assert got == {w: c for w in n if (c := sum(near(w, v) for v in n))}
+
+
+def test_roots_of_a_long_chain(spark):
+    chain = [(f"w{i}", f"w{i + 1}") for i in range(37)]
+    got = {r.word: r.root for r in spelling.roots(spark.createDataFrame(chain, "word string, form string")).collect()}
+    assert got == {w: "w37" for w, _ in chain}
