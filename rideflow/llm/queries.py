@@ -228,4 +228,54 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(c) AS text_sha256
         FROM best
     """,
+    "op12_spelling_variants": r"""
+        WITH RECURSIVE bits(i, step, c) AS (
+            SELECT i, 0, i FROM range(256) AS r(i)
+            UNION ALL
+            SELECT i, step + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END
+            FROM bits WHERE step < 8
+        ), crc_table AS (
+            SELECT list(c ORDER BY i) AS t FROM bits WHERE step = 8
+        ), runs AS (
+            SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r,
+                   count(*) AS times
+            FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+            WHERE length(run) >= 5 GROUP BY ALL
+        ), summed AS (
+            SELECT r, times, xor(4294967295, list_reduce(
+                       list_transform(range(1, 1 + length(x) // 2),
+                           lambda k: CAST('0x' || substr(x, 2 * k - 1, 2) AS BIGINT)),
+                       lambda h, b: xor(h >> 8, t[xor(h, b) % 256 + 1]), 4294967295)) AS h
+            FROM (SELECT r, times, hex(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r) AS x FROM runs), crc_table
+        ), words AS (
+            SELECT w AS word, CAST(sum(times) AS BIGINT) AS n
+            FROM (SELECT times, CASE WHEN h % 97 = 0
+                      THEN substr(r, 1, CAST(h % length(r) AS BIGINT)) || substr(r, CAST(h % length(r) AS BIGINT) + 2)
+                      ELSE r END AS w FROM summed)
+            WHERE length(w) >= 5 GROUP BY w HAVING sum(times) >= 3
+        ), losses AS (
+            SELECT DISTINCT word, n, k, substr(word, 1, k - 1) || substr(word, k + 1) AS less
+            FROM (SELECT word, n, unnest(range(1, 1 + length(word))) AS k FROM words)
+        ), near AS (
+            SELECT a.word, b.word AS other, b.n AS m FROM losses a JOIN losses b USING (k, less)
+            WHERE a.word <> b.word
+            UNION SELECT a.word, w.word, w.n FROM losses a JOIN words w ON a.less = w.word
+            UNION SELECT w.word, a.word, a.n FROM losses a JOIN words w ON a.less = w.word
+        ), best AS (
+            SELECT word, count(*) AS n_near, min((-m, other)) AS b FROM near GROUP BY word
+        ), judged AS (
+            SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -b[1] >= 2 * n THEN b[2] END AS form,
+                   CASE WHEN -b[1] >= 2 * n THEN -b[1] END AS form_n
+            FROM words LEFT JOIN best USING (word)
+        ), led AS (
+            SELECT word, form AS root FROM judged WHERE form IS NOT NULL
+            UNION ALL
+            SELECT led.word, judged.form FROM led JOIN judged ON led.root = judged.word
+            WHERE judged.form IS NOT NULL
+        )
+        SELECT j.word, j.n, j.n_near, j.form, j.form_n, coalesce(last.root, j.word) AS root
+        FROM judged j LEFT JOIN (
+            SELECT led.word, led.root FROM led JOIN judged ON led.root = judged.word WHERE judged.form IS NULL
+        ) last ON j.word = last.word
+    """,
 }
