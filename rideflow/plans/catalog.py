@@ -21,7 +21,7 @@ from rideflow.functions.pricing import with_revenue
 from rideflow.functions.rounding import steady
 from rideflow.operators import cleaning, flows, forecast, kpis, snapshots, training
 from rideflow.schemas import COORDINATES, RIDE_COLUMNS, WEATHER_MEASURES
-from rideflow.session import scratch_path
+from rideflow.session import scratch_path, stage
 from rideflow.sources import files, star, tables, topics
 from rideflow.streaming import jobs
 
@@ -147,6 +147,28 @@ def table_day_scan(spark: SparkSession, folder: str) -> DataFrame:
     return cleaning.with_coordinates(tables.read_day(spark, table, DAY))
 
 
+@query
+def table_mixed_writers(spark: SparkSession, folder: str) -> DataFrame:
+    """A third of the rides by SQL, a third by path within their days, then all by both ways."""
+    path = scratch_path(spark, "ride-table")
+    name = "ride_data_" + path[-12:]
+    clean = cleaning.clean_rides(star.rides(spark, folder))
+    third = F.col("ride_id").cast("long") % 3
+    tables.create_ride_table(spark, name, path)
+    tables.insert_by_name(
+        spark, name, cleaning.to_ride_table(clean.filter(third == 0)), "ride_id", ["started_at"]
+    )
+    tables.append_rides(clean.filter(third == 1), path, resent_unchanged=True)
+    later = clean.withColumn("started_at", F.expr("started_at + interval 1 day"))
+    tables.insert_by_name(
+        spark, name, cleaning.to_ride_table(later.filter(third != 2)), "ride_id", ["started_at"]
+    )
+    tables.append_rides(clean, path)
+    spark.catalog.recoverPartitions(name)
+    found = cleaning.with_coordinates(spark.table(name))
+    return stage(found, "mixed-writers")
+
+
 @query
 def weather_table_ddl(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "weather-table")

@@ -289,6 +289,7 @@ SELECT * REPLACE (cast(datetime AS date) AS datetime) FROM weather""",
 SELECT ride_id, cast(NULL AS double) AS duration, 0 AS partition FROM rides
 UNION ALL SELECT ride_id, duration_seconds, 1 FROM clean""",
         "ride_table_ddl": table,
+        "table_mixed_writers": table,
         "table_day_scan": f"{table} WHERE cast(started_at AS date) = date '{DAY}'",
         "weather_table_ddl": f"{weather} SELECT * REPLACE ({_FLOAT_WEATHER}) FROM weather",
         "rides_future": f"""{rides} SELECT * FROM rides

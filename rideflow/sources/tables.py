@@ -4,18 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from rideflow.operators.cleaning import first_per_key, to_ride_table
 from rideflow.schemas import RIDE_TABLE, RIDE_TABLE_STORED, WEATHER_COLUMNS, WEATHER_TABLE
+from rideflow.sources.keys import known_keys, make_folder
 
 # Keys of one batch are broadcast up to so many bytes, 32 added to each.
 BROADCAST_BYTES = 64 << 20
 # Days of one batch that are looked up as constants; more are matched by a join.
 DAY_LIST = 400
-# Buckets of the key table; a batch reads those its keys fall into.
-KEY_BUCKETS = 1024
 
 
 def _columns(schema: StructType) -> str:
@@ -39,17 +38,36 @@ def create_weather_table(spark: SparkSession, name: str, location: str | None =
     )
 
 
+def location(spark: SparkSession, name: str) -> str:
+    """Folder of a catalog table."""
+    described = spark.sql(f"DESCRIBE FORMATTED {name}")
+    return described.where("col_name = 'Location'").select("data_type").first()[0]
+
+
 def insert_by_name(
     spark: SparkSession, name: str, rows: DataFrame, key: str | None = None, order: Sequence[str] = ()
 ) -> None:
     """Append ``rows`` to a catalog table, columns matched by name.
 
     With ``key`` a row is appended only if it has a key that is new, the first by ``order`` of
-    several.
+    several. Keys are looked up in the index of the table's folder, so rows that were appended there
+    by path count too; the days they brought are made known to the catalog.
     """
-    if key is not None:
-        fresh = first_per_key(rows.filter(F.col(key).isNotNull()), key, order)
-        rows = fresh.join(spark.table(name).select(key), key, "left_anti")
+    if key is None:
+        _insert(spark, name, rows)
+        return
+    fresh = first_per_key(rows.filter(F.col(key).isNotNull()), key, order).persist()
+    try:
+        place = location(spark, name)
+        make_folder(spark, place)
+        if any(c.isPartition for c in spark.catalog.listColumns(name)):
+            spark.catalog.recoverPartitions(name)
+        _insert(spark, name, _unknown(fresh, known_keys(spark, place, fresh, key), key))
+    finally:
+        fresh.unpersist()
+
+
+def _insert(spark: SparkSession, name: str, rows: DataFrame) -> None:
     balanced = rows.hint("rebalance", "date") if "date" in rows.columns else rows
     spark.sql(f"INSERT INTO {name} BY NAME SELECT * FROM {{rows}}", rows=balanced)
 
@@ -76,37 +94,17 @@ def _same_partitions(known: DataFrame, fresh: DataFrame, partition_by: str) -> D
     return known.filter(listed | column.isNull() if None in found else listed)
 
 
-def _bucket(key: str) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int")
-
-
-def _key_table(spark: SparkSession, path: str, stored: DataFrame, key: str, part: str) -> DataFrame:
-    """Keys of the table at ``path`` with their partition, laid out by hash beside it.
-
-    It is made from the table itself if it isn't there yet.
-    """
-    place = f"{path.rstrip('/')}_keys"
-    rows = stored.select(key, part).withColumn("bucket", _bucket(key))
-    rows.hint("rebalance", "bucket").write.mode("ignore").partitionBy("bucket").parquet(place)
-    return spark.read.schema(rows.schema).parquet(place)
-
-
-def _write_keys(path: str, rows: DataFrame, key: str, part: str) -> None:
-    bucketed = rows.select(key, part).withColumn("bucket", _bucket(key))
-    bucketed.hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(
-        f"{path.rstrip('/')}_keys"
-    )
-
-
-def _stored_keys(known: DataFrame, keys: DataFrame, fresh: DataFrame, key: str, part: str) -> DataFrame:
-    """Stored rows that may share a key with ``fresh``.
-
-    Only the buckets of the new keys are read, and only the partitions that these say the keys are
-    in. A key whose row isn't in its partition was written by an append that failed before its rows.
-    """
-    buckets = [r[0] for r in fresh.select(_bucket(key).alias("b")).distinct().collect()]
-    mine = keys.filter(F.col("bucket").isin(buckets)) if len(buckets) < KEY_BUCKETS else keys
-    return _same_partitions(known, mine.join(fresh.select(key), key, "left_semi"), part)
+def _unknown(fresh: DataFrame, known: DataFrame | None, key: str) -> DataFrame:
+    """Rows of ``fresh`` whose key is not among the known ones."""
+    if known is None:
+        return fresh
+    width = F.octet_length(F.col(key).cast("string")) + 32
+    size = fresh.agg(F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first().bytes
+    if size <= BROADCAST_BYTES:
+        # A pass over the stored keys without shuffling them; at most one hit per key.
+        hits = known.join(F.broadcast(fresh.select(key)), key, "left_semi")
+        return fresh.join(F.broadcast(hits), key, "left_anti")
+    return fresh.join(known, key, "left_anti")
 
 
 def append_unique(
@@ -119,37 +117,26 @@ def append_unique(
 ) -> None:
     """Append the rows whose key is new, one per key; rows without a key are refused.
 
-    A table with partitions has a narrow table of its keys beside it, in buckets by hash: an append
-    reads the buckets of its keys and the partitions of those it finds there. With
-    ``within_partition`` keys are looked up in the partitions of the rows themselves: right where
-    copies of a row always share its partition. A table without partitions is read whole.
+    Keys are looked up in an index beside the table (:mod:`rideflow.sources.keys`), which covers all
+    its files, whoever wrote them. With ``within_partition`` keys are looked up in the partitions of
+    the rows themselves: right where copies of a row always share its partition.
 
-    Appending the same rows again changes nothing, so a replayed micro-batch is harmless. One
-    writer per table at a time, as with any primary key that is checked before it is written.
+    Appending the same rows again changes nothing, so a replayed micro-batch is harmless, and so is an
+    append that ended early, as the files it left are seen by the next. One writer per table at a
+    time, as with any primary key that is checked before it is written.
     """
     spark = rows.sparkSession
     fresh = first_per_key(rows.filter(F.col(key).isNotNull()), key, order).persist()
     try:
-        known = _stored(spark, path, rows.schema, partition_by)
-        width = F.octet_length(F.col(key).cast("string")) + 32
-        size = fresh.agg(F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first().bytes
+        stored = _stored(spark, path, rows.schema, partition_by)
         if within_partition and partition_by:
-            known = _same_partitions(known, fresh, partition_by)
-        elif partition_by:
-            keys = _key_table(spark, path, known, key, partition_by)
-            known = _stored_keys(known, keys, fresh, key, partition_by)
-        known = known.select(key)
-        if size <= BROADCAST_BYTES:
-            # A pass over the stored keys without shuffling them; at most one hit per key.
-            hits = known.join(F.broadcast(fresh.select(key)), key, "left_semi")
-            new = fresh.join(F.broadcast(hits), key, "left_anti")
+            known = _same_partitions(stored, fresh, partition_by).select(key)
         else:
-            new = fresh.join(known, key, "left_anti")
+            known = known_keys(spark, path, fresh, key)
+        new = _unknown(fresh, known, key)
         if partition_by is None:
             new.write.mode("append").parquet(path)
         else:
-            # Keys first: should the append fail in between, they point to rows that aren't there.
-            _write_keys(path, new, key, partition_by)
             # Rebalancing gathers a day into few files, but splits a day that is too large.
             new.hint("rebalance", partition_by).write.mode("append").partitionBy(
                 partition_by

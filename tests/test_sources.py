@@ -3,12 +3,14 @@ from __future__ import annotations
 import datetime as dt
 import glob
 import json
+import shutil
 
+import pytest
 from pyspark.sql import functions as F
 
 from rideflow.operators.cleaning import clean_rides, to_ride_table
 from rideflow.schemas import RIDE_COLUMNS, RIDE_TABLE
-from rideflow.sources import files, tables, topics
+from rideflow.sources import files, keys, tables, topics
 
 
 def test_single_file_export_has_one_part_and_a_header(make_rides, tmp_path):
@@ -103,8 +105,8 @@ def test_keys_of_resent_rides_are_looked_up_in_their_day(spark, make_rides, tmp_
     sent = make_rides(
         {"ride_id": "a", "started_at": first}, {"ride_id": "b", "started_at": second}
     )
-    for keys in (tables.BROADCAST_BYTES, -1):
-        monkeypatch.setattr(tables, "BROADCAST_BYTES", keys)
+    for most in (tables.BROADCAST_BYTES, -1):
+        monkeypatch.setattr(tables, "BROADCAST_BYTES", most)
         tables.append_rides(clean_rides(sent), table, resent_unchanged=True)
         tables.append_rides(clean_rides(sent.limit(1)), table, resent_unchanged=True)
     stored = tables.read_ride_table(spark, table)
@@ -209,30 +211,123 @@ def test_only_the_days_of_a_batch_are_looked_up(spark, make_rides, tmp_path, mon
         assert sorted(r.ride_id for r in known.collect()) == ["0", "27"]
 
 
-def test_an_append_reads_the_buckets_of_its_keys(spark, make_rides, tmp_path):
+def _rides_of(make_rides, days, per_day=35):
+    return make_rides(
+        *[
+            {"ride_id": f"{d}-{i}", "started_at": dt.datetime(2024, 1, d, 9, i)}
+            for d in days
+            for i in range(per_day)
+        ]
+    )
+
+
+def _ids(spark, table):
+    return sorted(r.ride_id for r in tables.read_ride_table(spark, table).collect())
+
+
+def _insert(spark, name, rides):
+    tables.insert_by_name(spark, name, to_ride_table(clean_rides(rides)), "ride_id", ["started_at"])
+
+
+def test_writers_of_all_kinds_know_each_others_keys(spark, make_rides, tmp_path):
+    """Appends by path, inserts by SQL, and appends within days, in any order."""
+    early, late = _rides_of(make_rides, (10, 11)), _rides_of(make_rides, (12, 13))
+    both = early.unionByName(late)
+    want = sorted(r.ride_id for r in both.collect())
+    for number, order in enumerate(("path sql", "sql day", "day sql", "sql path")):
+        name, table = f"mixed_{number}", str(tmp_path / f"rides{number}")
+        tables.create_ride_table(spark, name, table)
+        for rides, way in zip((early, late), order.split()):
+            if way == "sql":
+                _insert(spark, name, rides)
+            else:
+                tables.append_rides(clean_rides(rides), table, resent_unchanged=way == "day")
+        tables.append_rides(clean_rides(both), table)
+        _insert(spark, name, both)
+        assert _ids(spark, table) == want
+        assert spark.table(name).count() == len(want)
+        spark.sql(f"DROP TABLE {name}")
+
+
+def test_an_index_that_was_never_finished_hides_no_key(spark, make_rides, tmp_path, monkeypatch):
+    """A refresh or an append that ends at any step leaves tables that the next append is right on."""
+    rides = clean_rides(_rides_of(make_rides, (10, 11)))
+    want = sorted(r.ride_id for r in rides.collect())
+    (tmp_path / "left_index").mkdir()
+    tables.create_ride_table(spark, "left_over", str(tmp_path / "left"))
+    _insert(spark, "left_over", _rides_of(make_rides, (10,)))
+    tables.append_rides(rides, str(tmp_path / "left"))
+    assert _ids(spark, str(tmp_path / "left")) == want
+    spark.sql("DROP TABLE left_over")
+
+    table = str(tmp_path / "killed")
+    tables.append_rides(clean_rides(_rides_of(make_rides, (10,))), table)
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    for owner, step in ((keys, "commit"), (keys, "_new_keys"), (tables, "_unknown")):
+        before = keys.segments(spark, table)
+        with monkeypatch.context() as m:
+            m.setattr(owner, step, killed)
+            with pytest.raises(KeyboardInterrupt):
+                tables.append_rides(rides, table)
+        if owner is keys:
+            assert keys.segments(spark, table) == before
+    # Rows of an append that were written in part, of which nothing else is known.
+    part = to_ride_table(rides).limit(50)
+    part.write.mode("append").partitionBy("date").parquet(str(tmp_path / "other"))
+    tables.append_rides(rides, str(tmp_path / "other"))
+    tables.append_rides(rides, table)
+    assert _ids(spark, table) == want and _ids(spark, str(tmp_path / "other")) == want
+
+
+def test_segments_are_few_and_so_are_their_files(spark, make_rides, tmp_path, monkeypatch):
     table = str(tmp_path / "rides")
-    days = [dt.datetime(2024, 1, d, 9) for d in range(1, 29)]
-    rides = make_rides(*[{"ride_id": str(i), "started_at": t} for i, t in enumerate(days)])
-    tables.append_rides(clean_rides(rides), table)
-    moved = to_ride_table(clean_rides(make_rides({"ride_id": "3", "started_at": days[20]})))
-    stored = tables.read_ride_table(spark, table)
-    keys = tables._key_table(spark, table, stored, "ride_id", "date")
-    assert keys.count() == 28
-    found = tables._stored_keys(stored, keys, moved, "ride_id", "date")
-    assert [r.ride_id for r in found.collect()] == ["3"]
-    bucket = moved.select(tables._bucket("ride_id")).first()[0]
-    plan = keys.filter(F.col("bucket").isin([bucket]))._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(bucket" in plan
-    assert "PartitionFilters: [isnotnull(date" in found._jdf.queryExecution().executedPlan().toString()
-
-
-def test_keys_without_rows_are_no_keys(spark, make_rides, tmp_path):
-    """An append that failed between its keys and its rows is made good by the next one."""
+    monkeypatch.setattr(keys, "BUCKET_KEYS", 16)
+    for day in range(1, 6):
+        tables.append_rides(clean_rides(_rides_of(make_rides, (day,), 12)), table)
+    valid = keys.refresh(spark, table, "ride_id")
+    assert sum(s["keys"] for s in valid) == 60 and len(valid) <= 3
+    assert all(s["buckets"] * 16 >= s["keys"] for s in valid)
+    # No more folders than the last two manifests name, no more files than buckets.
+    place = tmp_path / "rides_index"
+    assert len(list(place.glob("manifest-*"))) <= 2
+    assert len(list(place.glob("segment-*"))) <= 2 * len(valid) + 2
+    for s in valid:
+        assert len(list((place / s["name"] / "keys").rglob("*.parquet"))) <= s["buckets"]
+    # Only the buckets of new keys are read.
+    fresh = to_ride_table(clean_rides(make_rides({"ride_id": "5-3"})))
+    plan = keys.known_keys(spark, table, fresh, "ride_id")
+    assert "PartitionFilters: [isnotnull(bucket" in plan._jdf.queryExecution().executedPlan().toString()
+    assert "5-3" in {r.ride_id for r in plan.collect()} and plan.count() < 60
+    tables.append_rides(clean_rides(_rides_of(make_rides, range(1, 6), 12)), table)
+    assert len(_ids(spark, table)) == 60
+
+
+def test_a_day_that_was_replaced_is_indexed_anew(spark, make_rides, tmp_path):
     table = str(tmp_path / "rides")
-    tables.append_rides(clean_rides(make_rides({"ride_id": "a"})), table)
-    lost = to_ride_table(clean_rides(make_rides({"ride_id": "b"})))
-    tables._write_keys(table, lost, "ride_id", "date")
-    for _ in range(2):
-        tables.append_rides(clean_rides(make_rides({"ride_id": "b"}, {"ride_id": "a"})), table)
-    stored = tables.read_ride_table(spark, table)
-    assert sorted(r.ride_id for r in stored.collect()) == ["a", "b"]
+    for day in (10, 11):
+        tables.append_rides(clean_rides(_rides_of(make_rides, (day,), 3)), table)
+    keys.refresh(spark, table, "ride_id")
+    shutil.rmtree(tmp_path / "rides" / "date=2024-01-10")
+    tables.append_rides(clean_rides(_rides_of(make_rides, (10, 11), 4)), table)
+    assert len(_ids(spark, table)) == 8
+
+
+def test_new_files_too_many_to_name_are_picked_from_the_folder(spark, make_rides, tmp_path, monkeypatch):
+    table = str(tmp_path / "rides")
+    monkeypatch.setattr(keys, "NAMED_FILES", 0)
+    for days in ((10,), (10, 11), (10, 11, 12)):
+        tables.append_rides(clean_rides(_rides_of(make_rides, days, 5)), table)
+    assert len(_ids(spark, table)) == 15
+    assert sum(s["keys"] for s in keys.refresh(spark, table, "ride_id")) == 15
+
+
+def test_two_writers_of_one_index_do_not_both_succeed(spark, make_rides, tmp_path, monkeypatch):
+    table = str(tmp_path / "rides")
+    tables.append_rides(clean_rides(make_rides({})), table)
+    keys.refresh(spark, table, "ride_id")
+    monkeypatch.setattr(keys, "_manifests", lambda *_: [])
+    with pytest.raises(RuntimeError):
+        keys.commit(spark, table, [])
