@@ -93,7 +93,7 @@ def _arguments(argv: Sequence[str] | None) -> argparse.Namespace:
             if name == "load-rides":
                 command.add_argument("--resent-unchanged", action="store_true")
             if name in ("dedup-rides", "hourly"):
-                command.add_argument("--delay", default="2 days")
+                command.add_argument("--delay")
             if name == "dedup-rides":
                 command.add_argument("--salts", type=int)
         else:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Observation, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from rideflow.session import stage
 
@@ -69,22 +69,34 @@ def order_numbers(
     )
 
 
-def _with_cell(rides: DataFrame, cell_seconds: int) -> DataFrame:
-    return rides.withColumn("cell", F.expr(f"unix_micros(started_at) div {cell_seconds * 1000000}"))
+def cell_of(time: Column, cell_seconds: int = CELL_SECONDS) -> Column:
+    """Number of the time's cell; cells before 1970 too hold the times from their begin on."""
+    micros = F.unix_micros(time)
+    size = F.lit(cell_seconds * 1000000)
+    return ((micros - F.pmod(micros, size)) / size).cast("long")
 
 
-def snapshot_marks(rides: DataFrame, cell_seconds: int = CELL_SECONDS) -> DataFrame:
-    """Where each snapshot of each day lies: its edge ride i and its clock ride max(i - 1, 0).
+def _with_cell(rides: DataFrame, cell_seconds: int) -> DataFrame:
+    return rides.withColumn("cell", cell_of(F.col("started_at"), cell_seconds))
 
-    One row per (date, k, kind): the start minute the ride falls into (``cell``), how many rides
-    that minute has (``cell_rows``), and the ride's position among them (``local``).
-    """
+
+def day_cells(rides: DataFrame, cell_seconds: int = CELL_SECONDS) -> DataFrame:
+    """Rides per day and start minute: date, ``cell``, ``cell_rows``."""
     dated = rides.filter(F.col("started_at").isNotNull()).select(
         F.to_date("started_at").alias("date"), "started_at"
     )
-    cells = (
-        _with_cell(dated, cell_seconds).groupBy("date", "cell").agg(F.count("*").alias("cell_rows"))
+    return _with_cell(dated, cell_seconds).groupBy("date", "cell").agg(
+        F.count("*").alias("cell_rows")
     )
+
+
+def snapshot_marks(cells: DataFrame) -> DataFrame:
+    """Where each snapshot of each day lies: its edge ride i and its clock ride max(i - 1, 0).
+
+    From the rides per day and start minute, one row per (date, k, kind): the start minute the ride
+    falls into (``cell``), how many rides that minute has (``cell_rows``), and the ride's position
+    among them (``local``).
+    """
     day = Window.partitionBy("date")
     cells = (
         cells.withColumn("n", F.sum("cell_rows").over(day))
@@ -132,10 +144,15 @@ class Points(NamedTuple):
 
 
 def snapshot_points(
-    rides: DataFrame, cell_seconds: int = CELL_SECONDS, hot_cell_rows: int = HOT_CELL_ROWS
+    rides: DataFrame,
+    cell_seconds: int = CELL_SECONDS,
+    hot_cell_rows: int = HOT_CELL_ROWS,
+    cells: DataFrame | None = None,
 ) -> Points:
     """Find the edge and clock ride of every snapshot.
 
+    The histogram ``cells`` is made from the rides unless it is at hand.
+
     Columns: date, n, k, i, kind ("edge" or "clock"), started_at, ride_id. Both steps end in a
     written table of a few dozen rows a day: the first, so that the number of marks and the size
     of the fullest minute are known before the rides are touched again; the second, so that any
@@ -143,7 +160,7 @@ def snapshot_points(
     """
     size = Observation()
     marks = stage(
-        snapshot_marks(rides, cell_seconds).observe(
+        snapshot_marks(day_cells(rides, cell_seconds) if cells is None else cells).observe(
             size,
             F.count("*").alias("marks"),
             F.coalesce(F.max("cell_rows"), F.lit(0)).alias("fullest"),

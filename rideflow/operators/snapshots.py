@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from rideflow.functions.hexagons import RADIUS_M, hex_cell
 from rideflow.functions.labels import clock_label, day_label
 from rideflow.functions.rounding import money, steady
-from rideflow.operators.positions import Points, small, snapshot_points, step_of
+from rideflow.operators.positions import Points, cell_of, small, snapshot_points, step_of
 from rideflow.schemas import COORDINATES
 
 
@@ -180,27 +180,71 @@ def snapshot_arcs(rides: DataFrame, points: Points | None = None) -> DataFrame:
     return place_rides(rides, points).select("date", "k", "ride_id", *COORDINATES)
 
 
-def snapshot_kpis(rides: DataFrame, points: Points | None = None) -> DataFrame:
-    """All headline figures of every snapshot, from one pass over the priced rides.
+KEYS = ("no_bar", "no_start", "hour", "rideable_type", "start_station_name", "end_station_name")
+
+
+def headline_sums(rides: DataFrame, common: Sequence[str]) -> DataFrame:
+    """Rides and revenue by hour and bike type, by start station and by end station.
 
-    Hour-and-type, start station and end station are grouping sets of one aggregate. Per-ride
-    revenue is shown once a snapshot holds more than one ride.
+    The three are grouping sets of one aggregate, within each group of the ``common`` columns.
     """
-    points = points or snapshot_points(rides)
-    placed = place_rides(rides, points).withColumn("hour", F.date_trunc("hour", "started_at"))
-    common = [F.col("date"), F.col("last_k"), F.col("k")]
-    by_bar = [*common, F.col("hour"), F.col("rideable_type")]
-    by_start = [*common, F.col("start_station_name")]
-    by_end = [*common, F.col("end_station_name")]
-    deltas = placed.groupingSets(
-        [by_bar, by_start, by_end], *by_bar, by_start[-1], by_end[-1]
-    ).agg(
+    own = [F.col(c) for c in common]
+    by_bar = [*own, F.col("hour"), F.col("rideable_type")]
+    by_start = [*own, F.col("start_station_name")]
+    by_end = [*own, F.col("end_station_name")]
+    return rides.groupingSets([by_bar, by_start, by_end], *by_bar, by_start[-1], by_end[-1]).agg(
         F.grouping("hour").alias("no_bar"),
         F.grouping("start_station_name").alias("no_start"),
         F.count("ride_id").alias("rides"),
         F.coalesce(F.sum("revenue"), F.lit(0.0)).alias("revenue"),
     )
-    keys = ["no_bar", "no_start", "hour", "rideable_type", "start_station_name", "end_station_name"]
+
+
+def snapshot_kpis(rides: DataFrame, points: Points | None = None) -> DataFrame:
+    """All headline figures of every snapshot, from one pass over the priced rides.
+
+    Per-ride revenue is shown once a snapshot holds more than one ride.
+    """
+    points = points or snapshot_points(rides)
+    placed = place_rides(rides, points).withColumn("hour", F.date_trunc("hour", "started_at"))
+    return kpi_figures(headline_sums(placed, ["date", "last_k", "k"]), points)
+
+
+def kpis_from_cells(sums: DataFrame, rides: DataFrame, points: Points) -> DataFrame:
+    """The same from sums per minute: only rides of the minutes that hold an edge are looked at.
+
+    ``sums`` are :func:`headline_sums` by date and ``cell``, in any number of parts that add up;
+    ``rides`` has at least the rides of the minutes in which the day's edges lie, with ``cell``.
+    """
+    stretches = _stretches(points).withColumn("cell", cell_of(F.col("up_to.started_at")))
+    day = Window.partitionBy("date").orderBy("k")
+    edges = (
+        stretches.withColumn("after_cell", F.lag("cell").over(day))
+        .withColumnRenamed("cell", "edge_cell")
+        .select("date", "last_k", "k", "after_cell", "edge_cell")
+    )
+    # A minute without an edge goes to the first snapshot whose edge comes after it.
+    between = (
+        (F.col("s.date") == F.col("e.date"))
+        & (F.col("s.cell") < F.col("e.edge_cell"))
+        & (F.col("e.after_cell").isNull() | (F.col("s.cell") > F.col("e.after_cell")))
+    )
+    whole = sums.alias("s").join(small(edges, points.count).alias("e"), between).select(
+        "s.date", "e.last_k", "e.k", *[f"s.{c}" for c in KEYS], "s.rides", "s.revenue"
+    )
+    on_edge = small(edges.select("date", F.col("edge_cell").alias("cell")).distinct(), points.count)
+    near = rides.join(on_edge, ["date", "cell"], "left_semi").drop("date")
+    placed = place_rides(near, points).withColumn("hour", F.date_trunc("hour", "started_at"))
+    parts = whole.unionByName(headline_sums(placed, ["date", "last_k", "k"]).select(*whole.columns))
+    deltas = parts.groupBy("date", "last_k", "k", *KEYS).agg(
+        F.sum("rides").alias("rides"), F.sum("revenue").alias("revenue")
+    )
+    return kpi_figures(deltas, points)
+
+
+def kpi_figures(deltas: DataFrame, points: Points) -> DataFrame:
+    """The headline figures from what each snapshot adds to every key."""
+    keys = list(KEYS)
     running = _running(deltas, keys, ["rides", "revenue"])
 
     bar = F.col("no_bar") == 0

@@ -23,7 +23,7 @@ from rideflow.operators import cleaning, flows, forecast, kpis, snapshots, train
 from rideflow.schemas import COORDINATES, RIDE_COLUMNS, WEATHER_MEASURES
 from rideflow.session import scratch_path, stage
 from rideflow.sources import files, star, tables, topics
-from rideflow.streaming import jobs
+from rideflow.streaming import jobs, live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -630,3 +630,17 @@ def stream_hourly(spark: SparkSession, folder: str) -> DataFrame:
     ).awaitTermination()
     jobs.fold_hours(spark, target, 2)
     return jobs.latest_hours(spark, target).withColumn("revenue", steady(F.col("revenue")))
+
+
+@query
+def stream_snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    """Files in no order of time, one per micro-batch, rides twice: figures as of all at once."""
+    topic, target = scratch_path(spark, "rides-topic"), scratch_path(spark, "live")
+    clean = cleaning.clean_rides(star.rides(spark, folder))
+    for batch in range(2):
+        messages = topics.clean_ride_messages(clean.repartition(2, F.xxhash64("ride_id", F.lit(batch))))
+        topics.publish(messages, topic, topics.CLEAN_PARTITION, batch)
+    live.snapshot_stream(
+        spark, topic, target, _checkpoint(spark), files_per_trigger=1
+    ).awaitTermination()
+    return live.latest_kpis(spark, target)

@@ -410,6 +410,9 @@ SELECT date, k, i + 1 AS completed, true AS adds_up FROM snaps""",
         "stream_weather_ingest": f"{weather} SELECT * REPLACE ({_FLOAT_WEATHER}) FROM weather",
         "stream_dedup": f"""{rides} SELECT * REPLACE (
   CASE WHEN cast(ride_id AS bigint) % 10 <> 0 THEN started_at END AS started_at) FROM rides""",
+        "stream_snapshots": "WITH "
+        + _kpis().replace("FROM timed\n", "FROM timed WHERE start_station_id IS NOT NULL\n")
+        + " SELECT * FROM kpis",
         "stream_hourly": f"""{priced} {hours} FROM priced
 WHERE start_station_id IS NOT NULL GROUP BY ALL""",
     }

@@ -81,7 +81,7 @@ def _stored(
     return spark.read.schema(schema).parquet(path)
 
 
-def _same_partitions(known: DataFrame, fresh: DataFrame, partition_by: str) -> DataFrame:
+def same_partitions(known: DataFrame, fresh: DataFrame, partition_by: str) -> DataFrame:
     """Stored rows in the very partitions the new ones fall into, however far apart these are."""
     parts = fresh.select(partition_by).distinct()
     found = [r[0] for r in parts.limit(DAY_LIST + 1).collect()]
@@ -130,7 +130,7 @@ def append_unique(
     try:
         stored = _stored(spark, path, rows.schema, partition_by)
         if within_partition and partition_by:
-            known = _same_partitions(stored, fresh, partition_by).select(key)
+            known = same_partitions(stored, fresh, partition_by).select(key)
         else:
             known = known_keys(spark, path, fresh, key)
         new = _unknown(fresh, known, key)

@@ -7,8 +7,10 @@ running.
 
 from __future__ import annotations
 
+import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -31,6 +33,52 @@ from rideflow.sources.topics import (
 
 BatchFn = Callable[[DataFrame, int], None]
 
+# Keys that are never forgotten belong on disk, not in the executors' heap.
+_DISK_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
+
+
+@contextmanager
+def disk_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started within keep their state in RocksDB; the session's settings come back after."""
+    before = {k: spark.conf.get(k, None) for k in _DISK_STATE}
+    for k, v in _DISK_STATE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+def until_marked(
+    start: Callable[[str | None], StreamingQuery], every: str, marker: str, look: float = 1.0
+) -> None:
+    """Run a job until there is a file ``marker``, then stop it in good order.
+
+    ``start`` starts the job with the given interval. The batch in hand is finished, and what has
+    arrived since is handled by a last run of the same job that takes all there is and ends.
+    """
+    query = start(every)
+    spark = query._spark if hasattr(query, "_spark") else SparkSession.getActiveSession()
+    place = spark._jvm.org.apache.hadoop.fs.Path(marker)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    while query.isActive and not files.exists(place):
+        query.awaitTermination(look)
+    while query.isActive and query.status["isTriggerActive"]:
+        time.sleep(look / 10)
+    query.stop()
+    query.awaitTermination()
+    start(None).awaitTermination()
+
 
 def run(stream: DataFrame, write: BatchFn, checkpoint: str, mode: str, every: str | None):
     writer = (
@@ -39,7 +87,8 @@ def run(stream: DataFrame, write: BatchFn, checkpoint: str, mode: str, every: st
         .foreachBatch(write)
     )
     trigger = {"processingTime": every} if every else {"availableNow": True}
-    return writer.trigger(**trigger).start()
+    with disk_state(stream.sparkSession):
+        return writer.trigger(**trigger).start()
 
 
 def clean_stream(
@@ -97,19 +146,28 @@ def load_weather_stream(
     return run(days, table_writer(append_weather, table), checkpoint, "append", every)
 
 
-def dedup_rides(rides: DataFrame, delay: str = "2 days", salts: int | None = None) -> DataFrame:
-    """Each ride once, if its copies reach the job within ``delay`` of each other.
+def dedup_rides(
+    rides: DataFrame, delay: str | None = None, salts: int | None = None
+) -> DataFrame:
+    """Each ride once, whenever its copies arrive.
 
-    The clock is the job's own, the time of the micro-batch: no ride is ever late, however old its
-    start is, however the input is cut into batches, and with or without a start time. A key is
-    remembered for ``delay``.
+    The state holds every key, a narrow row each, and grows with the keys; the jobs here keep it on
+    disk. With ``delay`` a key is forgotten that long after it was seen, so the state is bounded, and a
+    copy that comes later passes. The clock is then the job's own, the time of the micro-batch: no
+    ride is ever late, however old its start is, however the input is cut into batches, and with or
+    without a start time.
 
     With ``salts`` copies are first dropped within so many slices of the input, at the price of a
     second shuffle and state: a ride sent very many times then reaches the task that owns its key at
     most ``salts`` times.
     """
-    seen = rides.filter(F.col("ride_id").isNotNull()).withColumn("_seen", F.current_timestamp())
-    keyed = seen.withWatermark("_seen", delay)
+    keyed = rides.filter(F.col("ride_id").isNotNull())
+    if delay is None:
+        if salts is not None:
+            sliced = keyed.withColumn("_slice", F.pmod(F.spark_partition_id(), F.lit(salts)))
+            keyed = sliced.dropDuplicates(["ride_id", "_slice"]).drop("_slice")
+        return keyed.dropDuplicates(["ride_id"])
+    keyed = keyed.withColumn("_seen", F.current_timestamp()).withWatermark("_seen", delay)
     if salts is not None:
         sliced = keyed.withColumn("_slice", F.pmod(F.spark_partition_id(), F.lit(salts)))
         keyed = sliced.dropDuplicatesWithinWatermark(["ride_id", "_slice"]).drop("_slice")
@@ -123,22 +181,33 @@ def dedup_stream(
     checkpoint: str,
     every: str | None = None,
     files_per_trigger: int | None = None,
-    delay: str = "2 days",
+    delay: str | None = None,
     salts: int | None = None,
 ) -> StreamingQuery:
     """Raw ride messages in, each ride once out, as a Parquet folder."""
     partition = None if isinstance(source, dict) else RAW_PARTITION
     rides = parse_rides(stream_topic(spark, source, partition, files_per_trigger))
     trigger = {"processingTime": every} if every else {"availableNow": True}
-    return (
+    writer = (
         dedup_rides(rides, delay, salts)
         .writeStream.format("parquet")
         .outputMode("append")
         .option("path", target)
         .option("checkpointLocation", checkpoint)
         .trigger(**trigger)
-        .start()
     )
+    with disk_state(spark):
+        return writer.start()
+
+
+def claim(spark: SparkSession, target: str, checkpoint: str) -> None:
+    """Refuse a target whose batches are numbered by another checkpoint than this one."""
+    own = spark.read.text(f"{checkpoint}/metadata", wholetext=True).first()[0].strip()
+    place = f"{target}/owner"
+    spark.createDataFrame([(own,)], "value string").coalesce(1).write.mode("ignore").text(place)
+    found = spark.read.text(place).first()[0]
+    if found != own:
+        raise ValueError(f"{target} was written by a job with another checkpoint")
 
 
 HOURS = "hour timestamp, rideable_type string, rides long, revenue double"
@@ -151,20 +220,21 @@ def hourly_stream(
     checkpoint: str,
     every: str | None = None,
     files_per_trigger: int | None = None,
-    delay: str = "2 days",
+    delay: str | None = None,
 ) -> StreamingQuery:
     """Cleaned ride messages in, hourly figures out: what each micro-batch adds to its hours.
 
-    A ride counts once if its copies reach the job within ``delay`` of each other
-    (:func:`dedup_rides`). Counts and sums add up, so no hour is ever closed and no ride too late; a
+    A ride counts once (:func:`dedup_rides`). Counts and sums add up, so no hour is ever closed and no ride too late; a
     batch that runs again replaces its own folder. :func:`latest_hours` adds the batches up,
-    :func:`fold_hours` replaces old ones by their sum. A target belongs to one checkpoint.
+    :func:`fold_hours` replaces old ones by their sum. A target belongs to one checkpoint; a job with
+    another one is refused.
     """
     partition = None if isinstance(source, dict) else CLEAN_PARTITION
     messages = stream_topic(spark, source, partition, files_per_trigger)
     rides = parse_clean_rides(messages).withColumnRenamed("duration", "duration_seconds")
 
     def write(rows: DataFrame, batch_id: int) -> None:
+        claim(spark, target, checkpoint)
         added = _summed(with_revenue(rows).select(
             F.date_trunc("hour", "started_at").alias("hour"),
             "rideable_type",

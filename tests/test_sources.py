@@ -207,7 +207,7 @@ def test_only_the_days_of_a_batch_are_looked_up(spark, make_rides, tmp_path, mon
     )
     for listed in (tables.DAY_LIST, 1):
         monkeypatch.setattr(tables, "DAY_LIST", listed)
-        known = tables._same_partitions(tables.read_ride_table(spark, table), fresh, "date")
+        known = tables.same_partitions(tables.read_ride_table(spark, table), fresh, "date")
         assert sorted(r.ride_id for r in known.collect()) == ["0", "27"]
 
 

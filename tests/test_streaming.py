@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +10,8 @@ from rideflow.functions.pricing import with_revenue
 from rideflow.operators.cleaning import clean_rides, parse_clean_rides, with_duration
 from rideflow.operators.kpis import hourly
 from rideflow.sources import tables, topics
-from rideflow.streaming import jobs
+from rideflow.operators.snapshots import snapshot_kpis
+from rideflow.streaming import jobs, live
 
 
 @pytest.fixture
@@ -200,3 +202,100 @@ def test_weather_stream_keeps_one_row_per_day(spark, paths):
     stored = tables.read_weather_table(spark, paths["table"])
     assert stored.count() == 3
     assert stored.select(F.sum("tempmax")).first()[0] == 4.5
+
+
+def test_a_key_is_never_forgotten_unless_a_delay_is_set(spark, make_rides, paths):
+    """The clock moves past a short delay between two runs."""
+    send(make_rides({"ride_id": "a"}), paths["topic"])
+
+    def dedup(out, checkpoint, **options):
+        jobs.dedup_stream(
+            spark, paths["topic"], paths[out], paths[checkpoint], **options
+        ).awaitTermination()
+        return [r.ride_id for r in spark.read.parquet(paths[out]).collect()]
+
+    assert dedup("out", "check") == dedup("table", "check2", delay="1 second") == ["a"]
+    for batch, ride in ((1, "b"), (2, "a")):
+        time.sleep(2)
+        send(make_rides({"ride_id": ride}), paths["topic"], batch=batch)
+        dedup("table", "check2", delay="1 second")
+        dedup("out", "check")
+    assert sorted(dedup("out", "check")) == ["a", "b"]
+    assert sorted(dedup("table", "check2", delay="1 second")) == ["a", "a", "b"]
+
+
+def test_a_target_belongs_to_one_checkpoint(spark, make_rides, paths):
+    send_clean(make_rides({}), paths["topic"])
+    jobs.hourly_stream(spark, paths["topic"], paths["out"], paths["check"]).awaitTermination()
+    other = jobs.hourly_stream(spark, paths["topic"], paths["out"], paths["check2"])
+    with pytest.raises(Exception, match="another checkpoint"):
+        other.awaitTermination()
+    assert jobs.latest_hours(spark, paths["out"]).first().rides == 1
+
+
+def test_a_running_job_stops_in_good_order(spark, make_rides, paths, tmp_path):
+    send_clean(make_rides({"ride_id": "a"}), paths["topic"])
+    started = []
+
+    def start(every):
+        started.append(every)
+        if every is None:
+            # Arrives after the marker: the last run takes it.
+            send_clean(make_rides({"ride_id": "c"}), paths["topic"], batch=2)
+        query = jobs.load_rides_stream(
+            spark, paths["topic"], paths["table"], paths["check"], every=every
+        )
+        if every is not None:
+            query.processAllAvailable()
+            send_clean(make_rides({"ride_id": "a"}, {"ride_id": "b"}), paths["topic"], batch=1)
+            (tmp_path / "stop").touch()
+        return query
+
+    jobs.until_marked(start, "1 second", str(tmp_path / "stop"), 0.2)
+    assert started == ["1 second", None]
+    stored = tables.read_ride_table(spark, paths["table"])
+    assert sorted(r.ride_id for r in stored.collect()) == ["a", "b", "c"]
+
+
+def _day_rides(days, per_day=40):
+    at = dt.datetime(2024, 1, 1, 9)
+    types = ("classic_bike", "electric_bike", None)
+    return [
+        {
+            "ride_id": f"{d}-{i:03d}", "started_at": at + dt.timedelta(days=d, seconds=i * 47 % 900),
+            "rideable_type": types[i % 3], "start_station_name": "ABC"[i * i % 3], "seconds": 60 * i,
+            "end_station_name": None if i % 4 == 0 else "XY"[i % 2],
+        }
+        for d in days for i in range(per_day)
+    ]
+
+
+def _plain(df):
+    columns = sorted(df.columns)
+    return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
+
+
+def test_live_figures_are_those_of_all_rides_at_once(spark, make_rides, paths):
+    """Days of many and of few rides, cut in many ways, with replayed batches, folded in between."""
+    rides = _day_rides((0, 2)) + _day_rides((1,), 3) + _day_rides((3,), 1)
+    want = _plain(snapshot_kpis(with_revenue(with_duration(make_rides(*rides)))))
+    for batch in range(3):
+        part = with_revenue(with_duration(make_rides(*rides[batch::3])))
+        for _ in range(1 + (batch == 1)):
+            live.add_batch(spark, paths["out"], part, batch)
+        if batch == 1:
+            live.fold(spark, paths["out"], 0)
+    assert _plain(live.latest_kpis(spark, paths["out"])) == want
+
+
+def test_days_a_batch_does_not_touch_are_not_read(spark, make_rides, paths, tmp_path):
+    first, later = _day_rides((0, 1)), _day_rides((1,), 60)[40:]
+    live.add_batch(spark, paths["out"], with_revenue(with_duration(make_rides(*first))), 0)
+    for kind in ("rides", "sums"):
+        for file in (tmp_path / "out" / kind / "batch=0" / "date=2024-01-01").glob("*.parquet"):
+            file.write_bytes(b"not a table any more")
+    for crc in (tmp_path / "out").rglob(".*.crc"):
+        crc.unlink()
+    live.add_batch(spark, paths["out"], with_revenue(with_duration(make_rides(*later))), 1)
+    want = snapshot_kpis(with_revenue(with_duration(make_rides(*first, *later))))
+    assert _plain(live.latest_kpis(spark, paths["out"])) == _plain(want)
