@@ -17,16 +17,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rideflow.llm.common import small_side, words
 from rideflow.session import stage
 
-# The fewest buckets; they are doubled until no more than so many n-grams, repeats included, come to
-# one on average. The larger a corpus, the fewer of a hundred n-grams are different ones.
-BUCKETS = 1 << 18
-GRAMS_PER_BUCKET = 100
-# Pseudo-counts of every bucket in both multinomials: a share of the trusted n-grams, so that an
+# Buckets of the n-grams, at any size of the corpus.
+BUCKETS = 1 << 20
+# Least share of all n-grams that a bucket needs to be told apart from the others. The frequent ones
+# have the same share in a corpus of any size; the rest, however many there are, is one class.
+RARE_SHARE = 2e-6
+# Pseudo-counts of every class in both multinomials: a share of the trusted n-grams, so that an
 # n-gram of a given frequency has the same ratio in a corpus of any size, but never fewer than these.
 SMOOTHING = 8.0
 SMOOTHING_SHARE = 3e-6
-# Ratios (some 40 bytes each in a hash table) that may be sent to every executor.
-RATIOS_TO_BROADCAST = 1 << 22
+_CHUNK = 1 << 10
 # Ratios are whole thousandths, so that sums are exact.
 SCALE = 1000
 LOWEST_SCORE = -0.15
@@ -98,108 +98,86 @@ def _hashed(docs: DataFrame, text_col: str) -> DataFrame:
     return found.withColumn("__hashes", F.transform("__words", lambda w: F.xxhash64(w)))
 
 
-def _grams(hashes: Column) -> Column:
-    """Hash of every word and every pair of neighbours."""
-    two = F.transform(hashes, lambda h, i: F.when(i > 0, F.xxhash64(F.get(hashes, i - 1), h)))
-    return F.concat(hashes, F.filter(two, lambda g: g.isNotNull()))
+def _buckets(hashes: Column) -> Column:
+    """Bucket of every word and every pair of neighbours."""
+    mask = F.lit(BUCKETS - 1)
+    one = F.transform(hashes, lambda h: h.bitwiseAND(mask).cast("int"))
+    two = F.transform(
+        hashes,
+        lambda h, i: F.when(
+            i > 0, F.xxhash64(F.get(hashes, i - 1), h).bitwiseAND(mask).cast("int")
+        ),
+    )
+    return F.concat(one, F.filter(two, lambda b: b.isNotNull()))
 
 
 def log_ratios(
     docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text"
-) -> tuple[DataFrame, int]:
-    """For each bucket ``b`` ln ``r`` of its trusted over its overall probability, in thousandths,
-    where that isn't 0; and the number of buckets.
+) -> DataFrame:
+    """One row with an array: for each bucket ln of its class's trusted over its overall probability,
+    in thousandths.
 
-    There is at least one bucket for every ``GRAMS_PER_BUCKET`` n-grams of the documents, counted with
-    their repeats. ``trusted`` has the ids of the trusted documents in ``doc_id``.
+    Counts are summed within each task before they are shuffled; there are ``BUCKETS`` of them,
+    whatever the size of the corpus. A bucket of at least ``RARE_SHARE`` of all n-grams is a class of
+    its own, all others are one class, so that every n-gram counts. ``trusted`` has the ids of the
+    trusted documents in ``doc_id``.
     """
-    length = F.size(words(F.coalesce(F.col(text_col), F.lit("")))).cast("bigint")
-    n_grams = docs.agg(F.sum(F.greatest(2 * length - 1, F.lit(0)))).first()[0] or 0
-    buckets = BUCKETS
-    while buckets * GRAMS_PER_BUCKET < n_grams:
-        buckets *= 2
     ids = trusted.select(F.col("doc_id").alias("__id")).dropna().distinct()
     flagged = docs.select(F.col(id_col).alias("__key"), text_col).join(
         small_side(ids.withColumn("__t", F.lit(1))), F.col("__key") == F.col("__id"), "left"
     )
-    # Counts are summed within each task before they are shuffled.
     grams = _hashed(flagged, text_col).select(
-        F.explode(_grams(F.col("__hashes"))).alias("g"), F.coalesce("__t", F.lit(0)).alias("t")
-    ).select(F.col("g").bitwiseAND(F.lit(buckets - 1)).alias("b"), "t")
-    table = stage(
-        grams.groupBy("b").agg(F.count("*").alias("n"), F.sum("t").alias("t")), "quality-counts"
+        F.explode(_buckets(F.col("__hashes"))).alias("b"), F.coalesce("__t", F.lit(0)).alias("t")
     )
-    found = table.agg(F.sum("n").alias("n"), F.sum("t").alias("t")).first()
-    if not found["t"]:
-        return table.limit(0).select("b", F.lit(0).alias("r")), buckets
-    # Both multinomials are smoothed alike, the overall counts scaled to the trusted total: an n-gram
+    counted = grams.groupBy("b").agg(F.count("*").alias("n"), F.sum("t").alias("t"))
+    table = stage(counted, "quality-counts")
+    whole = table.agg(F.sum("n").alias("n"), F.sum("t").alias("t")).first()
+    spark = docs.sparkSession
+    if not whole["t"]:
+        return spark.range(1).select(F.array_repeat(F.lit(0).cast("smallint"), BUCKETS).alias("r"))
+    frequent = F.col("n") >= RARE_SHARE * whole["n"]
+    rest = table.where(~frequent).agg(F.sum("n").alias("n"), F.sum("t").alias("t")).first()
+    # Both multinomials are smoothed alike, the overall counts scaled to the trusted total: a class
     # that is rare tells little, whether trusted documents happen to have it or not.
-    smoothing = max(SMOOTHING, SMOOTHING_SHARE * found["t"])
-    share = found["t"] / found["n"]
-    ratio = F.log((F.col("t") + smoothing) / (F.col("n") * share + smoothing))
-    ratios = table.select("b", F.round(SCALE * ratio).cast("int").alias("r")).where("r <> 0")
-    return stage(ratios, "quality-ratios"), buckets
-
-
-def _digest(text: Column) -> Column:
-    return F.unhex(F.md5(text))
+    smoothing, share = max(SMOOTHING, SMOOTHING_SHARE * whole["t"]), whole["t"] / whole["n"]
+
+    def ratio(n: Column, t: Column) -> Column:
+        return F.round(SCALE * F.log((t + smoothing) / (n * share + smoothing))).cast("smallint")
+
+    common = ratio(F.lit(rest["n"] or 0), F.lit(rest["t"] or 0))
+    told = table.where(frequent).select("b", ratio(F.col("n"), F.col("t")).alias("r"))
+    every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("b"), common.alias("c"))
+    dense = every.join(told, "b", "left").select("b", F.coalesce("r", "c").alias("r"))
+    # In runs first, so that the single row is put together from few and narrow parts.
+    run = F.transform(F.array_sort(F.collect_list(F.struct("b", "r"))), lambda x: x["r"])
+    runs = dense.groupBy((F.col("b") / _CHUNK).cast("int").alias("k")).agg(run.alias("x"))
+    ordered = F.array_sort(F.collect_list(F.struct("k", "x")))
+    return stage(
+        runs.agg(F.flatten(F.transform(ordered, lambda y: y["x"])).alias("r")), "quality-ratios"
+    )
 
 
-def text_scores(
+def judge(
     docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """The counts and the score of every distinct text, known by ``__digest``.
+    """``docs`` with the counts, ``base_failed``, ``score`` and ``kept``.
 
-    Each n-gram looks its ratio up by a join, whatever the number of buckets; up to
-    ``RATIOS_TO_BROADCAST`` ratios are sent to the n-grams, else both are shuffled. Copies of a text
-    add up to as many times the sum and the number of n-grams, hence to the same mean.
+    The ratios are a scalar subquery of fixed size; each document is then scored where it lies.
     """
-    ratios, buckets = log_ratios(docs, trusted, id_col, text_col)
+    ratios = log_ratios(docs, trusted, id_col, text_col)
     base = base_columns(F.col("__text"), F.col("__words"), F.col("__hashes"))
     found = F.struct(
-        _digest(F.col("__text")).alias("__digest"),
-        *(c.alias(n) for n, c in base.items()),
-        _grams(F.col("__hashes")).alias("__grams"),
-    )
-    # An exploded array of one: nothing is moved below the counting, where it would have to count
-    # anew for every mention of a column.
-    counted = _hashed(docs.select(text_col), text_col).select(F.explode(F.array(found)).alias("f"))
-    each = counted.select("f.*").select(
-        "__digest", *base, F.posexplode_outer("__grams").alias("__at", "__gram")
-    )
-    # The counts travel with one n-gram of each text.
-    first = F.coalesce(F.col("__at"), F.lit(0)) == 0
-    lean = each.select(
-        "__digest",
-        *(F.when(first, F.col(c)).alias(c) for c in base),
-        F.col("__gram").bitwiseAND(F.lit(buckets - 1)).alias("__b"),
+        *(c.alias(n) for n, c in base.items()), _buckets(F.col("__hashes")).alias("__buckets")
     )
-    few = ratios.count() <= RATIOS_TO_BROADCAST
-    looked_up = lean.join(
-        F.broadcast(ratios) if few else ratios, F.col("__b") == F.col("b"), "left"
-    )
-    sums = looked_up.groupBy("__digest").agg(
-        *(F.max(c).alias(c) for c in base),
-        F.coalesce(F.sum("r"), F.lit(0)).alias("__sum"),
-        F.count("__b").alias("__n"),
-    )
-    score = F.when(F.col("__n") > 0, F.col("__sum") / F.col("__n") / SCALE).otherwise(0.0)
-    return sums.select("__digest", *base, score.alias("score"))
-
-
-def judge(
-    docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """``docs`` with the counts, ``base_failed``, ``score`` and ``kept``."""
-    scores = stage(text_scores(docs, trusted, id_col, text_col), "quality-scores")
-    made = [c for c in scores.columns if c != "__digest"]
-    columns = [c for c in docs.columns if c not in (*made, "base_failed", "kept")]
-    own = _digest(F.coalesce(F.col(text_col), F.lit("")))
-    named = docs.select(*(F.col(f"`{c}`") for c in columns), own.alias("__own"))
+    # An exploded array of one: no later filter is moved below the counting, where it would have to
+    # count anew for every mention of a column.
+    columns = [F.col(f"`{c}`") for c in docs.columns if c not in (*base, "score", "base_failed", "kept")]
+    counted = _hashed(docs, text_col).select(*columns, F.explode(F.array(found)).alias("__found"))
+    named = counted.select(*columns, "__found.*").withColumn("__r", ratios.scalar())
+    total = F.aggregate("__buckets", F.lit(0).cast("bigint"), lambda a, b: a + F.get("__r", b))
+    score = F.when(F.size("__buckets") > 0, total / F.size("__buckets") / SCALE).otherwise(0.0)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    judged = named.join(scores, F.col("__own") == F.col("__digest")).select(
-        *(F.col(f"`{c}`") for c in columns), *made, failed.alias("base_failed")
-    )
+    judged = named.withColumns({"base_failed": failed, "score": score}).drop("__buckets", "__r")
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= LOWEST_SCORE))
 
 

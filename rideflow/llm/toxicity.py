@@ -9,7 +9,8 @@ gives. In a text the same recursion gives every word's marginal probability of b
 document's score is a logistic function of the highest marginal and of their sum; words of at least
 one half are reported with their character offsets.
 
-The fit takes at most ``SAMPLE`` labelled rows of each class, of at most ``SAMPLE_CHARS`` characters;
+The fit takes at most ``SAMPLE`` labelled rows of each class, of at most ``SAMPLE_CHARS`` characters,
+and of their words at most ``MOST_WINDOWS`` windows of ``WINDOW``, those with toxic words first;
 scoring takes every text whole. Null texts count as empty; an empty text gets the score of a text
 without evidence. Ties and repeated rows: every row is scored by its text alone. Without toxic or
 without clean examples nothing can be learnt, and all scores are 0. An empty table gives no rows.
@@ -17,8 +18,11 @@ without clean examples nothing can be learnt, and all scores are 0. An empty tab
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import zlib
+from array import array
 from dataclasses import dataclass
 
 import numpy as np
@@ -73,15 +77,16 @@ def _toxic_words(
         before = np.concatenate([[-1], words[:-1]]) if len(words) else words
         pairs[label].append((before + 1) * size + words)
     seen, totals = [], []
+    marks, at = np.unique(code % _MARKS, return_inverse=True)
     for part in pairs:
         distinct = np.unique(np.concatenate(part))
         by_word = np.bincount(distinct % size, minlength=size)
-        seen.append(np.bincount(code % _MARKS, by_word[owner], minlength=_MARKS))
+        seen.append(np.bincount(at, by_word[owner], minlength=len(marks)))
         totals.append(sum(map(len, part)) + 1)
     clean, bad = seen
     marked = bad >= max(3, sum(toxic) // 200)
     marked &= bad / totals[1] >= RATIO * (clean + 1) / totals[0]
-    return np.bincount(owner, marked[code % _MARKS], minlength=size) > 0
+    return np.bincount(owner, marked[at], minlength=size) > 0
 
 
 def _forward_backward(odds: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,9 +109,14 @@ def fit(texts: list[str], toxic: list[bool], prior: float) -> Field | None:
     ids: dict[str, int] = {}
     coded = [np.array([ids.setdefault(w, len(ids)) for w in t.split()], np.int64) for t in texts]
     names = list(ids)
-    hashed = [codes(w) for w in names]
-    owner = np.repeat(np.arange(len(names)), [len(h) for h in hashed])
-    code = np.array([c for h in hashed for c in h], np.int64)
+    ids.clear()
+    sizes, hashed = array("I"), array("Q")
+    for w in names:
+        found = codes(w)
+        sizes.append(len(found))
+        hashed.extend(found)
+    owner = np.repeat(np.arange(len(names)), np.frombuffer(sizes, np.uint32))
+    code = np.frombuffer(hashed, np.uint64).astype(np.int64)
     if not len(code):
         return None
     bad_word = _toxic_words(coded, toxic, owner, code, len(names))
@@ -276,10 +286,24 @@ def learn(
         .join(F.broadcast(ids), F.col("__key") == F.col("__id"))
         .dropDuplicates(["__key"])
         .select("__key", "__text", "toxic")
-        .collect()
+        .toArrow()
+        .sort_by("__key")
     )
-    rows.sort(key=lambda r: r[0])
-    return fit([r[1] for r in rows], [bool(r[2]) for r in rows], bad / max(1, bad + clean))
+    texts, toxic = rows.column("__text").to_pylist(), rows.column("toxic").to_pylist()
+    del rows
+    field = fit(texts, [bool(t) for t in toxic], bad / max(1, bad + clean))
+    del texts
+    _give_back()
+    return field
+
+
+def _give_back() -> None:
+    """Return the memory of the fit to the system before the next stage starts."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 _RESULT = "struct<score: double, spans: array<struct<start: int, end: int, p: double>>>"

@@ -53,6 +53,7 @@ def test_scores_are_mean_log_ratios(spark):
     good = Counter(g for i in (1, 3) for g in grams[i])
     share = good.total() / raw.total()
 
+
     def ratio(g):
         return math.log((good[g] + quality.SMOOTHING) / (raw[g] * share + quality.SMOOTHING))
 
@@ -83,22 +84,30 @@ def test_a_large_trusted_list_is_joined_by_shuffling(spark, monkeypatch):
     assert got == want
 
 
-@pytest.mark.parametrize("fewest", [1 << 8, 1 << 12])
-def test_the_verdict_holds_however_few_buckets_there_are_to_begin_with(spark, monkeypatch, fewest):
-    monkeypatch.setattr(quality, "BUCKETS", fewest)
-    monkeypatch.setattr(quality, "GRAMS_PER_BUCKET", 20, raising=False)
-    folder = "/root/testdata/sf0.01"
+def verdicts(spark, folder):
+    """Whether kept: of good documents that pass the base rules, of all junk."""
     docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
-    judged = quality.judge(docs, labels.where("quality = 1")).where("not base_failed")
-    rows = judged.join(labels, "doc_id").select("quality", "kept").collect()
-    good, junk = ([r.kept for r in rows if r.quality == q] for q in (1, 0))
-    assert sum(good) >= 0.99 * len(good) and sum(junk) < 0.15 * len(junk)
-
-
-def test_ratios_too_many_to_broadcast_are_joined_by_shuffling(spark, monkeypatch):
-    docs = odd_documents(spark).union(odd_documents(spark))
-    trusted = spark.createDataFrame([(5,), (10,)], "doc_id long")
-    columns = ("doc_id", *COUNTS, "score", "kept")
-    want = Counter(tuple(r) for r in quality.judge(docs, trusted).select(*columns).collect())
-    monkeypatch.setattr(quality, "RATIOS_TO_BROADCAST", 0)
-    assert Counter(tuple(r) for r in quality.judge(docs, trusted).select(*columns).collect()) == want
+    judged = quality.judge(docs, labels.where("quality = 1")).join(labels, "doc_id")
+    rows = judged.select("quality", "kept", "base_failed").collect()
+    return (
+        [r.kept for r in rows if r.quality == 1 and not r.base_failed],
+        [r.kept for r in rows if r.quality == 0],
+    )
+
+
+@pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
+def test_junk_is_told_at_any_size(spark, scale):
+    good, junk = verdicts(spark, f"/root/testdata/{scale}")
+    assert sum(good) >= 0.99 * len(good) and sum(junk) <= 0.05 * len(junk)
+
+
+def test_rare_grams_are_one_class(spark, monkeypatch):
+    monkeypatch.setattr(quality, "RARE_SHARE", 0.2)
+    docs = spark.createDataFrame([(1, "a a a b"), (2, "a a c d")], "doc_id long, text string")
+    trusted = spark.createDataFrame([(1,)], "doc_id long")
+    ratios = quality.log_ratios(docs, trusted).first()[0]
+    # Of 14 n-grams "a" is frequent, 5 of them, 3 of 7 trusted ones, and "a a", 3 and 2; 6 are left.
+    s = quality.SMOOTHING
+    pairs = ((3, 2.5), (2, 1.5), (2, 3))
+    want = {round(1000 * math.log((t + s) / (n + s))) for t, n in pairs}
+    assert len(ratios) == quality.BUCKETS and set(ratios) == want
