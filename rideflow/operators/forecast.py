@@ -72,19 +72,41 @@ def fit_percent(model: PipelineModel, training: DataFrame) -> float:
     return round(r2 * 100, 1)
 
 
+def fingerprint(training: DataFrame, **options: int) -> str:
+    """What a forest depends on, as text: the days in any order, and the settings.
+
+    Equal days add up to the same sum; their number tells repeated ones.
+    """
+    row = F.xxhash64(*[F.col(c).cast("string") for c in ("date", *FEATURES, LABEL)])
+    found = training.agg(
+        F.count("*").alias("days"), F.sum(row.cast("decimal(38,0)")).alias("sum")
+    ).first()
+    settings = {"seed": 42, "trees": TREES, "max_depth": MAX_DEPTH, "max_bins": MAX_BINS} | options
+    return f"{found['days']} {found['sum']} {sorted(settings.items())}"
+
+
 def fit_or_load(training: DataFrame, path: str | None = None, **options: int) -> Forecast:
-    """The forest saved at ``path`` and its fit on these days; fitted and saved if there is none."""
-    if path is not None and _exists(training.sparkSession, path):
+    """The forest saved at ``path`` if it was fitted on these days with these settings.
+
+    Otherwise it is fitted and saved there. The fit reported is that on these days.
+    """
+    if path is None:
+        return fit_forecast(training, **options)
+    days = stage(training.select("date", *FEATURES, LABEL), "training")
+    mark, place = fingerprint(days, **options), f"{path}/fingerprint"
+    spark = training.sparkSession
+    if _exists(spark, place) and spark.read.text(place).first()[0] == mark:
         model = load_forecast(path)
-        return Forecast(model, fit_percent(model, stage(training, "training")))
-    fitted = fit_forecast(training, **options)
-    if path is not None:
-        save_forecast(fitted.model, path)
+        return Forecast(model, fit_percent(model, days))
+    fitted = fit_forecast(days, **options)
+    save_forecast(fitted.model, path)
+    # Last: a model that was saved in part has none.
+    spark.createDataFrame([(mark,)], "value string").coalesce(1).write.text(place)
     return fitted
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/metadata")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 

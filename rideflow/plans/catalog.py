@@ -19,7 +19,7 @@ from rideflow.functions.labels import (
 )
 from rideflow.functions.pricing import with_revenue
 from rideflow.functions.rounding import steady
-from rideflow.operators import cleaning, flows, forecast, kpis, snapshots, training
+from rideflow.operators import cleaning, flows, forecast, kpis, rejects, snapshots, training
 from rideflow.schemas import COORDINATES, RIDE_COLUMNS, WEATHER_MEASURES
 from rideflow.session import scratch_path, stage
 from rideflow.sources import files, star, tables, topics
@@ -243,6 +243,25 @@ def parse_ride_json(spark: SparkSession, folder: str) -> DataFrame:
     return cleaning.with_coordinates(cleaning.parse_rides(sent))
 
 
+@query
+def parse_rejects(spark: SparkSession, folder: str) -> DataFrame:
+    """Of ten messages one is cut off, one has a coordinate and one a time that can't be read."""
+    sent = topics.ride_messages(star.rides(spark, folder))
+    number = F.get_json_object("value", "$.ride_id").cast("long") % 10
+    spoilt = (
+        F.when(number == 3, F.expr("left(value, 40)"))
+        .when(number == 5, F.regexp_replace("value", '"end_lng":[^,}]*', '"end_lng":"far west"'))
+        .when(number == 7, F.regexp_replace("value", '"started_at":"[^"]*"', '"started_at":"soon"'))
+        .otherwise(F.col("value"))
+    )
+    judged = rejects.judged_rides(sent.select(spoilt.alias("value")))
+    fine, bad = rejects.split_to(judged, scratch_path(spark, "judged"))
+    own = F.regexp_extract("value", r'"ride_id":"(\d+)"', 1)
+    return fine.select("ride_id", F.lit(None).cast("string").alias("reason")).unionByName(
+        bad.select(own.alias("ride_id"), "reason")
+    )
+
+
 @query
 def clean_rides(spark: SparkSession, folder: str) -> DataFrame:
     return cleaning.clean_rides(star.rides(spark, folder))

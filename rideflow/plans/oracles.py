@@ -405,6 +405,9 @@ WHERE cast(datetime AS date) >= date '{FORECAST_FROM}'""",
         "forecast_r2": f"{weather} SELECT cast(datetime AS date) AS date, true AS fits FROM weather",
         "forecast_vs_actual": f"""{snaps}
 SELECT date, k, i + 1 AS completed, true AS adds_up FROM snaps""",
+        "parse_rejects": f"""{rides}
+SELECT ride_id, CASE cast(ride_id AS bigint) % 10 WHEN 3 THEN 'not json' WHEN 5 THEN 'end_lng'
+  WHEN 7 THEN 'started_at' END AS reason FROM rides""",
         "stream_clean": f"{_CLEAN_TABLE} FROM clean",
         "stream_to_table": table,
         "stream_weather_ingest": f"{weather} SELECT * REPLACE ({_FLOAT_WEATHER}) FROM weather",

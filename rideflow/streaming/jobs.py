@@ -22,6 +22,7 @@ from rideflow.operators.cleaning import (
     parse_rides,
     parse_weather,
 )
+from rideflow.operators.rejects import counted, good, judged_rides, rejected
 from rideflow.sources.tables import append_rides, append_weather, table_writer
 from rideflow.sources.topics import (
     CLEAN_PARTITION,
@@ -99,17 +100,33 @@ def clean_stream(
     every: str | None = None,
     files_per_trigger: int | None = None,
     to_partition: int | None = CLEAN_PARTITION,
+    rejects: str | None = None,
 ) -> StreamingQuery:
     """Raw ride messages in, cleaned ones with their duration out, on the other partition.
 
-    With ``to_partition`` None a Kafka target spreads them over all its partitions.
+    With ``to_partition`` None a Kafka target spreads them over all its partitions. Messages that
+    can't be read go to the table ``rejects``, if one is named, with their origin and the reason
+    (:mod:`rideflow.operators.rejects`), and no further; the progress of the query reports how many.
     """
     partition = None if isinstance(source, dict) else RAW_PARTITION
     messages = stream_topic(spark, source, partition, files_per_trigger)
     clean = clean_ride_messages(clean_rides(parse_rides(messages)))
     # Batch ids count from 0 for each checkpoint; its name keeps two of them apart.
     sender = uuid.uuid5(uuid.NAMESPACE_URL, checkpoint).hex
-    return run(clean, batch_writer(target, to_partition, sender), checkpoint, "append", every)
+    write = batch_writer(target, to_partition, sender)
+    if rejects is None:
+        return run(clean, write, checkpoint, "append", every)
+
+    def write_both(rows: DataFrame, batch_id: int) -> None:
+        judged = rows.persist()
+        try:
+            write(clean_ride_messages(clean_rides(good(judged))), batch_id)
+            place = f"{rejects}/batch_id={sender}-{batch_id}"
+            rejected(judged).write.mode("overwrite").parquet(place)
+        finally:
+            judged.unpersist()
+
+    return run(counted(judged_rides(messages)), write_both, checkpoint, "append", every)
 
 
 def load_rides_stream(

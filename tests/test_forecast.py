@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,3 +117,29 @@ def test_difference_at_each_snapshot(spark):
     predictions = spark.sql("select date'2024-01-05' date, 7L predicted, '7 rides' label")
     row = forecast.forecast_vs_actual(index, predictions).first()
     assert (row.completed, row.predicted, row.difference) == (1, 7, -6)
+
+
+def test_a_saved_forest_serves_only_the_days_it_was_fitted_on(spark, tmp_path, monkeypatch):
+    path, options = str(tmp_path / "model"), {"trees": 2, "max_depth": 3}
+    rows = [
+        (dt.date(2020, 1, 1) + dt.timedelta(d), *[float(d * k % 17) for k in range(1, 8)], d % 17 + 3)
+        for d in range(60)
+    ]
+    names = ["date", *training.FEATURES, training.LABEL]
+    days = spark.createDataFrame(rows, names)
+    fits = []
+    fit = forecast.fit_forecast
+    monkeypatch.setattr(forecast, "fit_forecast", lambda *a, **k: fits.append(1) or fit(*a, **k))
+    first = forecast.fit_or_load(days, path, **options)
+    again = forecast.fit_or_load(days.orderBy("count"), path, **options)
+    assert len(fits) == 1 and again.fit_percent == first.fit_percent
+    changed = spark.createDataFrame([*rows[:-1], (*rows[-1][:-1], 99)], names)
+    forecast.fit_or_load(changed, path, **options)
+    assert len(fits) == 2
+    forecast.fit_or_load(changed, path, trees=3, max_depth=3)
+    forecast.fit_or_load(changed.union(changed.limit(1)), path, **options)
+    assert len(fits) == 4
+    # A model whose saving ended early is fitted anew.
+    shutil.rmtree(tmp_path / "model" / "fingerprint")
+    forecast.fit_or_load(changed.union(changed.limit(1)), path, **options)
+    assert len(fits) == 5
