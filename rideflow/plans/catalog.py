@@ -22,7 +22,7 @@ from rideflow.functions.rounding import steady
 from rideflow.operators import cleaning, flows, forecast, kpis, rejects, snapshots, training
 from rideflow.schemas import COORDINATES, RIDE_COLUMNS, WEATHER_MEASURES
 from rideflow.session import scratch_path, stage
-from rideflow.sources import files, star, tables, topics
+from rideflow.sources import files, ordered, star, tables, topics
 from rideflow.streaming import jobs, live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,6 +124,16 @@ def publish_partitioned(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+@query
+def publish_ordered(spark: SparkSession, folder: str) -> DataFrame:
+    """Rides sent in start order, with their positions as a reader finds them."""
+    topic = scratch_path(spark, "rides-topic")
+    rides = ordered.sorted_rows(star.rides(spark, folder), ["started_at", "ride_id"])
+    batch = ordered.publish(topics.ride_messages(rides), topic, topics.RAW_PARTITION)
+    found = ordered.read(spark, topic, batch, topics.RAW_PARTITION)
+    return found.select(F.get_json_object("value", "$.ride_id").alias("ride_id"), "position")
+
+
 @query
 def ride_table_ddl(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "ride-table")

@@ -288,6 +288,9 @@ SELECT * REPLACE (cast(datetime AS date) AS datetime) FROM weather""",
         "publish_partitioned": f"""{priced}, {_CLEAN}
 SELECT ride_id, cast(NULL AS double) AS duration, 0 AS partition FROM rides
 UNION ALL SELECT ride_id, duration_seconds, 1 FROM clean""",
+        "publish_ordered": f"""{rides} SELECT ride_id,
+  row_number() OVER (ORDER BY started_at NULLS FIRST, ride_id NULLS FIRST) - 1 AS position
+FROM rides""",
         "ride_table_ddl": table,
         "table_mixed_writers": table,
         "table_day_scan": f"{table} WHERE cast(started_at AS date) = date '{DAY}'",

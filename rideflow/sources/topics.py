@@ -83,6 +83,10 @@ def kafka_read_options(
     return options
 
 
+def batch_folder(topic: str, partition: int | None, batch: str | int) -> str:
+    return f"{topic}/partition={partition or 0}/batch={batch}"
+
+
 def publish(
     messages: DataFrame,
     target: str | dict[str, str],
@@ -100,8 +104,7 @@ def publish(
         messages.write.format("kafka").options(**target).save()
     else:
         name = uuid.uuid4().hex if batch is None else batch
-        folder = f"{target}/partition={partition or 0}/batch={name}"
-        messages.write.mode("overwrite").parquet(folder)
+        messages.write.mode("overwrite").parquet(batch_folder(target, partition, name))
 
 
 def batch_writer(
