@@ -19,7 +19,7 @@ from rideflow.functions.labels import (
 )
 from rideflow.functions.pricing import with_revenue
 from rideflow.functions.rounding import steady
-from rideflow.operators import cleaning, flows, forecast, kpis, rejects, snapshots, training
+from rideflow.operators import cleaning, flows, forecast, kpis, rejects, snapshots, training, trees
 from rideflow.schemas import COORDINATES, RIDE_COLUMNS, WEATHER_MEASURES
 from rideflow.session import scratch_path, stage
 from rideflow.sources import files, ordered, star, tables, topics
@@ -565,6 +565,25 @@ def forecast_r2(spark: SparkSession, folder: str) -> DataFrame:
     return days.select("date", (apart < 0.051).alias("fits"))
 
 
+@query
+def forecast_trees(spark: SparkSession, folder: str) -> DataFrame:
+    """Every training day walked down the forest's table of nodes, against the forest itself.
+
+    ``same``: both predict the very same number. ``learnt``: of the days it was trained on the walked
+    forest explains at least half the variance, which no constant does.
+    """
+    model = _fitted(spark, folder).model
+    days = training.with_split(_training(spark, folder))
+    nodes = trees.forest_nodes(spark, model)
+    ways = trees.walk(nodes, trees.days_as_arrays(model, days), trees.deepest(model))
+    scored = model.transform(days).select("date", "part", "count", "prediction")
+    both = stage(scored.join(trees.predictions(ways), "date"), "walked")
+    known = both.filter("part = 'train'").select("count", F.col("walked").alias("prediction"))
+    learnt = F.lit(forecast.r_squared(known).scalar() >= 0.5)
+    same = F.col("walked") == F.col("prediction")
+    return both.select("date", "part", "count", same.alias("same"), learnt.alias("learnt"))
+
+
 @query
 def forecast_vs_actual(spark: SparkSession, folder: str) -> DataFrame:
     predictions = forecast.forecast(_fitted(spark, folder).model, star.weather(spark, folder))

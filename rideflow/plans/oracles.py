@@ -402,6 +402,9 @@ SELECT date, count, CASE WHEN datediff('day', date '1970-01-01', date) % 5 = 0
         "forecast_fit": f"""{training}
 SELECT date, CASE WHEN datediff('day', date '1970-01-01', date) % 5 = 0
                   THEN 'test' ELSE 'train' END AS part, count, true AS plausible FROM training""",
+        "forecast_trees": f"""{training}
+SELECT date, CASE WHEN datediff('day', date '1970-01-01', date) % 5 = 0
+                  THEN 'test' ELSE 'train' END AS part, count, true AS same, true AS learnt FROM training""",
         "daily_forecast": f"""{weather}
 SELECT cast(datetime AS date) AS date, true AS plausible, true AS labelled FROM weather
 WHERE cast(datetime AS date) >= date '{FORECAST_FROM}'""",
