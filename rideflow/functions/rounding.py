@@ -16,8 +16,3 @@ def half_even(x: Column, digits: int = 0) -> Column:
 def steady(x: Column) -> Column:
     """Snap a float sum to a millionth, so that the order of addition no longer shows."""
     return half_even(x, 6)
-
-
-def money(x: Column) -> Column:
-    """Two decimals. Snapped first: a sum that ends on half a cent must not tip over by one ulp."""
-    return half_even(steady(x), 2)

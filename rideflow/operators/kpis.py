@@ -9,8 +9,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from rideflow.functions.pricing import with_revenue
-from rideflow.functions.rounding import money, steady
+from rideflow.functions.pricing import (
+    amount,
+    cents,
+    per_ride,
+    total_units,
+    units_of,
+    with_revenue,
+)
+from rideflow.functions.rounding import steady
 from rideflow.operators.cleaning import on_day, with_duration
 
 
@@ -50,7 +57,7 @@ def hourly(rides: DataFrame) -> DataFrame:
     known = rides.filter(F.col("rideable_type").isNotNull() & F.col("started_at").isNotNull())
     return known.groupBy(F.date_trunc("hour", "started_at").alias("hour"), "rideable_type").agg(
         F.count("ride_id").alias("rides"),
-        steady(F.coalesce(F.sum("revenue"), F.lit(0.0))).alias("revenue"),
+        amount(total_units("revenue")).alias("revenue"),
     )
 
 
@@ -63,31 +70,36 @@ def hourly_mean(hours: DataFrame) -> DataFrame:
 
 def revenue_by_type(rides: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     known = rides.filter(F.col("rideable_type").isNotNull())
-    total = steady(F.coalesce(F.sum("revenue"), F.lit(0.0)))
+    total = amount(total_units("revenue"))
     return known.groupBy(*by, "rideable_type").agg(total.alias("revenue"))
 
 
 def revenue_total(rides: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Number of rides and revenue, to two decimals."""
-    total = money(F.coalesce(F.sum("revenue"), F.lit(0.0)))
+    total = cents(total_units("revenue"))
     return rides.groupBy(*by).agg(F.count("*").alias("rides"), total.alias("revenue"))
 
 
 def revenue_per_ride(rides: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Revenue, count and their ratio per bike type, from one pass over the rides."""
     known = rides.filter(F.col("rideable_type").isNotNull())
-    total = steady(F.coalesce(F.sum("revenue"), F.lit(0.0)))
-    return (
-        known.groupBy(*by, "rideable_type")
-        .agg(total.alias("revenue"), F.count("*").alias("count"))
-        .withColumn("rpr", steady(F.try_divide("revenue", "count")))
+    sums = known.groupBy(*by, "rideable_type").agg(
+        total_units("revenue").alias("fare"), F.count("*").alias("count")
+    )
+    fare, count = F.col("fare"), F.col("count")
+    return sums.select(
+        *by,
+        "rideable_type",
+        amount(fare).alias("revenue"),
+        "count",
+        per_ride(fare, count).alias("rpr"),
     )
 
 
 def revenue_joined_to_counts(revenue: DataFrame, counts: DataFrame) -> DataFrame:
     """The same ratio from the two aggregates, matched on the bike type."""
     return revenue.join(counts, "rideable_type", "inner").withColumn(
-        "rpr", steady(F.try_divide("revenue", "count"))
+        "rpr", per_ride(units_of(F.col("revenue")), F.col("count"))
     )
 
 
@@ -95,9 +107,10 @@ def revenue_per_ride_wide(per_type: DataFrame, by: Sequence[str] = ()) -> DataFr
     """One column per bike type; NULL where a type has no rides."""
 
     def of(bike: str):
-        return F.max(F.when(F.col("rideable_type") == bike, F.col("rpr")))
+        shown = cents(units_of(F.col("revenue")), F.col("count"))
+        return F.max(F.when(F.col("rideable_type") == bike, shown))
 
     return per_type.groupBy(*by).agg(
-        money(of("classic_bike")).alias("classic_rpr"),
-        money(of("electric_bike")).alias("electric_rpr"),
+        of("classic_bike").alias("classic_rpr"),
+        of("electric_bike").alias("electric_rpr"),
     )

@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from rideflow.functions.hexagons import RADIUS_M, hex_cell
 from rideflow.functions.labels import clock_label, day_label
-from rideflow.functions.rounding import money, steady
+from rideflow.functions.pricing import amount, cents, per_ride, total_units
+from rideflow.functions.rounding import steady
 from rideflow.operators.positions import Points, cell_of, small, snapshot_points, step_of
 from rideflow.schemas import COORDINATES
 
@@ -123,12 +124,13 @@ def snapshot_revenue(rides: DataFrame, points: Points | None = None) -> DataFram
     """Rides, revenue and revenue per ride so far per bike type; rides carry ``revenue``."""
     known = place_rides(rides, points).filter(F.col("rideable_type").isNotNull())
     deltas = known.groupBy("date", "last_k", "k", "rideable_type").agg(
-        F.count("*").alias("rides"), F.coalesce(F.sum("revenue"), F.lit(0.0)).alias("revenue")
+        F.count("*").alias("rides"), total_units("revenue").alias("fare")
     )
     return (
-        _running(deltas, ["rideable_type"], ["rides", "revenue"])
-        .withColumn("revenue", steady(F.col("revenue")))
-        .withColumn("rpr", steady(F.try_divide("revenue", "rides")))
+        _running(deltas, ["rideable_type"], ["rides", "fare"])
+        .withColumn("revenue", amount(F.col("fare")))
+        .withColumn("rpr", per_ride(F.col("fare"), F.col("rides")))
+        .drop("fare")
     )
 
 
@@ -138,11 +140,10 @@ def snapshot_hourly(rides: DataFrame, points: Points | None = None) -> DataFrame
     deltas = known.groupBy(
         "date", "last_k", "k", F.date_trunc("hour", "started_at").alias("hour"), "rideable_type"
     ).agg(
-        F.count("ride_id").alias("rides"), F.coalesce(F.sum("revenue"), F.lit(0.0)).alias("revenue")
-    )
-    return _running(deltas, ["hour", "rideable_type"], ["rides", "revenue"]).withColumn(
-        "revenue", steady(F.col("revenue"))
+        F.count("ride_id").alias("rides"), total_units("revenue").alias("fare")
     )
+    running = _running(deltas, ["hour", "rideable_type"], ["rides", "fare"])
+    return running.withColumn("revenue", amount(F.col("fare"))).drop("fare")
 
 
 def snapshot_top_station(
@@ -184,7 +185,7 @@ KEYS = ("no_bar", "no_start", "hour", "rideable_type", "start_station_name", "en
 
 
 def headline_sums(rides: DataFrame, common: Sequence[str]) -> DataFrame:
-    """Rides and revenue by hour and bike type, by start station and by end station.
+    """Rides and fares in units by hour and bike type, by start station and by end station.
 
     The three are grouping sets of one aggregate, within each group of the ``common`` columns.
     """
@@ -196,7 +197,7 @@ def headline_sums(rides: DataFrame, common: Sequence[str]) -> DataFrame:
         F.grouping("hour").alias("no_bar"),
         F.grouping("start_station_name").alias("no_start"),
         F.count("ride_id").alias("rides"),
-        F.coalesce(F.sum("revenue"), F.lit(0.0)).alias("revenue"),
+        total_units("revenue").alias("fare"),
     )
 
 
@@ -230,14 +231,14 @@ def kpis_from_cells(sums: DataFrame, rides: DataFrame, points: Points) -> DataFr
         & (F.col("e.after_cell").isNull() | (F.col("s.cell") > F.col("e.after_cell")))
     )
     whole = sums.alias("s").join(small(edges, points.count).alias("e"), between).select(
-        "s.date", "e.last_k", "e.k", *[f"s.{c}" for c in KEYS], "s.rides", "s.revenue"
+        "s.date", "e.last_k", "e.k", *[f"s.{c}" for c in KEYS], "s.rides", "s.fare"
     )
     on_edge = small(edges.select("date", F.col("edge_cell").alias("cell")).distinct(), points.count)
     near = rides.join(on_edge, ["date", "cell"], "left_semi").drop("date")
     placed = place_rides(near, points).withColumn("hour", F.date_trunc("hour", "started_at"))
     parts = whole.unionByName(headline_sums(placed, ["date", "last_k", "k"]).select(*whole.columns))
     deltas = parts.groupBy("date", "last_k", "k", *KEYS).agg(
-        F.sum("rides").alias("rides"), F.sum("revenue").alias("revenue")
+        F.sum("rides").alias("rides"), F.sum("fare").alias("fare")
     )
     return kpi_figures(deltas, points)
 
@@ -245,7 +246,7 @@ def kpis_from_cells(sums: DataFrame, rides: DataFrame, points: Points) -> DataFr
 def kpi_figures(deltas: DataFrame, points: Points) -> DataFrame:
     """The headline figures from what each snapshot adds to every key."""
     keys = list(KEYS)
-    running = _running(deltas, keys, ["rides", "revenue"])
+    running = _running(deltas, keys, ["rides", "fare"])
 
     bar = F.col("no_bar") == 0
     typed = bar & F.col("rideable_type").isNotNull()
@@ -262,20 +263,19 @@ def kpi_figures(deltas: DataFrame, points: Points) -> DataFrame:
         return typed & (F.col("rideable_type") == bike)
 
     figures = running.groupBy("date", "k").agg(
-        total(bar, "revenue").alias("revenue"),
+        total(bar, "fare").alias("fare"),
         total(of("classic_bike"), "rides").alias("classic_rides"),
         total(of("electric_bike"), "rides").alias("electric_rides"),
-        total(of("classic_bike"), "revenue").alias("classic_revenue"),
-        total(of("electric_bike"), "revenue").alias("electric_revenue"),
+        total(of("classic_bike"), "fare").alias("classic_fare"),
+        total(of("electric_bike"), "fare").alias("electric_fare"),
         F.avg(F.when(typed, F.col("rides"))).alias("mean_bar"),
         best(start, "start_station_name").alias("top_start"),
         best(end, "end_station_name").alias("top_end"),
     )
     several = F.col("completed") > 1
 
-    def per_ride(bike):
-        ratio = F.try_divide(steady(F.col(f"{bike}_revenue")), F.col(f"{bike}_rides"))
-        return F.when(several, money(ratio))
+    def each(bike):
+        return F.when(several, cents(F.col(f"{bike}_fare"), F.col(f"{bike}_rides")))
 
     return (
         figures.join(small(_clocks(points), points.count), ["date", "k"])
@@ -285,11 +285,11 @@ def kpi_figures(deltas: DataFrame, points: Points) -> DataFrame:
             "k",
             "completed",
             clock_label(F.col("clock_at")).alias("clock"),
-            money(F.col("revenue")).alias("revenue"),
+            cents(F.col("fare")).alias("revenue"),
             F.coalesce("classic_rides", F.lit(0)).alias("classic_rides"),
             F.coalesce("electric_rides", F.lit(0)).alias("electric_rides"),
-            per_ride("classic").alias("classic_rpr"),
-            per_ride("electric").alias("electric_rpr"),
+            each("classic").alias("classic_rpr"),
+            each("electric").alias("electric_rpr"),
             steady(F.col("mean_bar")).alias("mean_bar"),
             F.col("top_start.start_station_name").alias("top_start_station"),
             (-F.col("top_start.rank")).alias("top_start_rides"),

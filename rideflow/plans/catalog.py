@@ -18,7 +18,6 @@ from rideflow.functions.labels import (
     two_decimals_text,
 )
 from rideflow.functions.pricing import with_revenue
-from rideflow.functions.rounding import steady
 from rideflow.operators import cleaning, flows, forecast, kpis, rejects, snapshots, training, trees
 from rideflow.schemas import COORDINATES, RIDE_COLUMNS, WEATHER_MEASURES
 from rideflow.session import scratch_path, stage
@@ -296,7 +295,7 @@ def ride_revenue(spark: SparkSession, folder: str) -> DataFrame:
         "member_casual",
         "rideable_type",
         "duration_seconds",
-        steady(F.col("revenue")).alias("revenue"),
+        "revenue",
     )
 
 
@@ -309,8 +308,7 @@ def ride_coords(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def rides_on_day(spark: SparkSession, folder: str) -> DataFrame:
-    rides = kpis.rides_on_day(star.rides(spark, folder), DAY)
-    return rides.withColumn("revenue", steady(F.col("revenue")))
+    return kpis.rides_on_day(star.rides(spark, folder), DAY)
 
 
 @query
@@ -677,7 +675,7 @@ def stream_hourly(spark: SparkSession, folder: str) -> DataFrame:
         spark, topic, target, _checkpoint(spark), files_per_trigger=1
     ).awaitTermination()
     jobs.fold_hours(spark, target, 2)
-    return jobs.latest_hours(spark, target).withColumn("revenue", steady(F.col("revenue")))
+    return jobs.latest_hours(spark, target)
 
 
 @query

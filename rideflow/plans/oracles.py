@@ -49,20 +49,21 @@ timed AS (
          cast(started_at AS date) AS date
   FROM rides
 ),
-priced AS (
-  SELECT *, CASE
+fares AS (
+  SELECT *, cast(CASE
     WHEN member_casual = 'casual' AND rideable_type = 'classic_bike'
-      THEN 1.0::double + round_even((duration_seconds / 60.0::double), 0)::double * 0.05::double
+      THEN 1200 + 60 * round_even(duration_seconds / 60.0::double, 0)
     WHEN member_casual = 'casual' AND rideable_type = 'electric_bike'
-      THEN 1.0::double + round_even((duration_seconds / 60.0::double), 0)::double * 0.15::double
+      THEN 1200 + 180 * round_even(duration_seconds / 60.0::double, 0)
     WHEN member_casual = 'member' AND rideable_type = 'classic_bike'
-      THEN CASE WHEN duration_seconds / 60.0::double > 45
-                THEN (duration_seconds / 60.0::double - 45.0::double) * 0.05::double
-                WHEN duration_seconds IS NOT NULL THEN 0.0::double END
-    WHEN member_casual = 'member' AND rideable_type = 'electric_bike'
-      THEN duration_seconds / 60.0::double * 0.1::double
-    ELSE 0.0::double END AS revenue
+      THEN CASE WHEN duration_seconds > 45 * 60 THEN duration_seconds - 45 * 60
+                WHEN duration_seconds IS NOT NULL THEN 0 END
+    WHEN member_casual = 'member' AND rideable_type = 'electric_bike' THEN 2 * duration_seconds
+    ELSE 0 END AS bigint) AS fare
   FROM timed
+),
+priced AS (
+  SELECT *, fare::double / 1200.0::double AS revenue FROM fares
 )"""
 )
 
@@ -150,8 +151,10 @@ def _steady(x: str) -> str:
     return _fixed(x, 6)
 
 
-def _money(x: str) -> str:
-    return _fixed(_steady(x), 2)
+def _cents(units: str, rides: str = "1") -> str:
+    """Units of 1/1200, for each of ``rides``, to two decimals."""
+    ratio = f"cast({units} AS double) / nullif(12.0::double * {rides}, 0)"
+    return f"(round_even({ratio}, 0)::double / 100.0::double)"
 
 
 def _text(x: str) -> str:
@@ -162,7 +165,8 @@ def _dollars(x: str) -> str:
     return f"('$' || {_text(x)})"
 
 
-_REVENUE = _steady("coalesce(sum(revenue), 0)")
+_REVENUE = "(cast(coalesce(sum(fare), 0) AS double) / 1200.0::double)"
+_PER_RIDE = "(cast(coalesce(sum(fare), 0) AS double) / (1200.0::double * count(*)))"
 _COORDS = "start_lat, start_lng, end_lat, end_lng"
 _FLOAT_COORDS = ", ".join(
     f"cast(cast({c} AS float) AS double) AS {c}"
@@ -230,8 +234,8 @@ def _kpis() -> str:
 )"""
 
     def rpr(bike: str) -> str:
-        ratio = f"{_steady(f'{bike}_revenue')} / nullif({bike}_rides, 0)"
-        return f"CASE WHEN i + 1 > 1 THEN {_money(ratio)} END AS {bike}_rpr"
+        shown = _cents(f"{bike}_fare", f"{bike}_rides")
+        return f"CASE WHEN i + 1 > 1 THEN {shown} END AS {bike}_rpr"
 
     return f"""{_SNAPSHOTS}, {_CLOCKS}, {top("start")}, {top("end")},
 bars AS (
@@ -241,16 +245,16 @@ bars AS (
   GROUP BY ALL
 ),
 sums AS (
-  SELECT date, k, sum(revenue) AS revenue,
+  SELECT date, k, coalesce(sum(fare), 0) AS fare,
          count(*) FILTER (rideable_type = 'classic_bike') AS classic_rides,
          count(*) FILTER (rideable_type = 'electric_bike') AS electric_rides,
-         sum(revenue) FILTER (rideable_type = 'classic_bike') AS classic_revenue,
-         sum(revenue) FILTER (rideable_type = 'electric_bike') AS electric_revenue
+         coalesce(sum(fare) FILTER (rideable_type = 'classic_bike'), 0) AS classic_fare,
+         coalesce(sum(fare) FILTER (rideable_type = 'electric_bike'), 0) AS electric_fare
   FROM prefixes GROUP BY ALL
 ),
 kpis AS (
   SELECT c.date, c.k, c.i + 1 AS completed, strftime(clock_at, '%I:%M %p') AS clock,
-         {_money("revenue")} AS revenue, classic_rides, electric_rides,
+         {_cents("fare")} AS revenue, classic_rides, electric_rides,
          {rpr("classic")}, {rpr("electric")}, {_steady("mean_bar")} AS mean_bar,
          s.station AS top_start_station, s.rides AS top_start_rides,
          e.station AS top_end_station, e.rides AS top_end_rides
@@ -271,11 +275,10 @@ def oracles() -> dict[str, str]:
   count(ride_id) AS rides, {_REVENUE} AS revenue"""
     rounded = ", ".join(f"{_fixed(c, 2)} AS {c}" for c in _MEASURES)
     per_type = f"""SELECT rideable_type, {_REVENUE} AS revenue, count(*) AS count,
-  {_steady(f"{_REVENUE} / count(*)")} AS rpr FROM priced GROUP BY rideable_type"""
-    day_rpr = f"""SELECT date, rideable_type, {_steady(f"{_REVENUE} / count(*)")} AS rpr
-  FROM priced GROUP BY ALL"""
+  {_PER_RIDE} AS rpr FROM priced GROUP BY rideable_type"""
+    day_rpr = f"""SELECT date, rideable_type,
+  {_cents("coalesce(sum(fare), 0)", "count(*)")} AS rpr FROM priced GROUP BY date, rideable_type"""
     counted = "count(ride_id) AS rides FROM rides"
-    fare = _steady("revenue")
     return {
         "csv_typed_roundtrip": f"{rides} SELECT * REPLACE ({_FLOAT_COORDS}) FROM rides",
         "csv_inferred_roundtrip": f"{rides} SELECT * FROM rides",
@@ -320,10 +323,10 @@ WHERE start_station_id IS NOT NULL AND end_station_id IS NOT NULL""",
         "ride_duration": f"""{priced}
 SELECT ride_id, started_at, ended_at, duration_seconds FROM timed""",
         "ride_revenue": f"""{priced}
-SELECT ride_id, member_casual, rideable_type, duration_seconds, {fare} AS revenue FROM priced""",
+SELECT ride_id, member_casual, rideable_type, duration_seconds, revenue FROM priced""",
         "ride_coords": f"{rides} SELECT ride_id, {_COORDS} FROM rides",
         "rides_on_day": f"""{priced}
-SELECT * EXCLUDE (date) REPLACE ({fare} AS revenue) FROM priced WHERE date = date '{DAY}'
+SELECT * EXCLUDE (date, fare) FROM priced WHERE date = date '{DAY}'
 ORDER BY started_at, ride_id""",
         "rides_distinct": f"{rides} SELECT DISTINCT * FROM rides",
         "union_distinct_rides": f"""{rides}
@@ -354,12 +357,12 @@ FROM (SELECT date, date_trunc('hour', started_at), rideable_type, count(ride_id)
         "revenue_by_type": f"""{priced} SELECT rideable_type, {_REVENUE} AS revenue
 FROM priced GROUP BY ALL""",
         "revenue_total": f"""{priced} SELECT date, count(*) AS rides,
-  {_money("coalesce(sum(revenue), 0)")} AS revenue FROM priced GROUP BY date""",
+  {_cents("coalesce(sum(fare), 0)")} AS revenue FROM priced GROUP BY date""",
         "revenue_per_ride": f"{priced} {per_type}",
         "revenue_per_ride_wide": f"""{priced}
 SELECT date,
-  {_money("max(CASE WHEN rideable_type = 'classic_bike' THEN rpr END)")} AS classic_rpr,
-  {_money("max(CASE WHEN rideable_type = 'electric_bike' THEN rpr END)")} AS electric_rpr
+  max(CASE WHEN rideable_type = 'classic_bike' THEN rpr END) AS classic_rpr,
+  max(CASE WHEN rideable_type = 'electric_bike' THEN rpr END) AS electric_rpr
 FROM ({day_rpr}) GROUP BY date""",
         "hex_density": _hexagons(_RIDES, "rides"),
         "snapshot_hex_density": _hexagons(_SNAPSHOTS, "prefixes", "date, k,"),
@@ -377,7 +380,7 @@ SELECT date, k, clock_at, strftime(clock_at, '%I:%M %p') AS clock,
 SELECT date, k, rideable_type, count(*) AS rides FROM prefixes GROUP BY ALL""",
         "snapshot_revenue": f"""{snaps}
 SELECT date, k, rideable_type, count(*) AS rides, {_REVENUE} AS revenue,
-  {_steady(f"{_REVENUE} / count(*)")} AS rpr FROM prefixes GROUP BY date, k, rideable_type""",
+  {_PER_RIDE} AS rpr FROM prefixes GROUP BY date, k, rideable_type""",
         "snapshot_hourly": f"""{snaps}
 SELECT date, k, date_trunc('hour', started_at) AS hour, rideable_type,
   count(ride_id) AS rides, {_REVENUE} AS revenue

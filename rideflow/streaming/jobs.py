@@ -15,7 +15,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from rideflow.functions.pricing import with_revenue
+from rideflow.functions.pricing import amount, total_units, with_revenue
 from rideflow.operators.cleaning import (
     clean_rides,
     parse_clean_rides,
@@ -267,7 +267,7 @@ def _summed(parts: DataFrame) -> DataFrame:
     known = parts.filter(F.col("rideable_type").isNotNull() & F.col("hour").isNotNull())
     return known.groupBy("hour", "rideable_type").agg(
         F.sum("rides").cast("long").alias("rides"),
-        F.coalesce(F.sum("revenue"), F.lit(0.0)).alias("revenue"),
+        amount(total_units("revenue")).alias("revenue"),
     )
 
 

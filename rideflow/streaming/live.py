@@ -25,7 +25,7 @@ _RIDES = (
 )
 _SUMS = (
     "cell long, no_bar int, no_start int, hour timestamp, rideable_type string, "
-    "start_station_name string, end_station_name string, rides long, revenue double, "
+    "start_station_name string, end_station_name string, rides long, fare long, "
     "date date, batch long"
 )
 
@@ -122,7 +122,7 @@ def fold(spark: SparkSession, target: str, upto: int) -> None:
     """
     rides = _parts(spark, target, "rides", _RIDES, upto)
     sums = _parts(spark, target, "sums", _SUMS, upto).groupBy("date", "cell", *KEYS).agg(
-        F.sum("rides").alias("rides"), F.sum("revenue").alias("revenue")
+        F.sum("rides").alias("rides"), F.sum("fare").alias("fare")
     )
     for kind, rows in (("sums", sums), ("rides", rides)):
         rows.hint("rebalance", "date").sortWithinPartitions("date", "cell").write.mode(

@@ -1,14 +1,16 @@
 from __future__ import annotations
 
 import datetime as dt
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
 
 from rideflow.functions import labels
 from rideflow.functions.hexagons import CENTRE_LAT, CENTRE_LNG, EAST_M, NORTH_M, hex_cell
+from rideflow.functions import pricing
 from rideflow.functions.pricing import ride_revenue
-from rideflow.functions.rounding import half_even, money
+from rideflow.functions.rounding import half_even
 
 FARES = [
     # rider, bike, minutes, fare
@@ -48,10 +50,37 @@ def test_rounding_goes_to_even(spark):
     assert [r.r for r in got.collect()] == [float(round(v)) for v in values]
 
 
-def test_money_does_not_depend_on_the_order_of_addition(spark):
-    sums = [(0.1 + 0.2 + 0.305,), (0.305 + 0.2 + 0.1,), (0.605,)]
-    got = spark.createDataFrame(sums, "x double").select(money(F.col("x")).alias("m"))
-    assert len({r.m for r in got.collect()}) == 1
+def test_fares_are_whole_units(spark):
+    """Every fare is that of the rule in exact arithmetic, to the last bit once divided."""
+    seconds = [0, 1, 29, 30, 31, 90, 150, 2699, 2700, 2701, 86_399, 10**9 + 7, -30, -90]
+    rows = [(s, float(s)) for s in seconds]
+    rides = spark.createDataFrame(rows, "s long, seconds double")
+    for rider, bike, rule in (
+        ("casual", "classic_bike", lambda s: 1 + round(Fraction(s, 60)) * Fraction(1, 20)),
+        ("casual", "electric_bike", lambda s: 1 + round(Fraction(s, 60)) * Fraction(3, 20)),
+        ("member", "classic_bike", lambda s: max(Fraction(s, 60) - 45, 0) * Fraction(1, 20)),
+        ("member", "electric_bike", lambda s: Fraction(s, 60) * Fraction(1, 10)),
+    ):
+        fare = ride_revenue(F.lit(rider), F.lit(bike), F.col("seconds"))
+        got = rides.select("s", fare.alias("fare"), pricing.units_of(fare).alias("units"))
+        for row in got.collect():
+            assert row.fare == float(rule(row.s)), (rider, bike, row.s)
+            assert row.units == rule(row.s) * 1200
+
+
+def test_fares_of_odd_durations(spark):
+    odd = spark.createDataFrame(
+        [(0, float("nan")), (1, float("inf")), (2, None), (3, 60.4)], "i int, seconds double"
+    )
+    fare = ride_revenue(F.lit("member"), F.lit("electric_bike"), F.col("seconds"))
+    got = {r.i: r.fare for r in odd.select("i", fare.alias("fare")).collect()}
+    assert got == {0: None, 1: None, 2: None, 3: 121 / 1200}
+
+
+def test_half_cents_go_to_the_even_one(spark):
+    sums = [(6,), (18,), (30,), (-6,), (1_200_000_000_000_006,), (1_200_000_000_000_018,)]
+    got = spark.createDataFrame(sums, "u long").select(pricing.cents(F.col("u")).alias("c")).collect()
+    assert [r.c for r in got] == [0.0, 0.02, 0.02, 0.0, 1e12, 1e12 + 0.02]
 
 
 def test_labels(spark):

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
 import datetime as dt
+from fractions import Fraction
+
+from pyspark.sql import functions as F
 
 from rideflow.functions.pricing import with_revenue
 from rideflow.operators import flows, kpis
@@ -74,3 +77,38 @@ def test_flows_need_both_stations(make_rides):
     assert [(r.start_station_name, r.end_station_name, r.rides) for r in flow] == [("A", "B", 3)]
     assert flows.od_arcs(rides).count() == 4
     assert [r.rides for r in flows.hex_density(rides).collect()] == [3]
+
+
+def test_sums_do_not_depend_on_order_or_partitions(spark):
+    """A million dollars of fares beside single units: equal to the last bit however they are cut."""
+    n = 20_000
+    rides = with_revenue(
+        spark.range(n).select(
+            F.col("id").cast("string").alias("ride_id"),
+            F.when(F.col("id") % 2 == 0, "classic_bike").otherwise("electric_bike").alias("rideable_type"),
+            F.when(F.col("id") % 3 == 0, "casual").otherwise("member").alias("member_casual"),
+            F.lit(dt.datetime(2024, 1, 5, 9)).alias("started_at"),
+            ((F.col("id") * 7919) % 100_003 * F.when(F.col("id") % 17 == 0, 997).otherwise(1))
+            .cast("double").alias("duration_seconds"),
+        )
+    )
+    exact = {"classic_bike": 0, "electric_bike": 0}
+    for i in range(n):
+        seconds = i * 7919 % 100_003 * (997 if i % 17 == 0 else 1)
+        bike = "classic_bike" if i % 2 == 0 else "electric_bike"
+        if i % 3 == 0:
+            exact[bike] += 1200 + round(Fraction(seconds, 60)) * (60 if i % 2 == 0 else 180)
+        else:
+            exact[bike] += max(seconds - 2700, 0) if i % 2 == 0 else 2 * seconds
+    for parts in (1, 7, 200):
+        cut = rides.repartition(parts, F.rand(parts))
+        assert {r.rideable_type: r.revenue for r in kpis.revenue_by_type(cut).collect()} == {
+            b: u / 1200 for b, u in exact.items()
+        }
+        assert {r.rideable_type: r.rpr for r in kpis.revenue_per_ride(cut).collect()} == {
+            b: u / (1200 * n / 2) for b, u in exact.items()
+        }
+        assert kpis.revenue_total(cut).first().revenue == round(Fraction(sum(exact.values()), 12)) / 100
+        assert {r.rideable_type: r.revenue for r in kpis.hourly(cut).collect()} == {
+            b: u / 1200 for b, u in exact.items()
+        }
