@@ -7,9 +7,9 @@ and are to be learnt, all others' turns those of users named after them, and are
 
 and what is to be learnt of an assistant's turn is its text with the closing mark.
 
-A conversation is laid out in parts of ``PART`` turn numbers, so one that holds a large share of all
-rows is rendered by many tasks; a part is a row. Within a part the turns come in order of turn, role
-and text; a turn number with more than ``MOST_ROWS`` rows is first dealt by a hash of role and text.
+The turns of a conversation are ranked by turn, role and the MD5 of their text, whatever their number,
+and laid out in parts of ``PART`` ranks; a part is a row. Ranks come from a sort by ranges, so one
+conversation, turn or repeated row may hold any share of all rows: no task holds more than its range.
 A null role counts as ``unknown``, a null text as empty, a null turn comes first; rows
 without a conversation are a conversation of their own, with a null id. Repeated rows are repeated
 turns. Markers within a text have their bar doubled, so no text can end its turn; white space and
@@ -20,14 +20,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from rideflow.session import stage
+from rideflow.sources.ordered import sorted_rows
+
 PART = 256
 START, END = "<|im_start|>", "<|im_end|>\n"
-# Rows of a part; a part with more is parted once more.
-MOST_ROWS = 4096
+# A generated row number holds the task above these bits, the row in the task in them.
+ROW_BITS = 33
 
 
 def turns(conversations: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """The four columns, cleaned, with the part each turn belongs to."""
+    """The four columns, cleaned, with ``tie``, which orders turns of one number and role."""
     plain = conversations.select(*(F.col(old).alias(new) for new, old in columns.items()))
     clean = plain.select(
         "conv_id",
@@ -35,33 +38,40 @@ def turns(conversations: DataFrame, columns: dict[str, str]) -> DataFrame:
         F.coalesce("role", F.lit("unknown")).alias("who"),
         F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("<||")).alias("text"),
     )
-    return clean.withColumn("block", F.floor(F.coalesce("turn", F.lit(-1)) / PART))
+    return clean.withColumn("tie", F.md5("text"))
 
 
-def _sized(placed: DataFrame) -> DataFrame:
-    """Turns with ``own`` and ``slice``, which part blocks of too many rows.
+def ranked(plain: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Turns with their ``rank`` in the conversation and their ``part``; and turns by conversation.
 
-    In such a block every turn number is a part of its own, and one with too many rows itself is
-    dealt to slices by a hash. Elsewhere ``own`` is null and ``slice`` 0.
+    The rows are sorted by ranges and written; a range knows where in it a conversation begins and how
+    many of its turns lie in earlier ranges.
     """
-    each = placed.groupBy("conv_id", "block", "turn").agg(F.count("*").alias("n"))
-    full = F.sum("n").over(Window.partitionBy("conv_id", "block"))
-    many = each.withColumn("all", full).where(F.col("all") > MOST_ROWS).select(
-        F.col("conv_id").alias("__conv"),
-        F.col("turn").alias("__turn"),
-        F.ceil(F.col("n") / MOST_ROWS).alias("slices"),
-    )
-    same = F.col("conv_id").eqNullSafe(F.col("__conv")) & F.col("turn").eqNullSafe(F.col("__turn"))
-    hashed = F.pmod(F.xxhash64("who", "text"), F.col("slices"))
-    return placed.join(many, same, "left").select(
+    row = F.monotonically_increasing_id()
+    placed = sorted_rows(plain, ["conv_id", "turn", "who", "tie"]).select(
         "conv_id",
-        "block",
-        "turn",
         "who",
         "text",
-        F.when(F.col("slices").isNotNull(), F.coalesce("turn", F.lit(-1))).alias("own"),
-        F.coalesce(hashed, F.lit(0)).alias("slice"),
+        F.shiftright(row, ROW_BITS).alias("range"),
+        row.bitwiseAND(F.lit((1 << ROW_BITS) - 1)).alias("place"),
     )
+    placed = stage(placed, "chat-turns")
+    runs = placed.groupBy("conv_id", "range").agg(
+        F.min("place").alias("first"), F.count("*").alias("n")
+    )
+    earlier = (
+        Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    starts = runs.select(
+        F.col("conv_id").alias("__conv"),
+        F.col("range").alias("__range"),
+        (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift"),
+    )
+    same = F.col("conv_id").eqNullSafe(F.col("__conv")) & (F.col("range") == F.col("__range"))
+    rank = F.col("place") + F.col("shift")
+    found = placed.join(starts, same).select("conv_id", "who", "text", rank.alias("rank"))
+    sizes = runs.groupBy("conv_id").agg(F.sum("n").alias("turns"))
+    return found.withColumn("part", F.floor(F.col("rank") / PART)), sizes
 
 
 def _rendered(perspective: Column) -> tuple[Column, Column]:
@@ -85,20 +95,25 @@ def perspectives(
     ``part`` counts the parts of a conversation from 0, and their texts in this order are the whole.
     """
     names = {"conv_id": conv_col, "turn": turn_col, "role": role_col, "text": text_col}
-    placed = _sized(turns(conversations, names))
-    people = placed.groupBy("conv_id", "who").agg(F.lit(1).alias("__one")).select(
+    plain = turns(conversations, names)
+    placed, sizes = ranked(plain)
+    people = plain.groupBy("conv_id", "who").agg(F.lit(1).alias("__one")).select(
         F.col("conv_id").alias("__conv"), F.col("who").alias("perspective")
     )
-    every = placed.join(people, F.col("conv_id").eqNullSafe(F.col("__conv")))
+    # Every participant meets every part, a key of at most PART turns, not the whole conversation.
+    last = F.floor((F.col("turns") - 1) / PART)
+    wanted = sizes.join(people, F.col("conv_id").eqNullSafe(F.col("__conv"))).select(
+        "__conv", "perspective", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("__part")
+    )
+    same = F.col("conv_id").eqNullSafe(F.col("__conv")) & (F.col("part") == F.col("__part"))
     opening, mine = _rendered(F.col("perspective"))
-    lines = every.select(
-        "conv_id", "perspective", "block", "own", "slice",
-        F.struct(
-            F.col("turn"), F.col("who"), F.col("text"),
-            opening.alias("opening"), mine.alias("mine"),
-        ).alias("line"),
+    lines = placed.join(wanted, same).select(
+        "conv_id",
+        "perspective",
+        "part",
+        F.struct("rank", "text", opening.alias("opening"), mine.alias("mine")).alias("line"),
     )
-    key = ["conv_id", "perspective", "block", "own", "slice"]
+    key = ["conv_id", "perspective", "part"]
     parts = lines.groupBy(*key).agg(F.array_sort(F.collect_list("line")).alias("lines"))
     size = lambda s: F.length(s["opening"]) + F.length(s["text"]) + len(END)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("spans"))
@@ -115,16 +130,10 @@ def perspectives(
     text = F.array_join(
         F.transform("lines", lambda s: F.concat(s["opening"], s["text"], F.lit(END))), ""
     )
-    order = Window.partitionBy("conv_id", "perspective").orderBy(
-        "block", F.coalesce("own", F.lit(-2)), "slice"
-    )
-    made = parts.select(
+    return parts.select(
         *key,
         text.alias("text"),
         F.aggregate("lines", start, step)["spans"].alias("learn"),
         F.size("lines").cast("bigint").alias("n_turns"),
         F.size(F.filter("lines", lambda s: s["mine"])).cast("bigint").alias("n_assistant"),
     )
-    return made.withColumn("part", (F.row_number().over(order) - 1).cast("bigint")).select(
-        "conv_id", "perspective", "part", "text", "learn", "n_turns", "n_assistant"
-    )

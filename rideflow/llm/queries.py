@@ -159,31 +159,33 @@ ORACLES: dict[str, str] = {
     "op5_chat_perspectives": r"""
         WITH t AS (
             SELECT conv_id, turn, coalesce(role, 'unknown') AS who,
-                   replace(coalesce(text, ''), '<|', '<||') AS body,
-                   floor(coalesce(turn, -1) / 256) AS block
+                   replace(coalesce(text, ''), '<|', '<||') AS body
             FROM conversations
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id
+                       ORDER BY turn NULLS FIRST, who, md5(body)) - 1 AS rank
+            FROM t
         ), people AS (
             SELECT DISTINCT conv_id, who AS perspective FROM t
         ), lines AS (
-            SELECT t.*, perspective, who = perspective AS mine,
+            SELECT r.*, rank // 256 AS part, perspective, who = perspective AS mine,
                    '<|im_start|>' || CASE WHEN who = perspective THEN 'assistant'
                        ELSE 'user name=' || regexp_replace(who, '[\s>]', '_', 'g') END
                        || chr(10) AS opening
-            FROM t JOIN people ON t.conv_id IS NOT DISTINCT FROM people.conv_id
+            FROM ranked r JOIN people ON r.conv_id IS NOT DISTINCT FROM people.conv_id
         ), placed AS (
             SELECT *, sum(length(opening) + length(body) + 11) OVER (
-                       PARTITION BY conv_id, perspective, block ORDER BY turn, who, body
+                       PARTITION BY conv_id, perspective, part ORDER BY rank
                        ROWS UNBOUNDED PRECEDING) AS finish
             FROM lines
         )
-        SELECT conv_id, perspective,
-               dense_rank() OVER (PARTITION BY conv_id, perspective ORDER BY block) - 1 AS part,
-               string_agg(opening || body || '<|im_end|>' || chr(10), '' ORDER BY turn, who, body)
+        SELECT conv_id, perspective, part,
+               string_agg(opening || body || '<|im_end|>' || chr(10), '' ORDER BY rank)
                    AS text,
                coalesce(string_agg(CAST(finish - length(body) - 11 AS BIGINT) || '-'
                    || CAST(finish AS BIGINT), ',' ORDER BY finish) FILTER (mine), '') AS learn,
                count(*) AS n_turns, count(*) FILTER (mine) AS n_assistant
-        FROM placed GROUP BY conv_id, perspective, block
+        FROM placed GROUP BY conv_id, perspective, part
     """,
     "op7_url_filters": r"""
         WITH rest AS (

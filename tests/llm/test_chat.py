@@ -1,10 +1,13 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from hashlib import md5
 
+import duckdb
 import pytest
 
 from rideflow.llm import chat
+from rideflow.llm.queries import ORACLES
 from tests.llm.fixtures import FOLDER
 
 ODD = [
@@ -28,7 +31,7 @@ def whole(rows):
     for conv, lines in convs.items():
         for me in {w for _, w, _ in lines}:
             text, learn = "", []
-            for _, who, body in sorted(lines):
+            for _, who, body in sorted(lines, key=lambda x: (*x[:2], md5(x[2].encode()).hexdigest())):
                 name = "assistant" if who == me else "user name=" + who.replace(" ", "_").replace(">", "_")
                 text += f"<|im_start|>{name}\n"
                 start = len(text)
@@ -52,16 +55,40 @@ def joined(df):
     return out
 
 
-@pytest.mark.parametrize("most", [4096, 2])
-def test_odd_rows(spark, monkeypatch, most):
-    monkeypatch.setattr(chat, "MOST_ROWS", most)
-    got, want = joined(chat.perspectives(frame(spark, ODD))), whole(ODD)
-    if most == 4096:
-        assert got == want
-    else:  # ties of a turn with too many rows come in another order
-        assert {k: (len(v[0]), sorted(v[1]), *v[2:]) for k, v in got.items()} == {
-            k: (len(v[0]), sorted(v[1]), *v[2:]) for k, v in want.items()
-        }
+def test_odd_rows(spark):
+    assert joined(chat.perspectives(frame(spark, ODD))) == whole(ODD)
+
+
+def test_sql_twin_on_odd_rows(spark, tmp_path):
+    rows = ODD + [(1, 2, "user", f"text {i % 7}") for i in range(600)] + [(None, None, None, None)] * 3
+    frame(spark, rows).write.parquet(str(tmp_path / "conversations"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations/*.parquet'")
+    found = con.execute(ORACLES["op5_chat_perspectives"])
+    names = [d[0] for d in found.description]
+    want = sorted((dict(zip(names, r)) for r in found.fetchall()), key=repr)
+    made = chat.perspectives(spark.read.parquet(str(tmp_path / "conversations")))
+    got = [
+        r.asDict() | {"learn": ",".join(f"{s.a}-{s.b}" for s in r.learn)} for r in made.collect()
+    ]
+    assert sorted(({n: g[n] for n in names} for g in got), key=repr) == want
+
+
+@pytest.mark.parametrize("n", [4096, 4097])
+def test_one_rule_at_every_size(spark, n):
+    """One turn number with many rows: the same order, parts and offsets by rank."""
+    rows = [(1, 7, "ab"[i % 2], f"t{i}") for i in range(n)]
+    df = chat.perspectives(frame(spark, rows))
+    assert joined(df) == whole(rows)
+    sizes = sorted(r.n_turns for r in df.where("perspective = 'a'").collect())
+    assert sizes == sorted([256] * 16 + [n - 4096] * (n > 4096))
+
+
+def test_many_equal_turns_are_spread(spark):
+    rows = [(1, 7, "a", "same")] * 10_000 + [(None, None, "b", None)] * 3_000
+    df = chat.perspectives(frame(spark, rows).repartition(5))
+    assert max(r.n_turns for r in df.collect()) == 256
+    assert joined(df) == whole(rows)
 
 
 def test_empty_table(spark):
