@@ -303,7 +303,9 @@ def pack(cut: DataFrame, capacity: int = CAPACITY, group_windows: int = WINDOWS)
         table = table.append_column("sequence_id", pa.array(sequence))
         return table.append_column("offset", pa.array(offset)).drop_columns("g")
 
-    dealt = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups))
+    # With its row number: pieces that are equal in all columns are dealt like any others.
+    row = F.monotonically_increasing_id()
+    dealt = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", row), F.lit(groups))
     return cut.withColumn("g", dealt).groupBy("g").applyInArrow(place, _PLACED)
 
 

@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from rideflow.llm import packing
 from rideflow.llm.queries import vocabulary
@@ -96,3 +97,25 @@ def test_ids_word_by_word_are_those_of_the_text():
     ids, edges = encode(pa.array(texts))
     got = [ids[a:b].tolist() for a, b in zip(edges, edges[1:])]
     assert got == [x[:-1].tolist() for x in ids_of(texts)]
+
+
+def test_equal_pieces_are_spread_over_all_groups(spark):
+    docs = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b c").alias("text"))
+    cut = packing.stage(packing.pieces(docs.repartition(4), TOKENIZER), "pieces-test")
+    placed = packing.pack(cut, group_windows=4).collect()
+    total = sum(r.length for r in placed)
+    groups = defaultdict(int)
+    for r in placed:
+        groups[r.sequence_id >> 24] += 1
+    assert len(placed) == 20_000
+    assert len(groups) == -(-total // (packing.CAPACITY * 4)) > 1
+    assert max(groups.values()) < 1.2 * 20_000 / len(groups)
+    windows = defaultdict(list)
+    for r in placed:
+        windows[r.sequence_id].append((r.offset, r.length))
+    for pieces in windows.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= packing.CAPACITY
