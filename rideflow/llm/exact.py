@@ -9,7 +9,8 @@ digest was met before are then compared with the text that stays byte for byte;
 share a digest, their group is parted by the texts themselves.
 
 Null texts count as empty, all empty texts are copies of each other. Of rows that repeat an id with
-an equal text one row stays. Rows of an empty table: none. Other columns of any name are no matter.
+an equal text one row stays; they are numbered and reduced to one within each task, so that very many
+of them are no load. Rows of an empty table: none. Other columns of any name are no matter.
 """
 
 from __future__ import annotations
@@ -124,11 +125,14 @@ def copies(
     ).write.parquet(path)
     rows = spark.read.parquet(path)
     groups = stream_groups(spark, path, rows.schema, bytes_per_trigger)
-    decided = stage(rows.join(groups, "digest"), "exact-decided")
+    numbered = rows.join(groups, "digest").withColumn("row", F.monotonically_increasing_id())
+    decided = stage(numbered, "exact-decided")
 
     # Byte for byte: a group's texts are the same if the smallest is the largest. Both are found in
     # each task before anything is shuffled, so a large group is no load.
     repeated = decided.where("group_size > 1").select("doc_id", "digest", "text_sha256")
+    # Equal rows once: each row of ``plain`` then meets one of them, not all of its copies.
+    repeated = repeated.distinct()
     ends = _texts(plain, repeated).groupBy("digest").agg(
         F.min("clean").alias("least"), F.max("clean").alias("most")
     )
@@ -137,12 +141,21 @@ def copies(
         decided = _parted(plain, decided, mixed)
 
     stays = F.col("doc_id").eqNullSafe(F.col("keep.doc_id"))
-    same = Window.partitionBy("doc_id", "text_sha256").orderBy(F.desc("n_chars"))
-    return decided.withColumn("copy", F.row_number().over(same)).select(
+    several = F.col("group_size") > 1
+    # Of rows with the id that stays the longest, of equal ones the first as they were written.
+    first = decided.where(several & stays).groupBy("doc_id", "text_sha256").agg(
+        F.min(F.struct((-F.col("n_chars")).alias("shorter"), "row"))["row"].alias("__row")
+    ).select("__row")
+    marked = decided.where(several).join(first, F.col("row") == F.col("__row"), "left")
+    kept = F.col("__row").isNotNull()
+    whole = decided.where(~several).withColumn("kept", F.lit(True)).unionByName(
+        marked.withColumn("kept", kept).drop("__row")
+    )
+    return whole.select(
         "doc_id",
         F.col("keep.doc_id").alias("keep_id"),
         "group_size",
-        (stays & (F.col("copy") == 1)).alias("kept"),
+        "kept",
         "text_sha256",
         F.col("keep.file").alias("keep_file"),
     )

@@ -223,11 +223,14 @@ ORACLES: dict[str, str] = {
                    regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS c
             FROM documents
         ), best AS (
-            SELECT *, first_value(doc_id) OVER (PARTITION BY c ORDER BY n DESC, doc_id) AS keep_id,
-                   count(*) OVER (PARTITION BY c) AS group_size
+            SELECT *, first_value(doc_id) OVER (PARTITION BY c ORDER BY n DESC, doc_id NULLS LAST)
+                       AS keep_id,
+                   count(*) OVER (PARTITION BY c) AS group_size,
+                   row_number() OVER (PARTITION BY c, doc_id ORDER BY n DESC) AS copy
             FROM clean
         )
-        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(c) AS text_sha256
+        SELECT doc_id, keep_id, group_size,
+               doc_id IS NOT DISTINCT FROM keep_id AND copy = 1 AS kept, sha256(c) AS text_sha256
         FROM best
     """,
     "op12_spelling_variants": r"""
