@@ -7,14 +7,15 @@ K = ``PRIOR`` words' worth of trust in the shorter context,
     p(w | h) = (c(h w) + K p(w | h')) / (c(h) + K),    p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)),
 
 so an arc weighs log10 p(w | h), a failure arc log10 (K / (c(h) + K)). Every distinct n-gram of the
-training texts takes part, however many there are. A text is walked once from left to right: at each
-token the walk takes its state's arc, or fails until a state has one.
+training texts takes part, however many there are. A text is walked once from left to right with the state
+carried along: at each token the walk takes the state's arc, or goes down failure arcs, adding their
+weights, until a state has one; the arc leads to the longest seen context that ends there.
 
 The corpus is never held in one place. Texts are turned into blocks of some million tokens; each
 block reports the distinct n-grams it has and how often it trained on them; the reports are summed by
 n-gram in buckets whose number follows the corpus, and a block gets back what the others have of its
 own n-grams, from which it builds its own part of the automaton. Words and n-grams are known by hashes:
-words by all 64 bits, longer n-grams by their bucket and 40 bits more.
+words by all 64 bits, longer n-grams by their bucket and 48 bits more.
 
 Null texts count as empty; an empty text is one end token. Null ids are trained on. Repeated rows
 count as often as they occur. Very long texts stay whole. With no training text every token has the
@@ -37,9 +38,10 @@ ORDER = 2
 PRIOR = 50.0
 BLOCK_TOKENS = 1_500_000
 BUCKET_TOKENS = 1 << 21
+STRIDE = 512
 FOLDS = 10
 _SEED = 42
-_LOW = 40
+_LOW = 48
 _START, _END = np.uint64(0x5374617274), np.uint64(0x456E64)
 
 _BLOCK = (
@@ -258,45 +260,120 @@ def totals(reported: DataFrame, bits: int) -> DataFrame:
 
 
 class Automaton:
-    """The arcs and failure arcs that a block's texts can meet, with their weights."""
-
-    def __init__(self, tokens: Tokens, found: dict[int, list], floor: float, starts: int):
-        self.tokens = tokens
-        self.weights, self.failures, self.seen = [], [], []
-        context = lower = None
-        for size in range(1, len(tokens.grams) + 1):
-            _, at, counts = tokens.distinct(size)
+    """A block's part of the automaton: its states with their failure arcs, and its arcs.
+
+    State 0 is the empty context, state 1 the start of a text; then come the block's distinct n-grams
+    below the order. Arcs lie sorted by state and word; those of state 0, which has one for every
+    word, by word alone. An arc leads to the longest context that was seen of what it ends.
+    """
+
+    def __init__(self, tokens: Tokens, found: dict[int, list], floor: float, texts: int):
+        order = len(tokens.grams)
+        self.tokens, self.first = tokens, 1 if order > 1 else 0
+        counts, at, ends = [], [], []
+        for size in range(1, order + 1):
+            keys, inverse, own = tokens.distinct(size)
             # Buckets follow the order of the keys.
-            counts += np.concatenate([_long(data) for _, data in sorted(found[size])])
-            seen = counts[at]
+            own += np.concatenate([_long(data) for _, data in sorted(found[size])])
+            end = np.empty(len(keys), np.int64)
+            end[inverse] = np.arange(len(inverse))
+            counts.append(own)
+            at.append(inverse)
+            ends.append(end)
+        self.words, self.counts = at[0], counts[0]
+        # A context of size k and number j is state bases[k] + j.
+        bases = np.concatenate([[0, 2], 2 + np.cumsum([len(c) for c in counts])])
+        n_states = int(bases[order]) if order > 1 else 1
+        self.failed = np.zeros(n_states, np.int64)
+        self.failure = np.zeros(n_states)
+        if order > 1:
+            self.failure[1] = np.log10(PRIOR / (texts + PRIOR))
+        sources, labels, weights, targets = [], [], [], []
+        chance = (counts[0] + 0.1) / floor
+        self.root_weight = np.log10(chance)
+        self.root_target = np.zeros(len(counts[0]), np.int64)
+        for size in range(1, order + 1):
+            n, end = counts[size - 1], ends[size - 1]
+            if size > 1:
+                # An n-gram that ends at a text's first token has the start as its context.
+                opens = tokens.place[end] == 0
+                context = np.where(opens, 1, bases[size - 1] + at[size - 2][end - 1])
+                before = np.where(opens, texts, counts[size - 2][at[size - 2][end - 1]])
+                chance = (n + PRIOR * chance[at[size - 2][end]]) / (before + PRIOR)
+            if size < order:
+                mine = bases[size] + np.arange(len(n))
+                self.failed[mine] = bases[size - 1] + at[size - 2][end] if size > 1 else 0
+                self.failure[mine] = np.log10(PRIOR / (n + PRIOR))
+                target = mine
+            else:
+                target = bases[size - 1] + at[size - 2][end] if size > 1 else np.zeros(len(n), int)
+            seen = n > 0
             if size == 1:
-                chance = (seen + 0.1) / floor
-                self.known = seen > 0
+                self.root_target[seen] = target[seen]
             else:
-                chance = (seen + PRIOR * lower) / (context + PRIOR)
-                self.failures.append(np.log10(PRIOR / (context + PRIOR)))
-                there = tokens.grams[size - 1][1]
-                chance = np.where(there, chance, lower)
-                seen = np.where(there, seen, 0)
-            self.weights.append(np.log10(chance))
-            self.seen.append(seen)
-            lower = chance
-            # What was seen before a token: its predecessor's n-gram of this size.
-            context = np.empty(len(seen))
-            context[1:] = seen[:-1]
-            context[tokens.starts] = starts if size == 1 else 0
+                sources.append(context[seen])
+                labels.append(at[0][end[seen]])
+                weights.append(np.log10(chance[seen]))
+                targets.append(target[seen])
+        none = np.zeros(0, np.int64)
+        arcs = self._arc(np.concatenate([none, *sources]), np.concatenate([none, *labels]))
+        # The last entry is no arc: a search that finds nothing ends there at the latest.
+        by = np.argsort(arcs)
+        self.arcs = np.append(arcs[by], np.iinfo(np.int64).max)
+        self.weight = np.append(np.concatenate([none, *weights])[by], 0.0)
+        self.target = np.append(np.concatenate([none, *targets])[by], 0)
+
+    def _arc(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
+        return state * len(self.counts) + word
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next state and weight from each state by each word, over failure arcs where need be."""
+        total = np.zeros(len(state))
+        after = np.zeros(len(state), np.int64)
+        left = np.arange(len(state))
+        while len(left):
+            at_root = state == 0
+            end = left[at_root]
+            total[end] += self.root_weight[word[at_root]]
+            after[end] = self.root_target[word[at_root]]
+            left, state, word = left[~at_root], state[~at_root], word[~at_root]
+            key = self._arc(state, word)
+            arc = np.searchsorted(self.arcs, key)
+            hit = self.arcs[arc] == key
+            end = left[hit]
+            total[end] += self.weight[arc[hit]]
+            after[end] = self.target[arc[hit]]
+            left, state, word = left[~hit], state[~hit], word[~hit]
+            total[left] += self.failure[state]
+            state = self.failed[state]
+        return after, total
 
     def walk(self) -> np.ndarray:
-        """Weight of the step by each token: failure arcs down to the first state with an arc."""
-        step = np.zeros(len(self.known))
-        open_ = np.ones(len(self.known), bool)
-        for level in range(len(self.weights) - 1, 0, -1):
-            arc = open_ & (self.seen[level] > 0)
-            step[arc] += self.weights[level][arc]
-            open_ &= ~arc
-            step[open_] += self.failures[level - 1][open_]
-        step[open_] += self.weights[0][open_]
-        return step
+        """Sum of the weights along each text.
+
+        All texts are walked side by side, a token at a time. Texts of more than ``STRIDE`` tokens are
+        walked in strides; one after the first is led to its first state by the tokens before it: a
+        state is never longer than the order less one.
+        """
+        lead = len(self.tokens.grams) - 1
+        strides = -(-self.tokens.lengths // STRIDE)
+        text = np.repeat(np.arange(len(strides)), strides)
+        number = np.arange(len(text)) - np.repeat(np.cumsum(strides) - strides, strides)
+        begin = number * STRIDE
+        stop = np.minimum(begin + STRIDE, self.tokens.lengths[text])
+        early = np.where(number > 0, np.minimum(begin, lead), 0)
+        length = stop - begin + early
+        order = np.argsort(-length, kind="stable")
+        place = (self.tokens.starts[text] + begin - early)[order]
+        early, length = early[order], length[order]
+        state = np.where(number[order] > 0, 0, self.first)
+        total = np.zeros(len(order))
+        # The longest come first, so that those still under way are a beginning of the list.
+        under_way = np.searchsorted(-length, -np.arange(int(length.max(initial=0))), "left")
+        for t, n in enumerate(under_way):
+            state[:n], weight = self.step(state[:n], self.words[place[:n] + t])
+            total[:n] += np.where(t >= early[:n], weight, 0.0)
+        return np.bincount(text[order], total, minlength=len(strides))
 
 
 _SCORES = (
@@ -341,10 +418,9 @@ def scores(
         for row in left.to_pylist():
             tokens = Tokens(row, order, bits)
             model = Automaton(tokens, found, floor, texts)
-            sums = [
-                np.add.reduceat(x, tokens.starts)
-                for x in (model.known.astype(np.int64), model.weights[0], model.walk())
-            ]
+            plain = ((model.counts > 0).astype(np.int64), model.root_weight)
+            sums = [np.add.reduceat(x[model.words], tokens.starts) for x in plain]
+            sums.append(model.walk())
             out += zip(
                 tokens.ids,
                 tokens.held.tolist(),
