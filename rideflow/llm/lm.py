@@ -264,7 +264,8 @@ class Automaton:
 
     State 0 is the empty context, state 1 the start of a text; then come the block's distinct n-grams
     below the order. Arcs lie sorted by state and word; those of state 0, which has one for every
-    word, by word alone. An arc leads to the longest context that was seen of what it ends.
+    word, by word alone. An arc leads to the longest context that was seen of what it ends. The
+    block's n-grams are let go once they have been turned into states and arcs.
     """
 
     def __init__(self, tokens: Tokens, found: dict[int, list], floor: float, texts: int):
@@ -275,23 +276,26 @@ class Automaton:
             keys, inverse, own = tokens.distinct(size)
             # Buckets follow the order of the keys.
             own += np.concatenate([_long(data) for _, data in sorted(found[size])])
-            end = np.empty(len(keys), np.int64)
-            end[inverse] = np.arange(len(inverse))
+            # A block has far less than 2^31 tokens.
+            inverse = inverse.astype(np.int32)
+            end = np.empty(len(keys), np.int32)
+            end[inverse] = np.arange(len(inverse), dtype=np.int32)
             counts.append(own)
             at.append(inverse)
             ends.append(end)
+            tokens.grams[size - 1] = None
         self.words, self.counts = at[0], counts[0]
         # A context of size k and number j is state bases[k] + j.
         bases = np.concatenate([[0, 2], 2 + np.cumsum([len(c) for c in counts])])
         n_states = int(bases[order]) if order > 1 else 1
-        self.failed = np.zeros(n_states, np.int64)
+        self.failed = np.zeros(n_states, np.int32)
         self.failure = np.zeros(n_states)
         if order > 1:
             self.failure[1] = np.log10(PRIOR / (texts + PRIOR))
         sources, labels, weights, targets = [], [], [], []
         chance = (counts[0] + 0.1) / floor
         self.root_weight = np.log10(chance)
-        self.root_target = np.zeros(len(counts[0]), np.int64)
+        self.root_target = np.zeros(len(counts[0]), np.int32)
         for size in range(1, order + 1):
             n, end = counts[size - 1], ends[size - 1]
             if size > 1:
@@ -315,21 +319,22 @@ class Automaton:
                 labels.append(at[0][end[seen]])
                 weights.append(np.log10(chance[seen]))
                 targets.append(target[seen])
-        none = np.zeros(0, np.int64)
+        none = np.zeros(0, np.int32)
         arcs = self._arc(np.concatenate([none, *sources]), np.concatenate([none, *labels]))
+        del sources, labels
         # The last entry is no arc: a search that finds nothing ends there at the latest.
         by = np.argsort(arcs)
         self.arcs = np.append(arcs[by], np.iinfo(np.int64).max)
         self.weight = np.append(np.concatenate([none, *weights])[by], 0.0)
-        self.target = np.append(np.concatenate([none, *targets])[by], 0)
+        self.target = np.append(np.concatenate([none, *targets])[by], 0).astype(np.int32)
 
     def _arc(self, state: np.ndarray, word: np.ndarray) -> np.ndarray:
-        return state * len(self.counts) + word
+        return state.astype(np.int64) * len(self.counts) + word
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Next state and weight from each state by each word, over failure arcs where need be."""
         total = np.zeros(len(state))
-        after = np.zeros(len(state), np.int64)
+        after = np.zeros(len(state), np.int32)
         left = np.arange(len(state))
         while len(left):
             at_root = state == 0
@@ -366,7 +371,7 @@ class Automaton:
         order = np.argsort(-length, kind="stable")
         place = (self.tokens.starts[text] + begin - early)[order]
         early, length = early[order], length[order]
-        state = np.where(number[order] > 0, 0, self.first)
+        state = np.where(number[order] > 0, 0, self.first).astype(np.int32)
         total = np.zeros(len(order))
         # The longest come first, so that those still under way are a beginning of the list.
         under_way = np.searchsorted(-length, -np.arange(int(length.max(initial=0))), "left")
