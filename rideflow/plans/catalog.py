@@ -156,6 +156,17 @@ def table_day_scan(spark: SparkSession, folder: str) -> DataFrame:
     return cleaning.with_coordinates(tables.read_day(spark, table, DAY))
 
 
+@query
+def table_weather_days(spark: SparkSession, folder: str) -> DataFrame:
+    """Rides and weather of the stored rainy days; the other days' folders are not read."""
+    rides, weather = scratch_path(spark, "ride-table"), scratch_path(spark, "weather-table")
+    tables.append_rides(cleaning.clean_rides(star.rides(spark, folder)), rides)
+    tables.append_weather(star.weather(spark, folder), weather)
+    rainy = tables.read_weather_table(spark, weather).filter(F.col("conditions") == "Rain")
+    found = training.stored_training_set(tables.read_ride_table(spark, rides), rainy)
+    return found.withColumns({c: F.col(c).cast("double") for c in WEATHER_MEASURES})
+
+
 @query
 def table_mixed_writers(spark: SparkSession, folder: str) -> DataFrame:
     """A third of the rides by SQL, a third by path within their days, then all by both ways."""

@@ -297,6 +297,11 @@ FROM rides""",
         "ride_table_ddl": table,
         "table_mixed_writers": table,
         "table_day_scan": f"{table} WHERE cast(started_at AS date) = date '{DAY}'",
+        "table_weather_days": f"""{priced}, {_CLEAN}, {_WEATHER}, counts AS (
+  SELECT cast(started_at AS date) AS date, count(*) AS count FROM clean
+  WHERE start_station_id IS NOT NULL AND end_station_id IS NOT NULL GROUP BY 1
+), rainy AS (SELECT * REPLACE ({_FLOAT_WEATHER}) FROM weather WHERE conditions = 'Rain')
+SELECT * FROM counts JOIN rainy ON date = cast(datetime AS date)""",
         "weather_table_ddl": f"{weather} SELECT * REPLACE ({_FLOAT_WEATHER}) FROM weather",
         "rides_future": f"""{rides} SELECT * FROM rides
 WHERE started_at > timestamp '{CURRENT_AFTER}' ORDER BY started_at, ride_id""",
