@@ -8,7 +8,9 @@ key of the universe is listed just if it gets through an odd number of filters.
 where they lie: the filters go to them, no page is joined or shuffled.
 
 A URL that fits rules gets the verdict of the longest; any other one is blocked if one of its hosts
-is listed, else allowed. Null URLs, and those without ``://``, have an empty host and path, fit
+is listed, else allowed. Hosts are listed by a table of any size, which meets the universe once, key
+by key, and by names that are listed under any domain. Listed hosts are taken without case of A-Z;
+null ones, empty ones and those with a ``/`` list nothing, repeated ones count once. Null URLs, and those without ``://``, have an empty host and path, fit
 nothing and are allowed. Repeated rows are judged alike, each row once. Very long URLs are read
 whole. An empty table, or a list without keys, gives no rows or no listed host.
 """
@@ -164,10 +166,14 @@ def judge(
     pages: DataFrame,
     rules: tuple[tuple[str, str], ...] = RULES,
     names: tuple[str, ...] = LISTED_NAMES,
+    hosts: DataFrame | None = None,
     id_col: str = "page_id",
     url_col: str = "url",
 ) -> DataFrame:
-    """A row per page: page_id, host, path, rule, verdict."""
+    """A row per page: page_id, host, path, rule, verdict.
+
+    ``hosts`` is a table of listed hosts, its first column; each lists its subdomains too.
+    """
     verdicts = dict(rules)
     lengths = sorted({len(r) - r.index("/") for r in verdicts})
     urls = pages.select(pages[id_col].alias("page_id"), pages[url_col].alias("__url"))
@@ -177,12 +183,15 @@ def judge(
     named = lambda k: (
         ~F.contains(k, F.lit("/")) & F.split_part(k, F.lit("."), F.lit(1)).isin(*names)
     )
-    universe = stage(
-        keyed.select(F.explode("__keys").alias("key")).distinct().withColumn(
-            "listed", is_rule(F.col("key")) | named(F.col("key"))
-        ),
-        "url-keys",
-    )
+    every = keyed.select(F.explode("__keys").alias("key")).distinct()
+    by_name = is_rule(F.col("key")) | named(F.col("key"))
+    if hosts is None:
+        marked = every.withColumn("listed", by_name)
+    else:
+        # Both sides hold a key once.
+        tabled = every.join(_listing(hosts), "key", "left")
+        marked = tabled.select("key", (by_name | F.col("__tabled").isNotNull()).alias("listed"))
+    universe = stage(marked, "url-keys")
     levels = cascade(universe)
     if levels is None:
         found = _joined(keyed, universe)
@@ -202,6 +211,13 @@ def judge(
     )
 
 
+def _listing(hosts: DataFrame) -> DataFrame:
+    """The distinct keys of a table of hosts."""
+    name = F.translate(hosts[hosts.columns[0]].cast("string"), *_LOWER)
+    plain = hosts.select(name.alias("key")).where("key <> '' and not contains(key, '/')")
+    return plain.distinct().withColumn("__tabled", F.lit(True))
+
+
 def _joined(keyed: DataFrame, universe: DataFrame) -> DataFrame:
     """The listed keys of every page by a join, for lists beyond any filter that could be sent."""
     hosts = keyed.select("host", "path", "__keys").distinct()

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from rideflow.llm import urls
@@ -77,3 +78,47 @@ def test_cascade_is_exact_over_its_universe(spark, tmp_path):
     judged = urls.with_filters(universe, levels).withColumn("got", urls.listed(F.col("key"), levels))
     assert judged.where("got <> listed").count() == 0
     assert judged.where("got").count() == 5715
+
+
+def _sites(spark):
+    """A page for each of 60,000 hosts, a third of them of one domain; 15,000 hosts are listed."""
+    number = F.col("id")
+    name = F.concat(F.lit("h"), number % 20_000)
+    host = F.when(number % 3 == 0, F.concat(name, F.lit(".hot.net"))).otherwise(
+        F.concat(F.lit("Www."), name, F.lit(".site"), number % 7, F.lit(".net"))
+    )
+    df = spark.range(60_000).select(
+        number.alias("page_id"), F.concat(F.lit("http://"), host, F.lit("/p?q")).alias("url")
+    )
+    odd = [None, "", "a/b", "NOT.there", "H3.hot.net"]
+    listed = [f"h{i}.{d}.net" for i in range(0, 20_000, 4) for d in ("hot", "site1", "SITE5")]
+    return df, odd + listed + listed[:1000]
+
+
+def _tabled(url, listed):
+    host, path, rule, verdict = expected(url)
+    labels = host.split(".")
+    hit = any(".".join(labels[i:]) in listed for i in range(len(labels)))
+    return host, path, rule, "block" if rule is None and hit else verdict
+
+
+@pytest.mark.parametrize("joined", [False, True])
+def test_a_long_list_of_hosts_needs_several_filters(spark, monkeypatch, joined):
+    levels = []
+    made = urls.cascade
+    monkeypatch.setattr(urls, "cascade", lambda u: levels.append(made(u)) or levels[-1])
+    if joined:
+        monkeypatch.setattr(urls, "MOST_BITS", 0)
+    df, listed = _sites(spark)
+    hosts = spark.createDataFrame([(h, 1) for h in listed], "name string, key int")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge(df, hosts=hosts).collect()}
+    lower = {h.lower() for h in listed if h}
+    assert got == {r.page_id: _tabled(r.url, lower) for r in df.collect()}
+    blocked = sum(v[3] == "block" for v in got.values())
+    assert 5_000 < blocked < 30_000
+    assert levels == [None] if joined else len(levels[0]) > 3
+
+
+def test_a_table_without_hosts_lists_nothing(spark):
+    none = spark.createDataFrame([], "host string")
+    check(urls.judge(pages(spark, ODD), hosts=none), list(enumerate(ODD)))
