@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rideflow.functions.pricing import with_revenue
+from rideflow.plans import catalog
 from rideflow.operators.cleaning import clean_rides, parse_clean_rides, with_duration
 from rideflow.operators.kpis import hourly
 from rideflow.sources import tables, topics
@@ -299,3 +300,21 @@ def test_days_a_batch_does_not_touch_are_not_read(spark, make_rides, paths, tmp_
     live.add_batch(spark, paths["out"], with_revenue(with_duration(make_rides(*later))), 1)
     want = snapshot_kpis(with_revenue(with_duration(make_rides(*first, *later))))
     assert _plain(live.latest_kpis(spark, paths["out"])) == _plain(want)
+
+
+@pytest.mark.parametrize("name, slices", [("stream_snapshots", 2), ("stream_hourly", 3)])
+def test_slices_of_larger_tables_have_more_files(spark, paths, tmp_path, monkeypatch, name, slices):
+    """As many micro-batches at any size, and as many tasks in each as its rides need."""
+    spark.range(90).selectExpr(
+        "id as event_id", "timestamp_seconds(1704445200 + id * 60) as ts", "id % 7 as user_id",
+        "'click' as event_type", "cast(10 as double) as value",
+        "concat('{\"k\": ', id % 9 + 1, '}') as props",
+    ).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(catalog, "RIDES_PER_FILE", 10)
+    monkeypatch.setattr(catalog, "scratch_path", lambda _, label: str(tmp_path / label))
+    assert catalog.QUERIES[name](spark, str(tmp_path)).count() > 0
+    for batch in range(2):
+        sent = tmp_path / "rides-topic" / "partition=1" / f"batch={batch}"
+        assert len(list(sent.glob("*.parquet"))) >= 90 // 10
+    done = [f for f in (tmp_path / "stream-checkpoint" / "commits").iterdir() if f.name.isdigit()]
+    assert len(done) == 2 * slices
