@@ -15,6 +15,7 @@ from rideflow.functions.pricing import with_revenue
 from rideflow.operators.cleaning import parse_clean_rides
 from rideflow.operators.positions import cell_of, snapshot_points
 from rideflow.operators.snapshots import KEYS, headline_sums, kpis_from_cells
+from rideflow.session import run_folder, scratch_path
 from rideflow.sources.tables import same_partitions
 from rideflow.sources.topics import CLEAN_PARTITION, stream_topic
 from rideflow.streaming.jobs import claim, dedup_rides, run
@@ -67,19 +68,28 @@ def add_batch(spark: SparkSession, target: str, rides: DataFrame, batch_id: int)
         F.date_trunc("hour", "started_at").alias("hour"),
         cell_of(F.col("started_at")).alias("cell"),
         F.to_date("started_at").alias("date"),
-    ).persist()
-    try:
-        if timed.isEmpty():
+    )
+    with run_folder(spark):
+        # A micro-batch is planned without AQE, which would leave as many files a day as tasks: read
+        # back in the caller's session, its rows are dealt by day.
+        arrived = scratch_path(spark, "arrived")
+        timed.write.parquet(arrived)
+        folder = f"{target}/rides/batch={batch_id}"
+        _write_by_day(spark.read.schema(timed.schema).parquet(arrived), folder)
+        # In order of minutes, the written rides shrink to their sums within tasks.
+        added = spark.read.schema(_RIDES.removesuffix(", batch long")).parquet(folder)
+        if added.isEmpty():
             return
-        for kind, rows in (("rides", timed), ("sums", headline_sums(timed, ["date", "cell"]))):
-            # In order of minutes, so that a read of a few skips the other blocks of a file.
-            rows.hint("rebalance", "date").sortWithinPartitions("date", "cell").write.mode(
-                "overwrite"
-            ).partitionBy("date").parquet(f"{target}/{kind}/batch={batch_id}")
-        found = figures_of_days(spark, target, timed, batch_id)
+        _write_by_day(headline_sums(added, ["date", "cell"]), f"{target}/sums/batch={batch_id}")
+        found = figures_of_days(spark, target, added, batch_id)
         found.write.mode("overwrite").partitionBy("date").parquet(f"{target}/kpis/batch={batch_id}")
-    finally:
-        timed.unpersist()
+
+
+def _write_by_day(rows: DataFrame, folder: str) -> None:
+    """Write rows by day in order of minutes, so that a read of a few skips the other blocks of a file."""
+    rows.hint("rebalance", "date").sortWithinPartitions("date", "cell").write.mode(
+        "overwrite"
+    ).partitionBy("date").parquet(folder)
 
 
 def snapshot_stream(
@@ -125,6 +135,4 @@ def fold(spark: SparkSession, target: str, upto: int) -> None:
         F.sum("rides").alias("rides"), F.sum("fare").alias("fare")
     )
     for kind, rows in (("sums", sums), ("rides", rides)):
-        rows.hint("rebalance", "date").sortWithinPartitions("date", "cell").write.mode(
-            "overwrite"
-        ).partitionBy("date").parquet(f"{target}/{kind}-folded/upto={upto}")
+        _write_by_day(rows, f"{target}/{kind}-folded/upto={upto}")

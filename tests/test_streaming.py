@@ -318,3 +318,14 @@ def test_slices_of_larger_tables_have_more_files(spark, paths, tmp_path, monkeyp
         assert len(list(sent.glob("*.parquet"))) >= 90 // 10
     done = [f for f in (tmp_path / "stream-checkpoint" / "commits").iterdir() if f.name.isdigit()]
     assert len(done) == 2 * slices
+
+
+def test_live_days_have_no_file_per_task(spark, make_rides, paths, tmp_path):
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    send_clean(make_rides(*_day_rides((0, 1), 80)), paths["topic"])
+    live.snapshot_stream(spark, paths["topic"], paths["out"], paths["check"]).awaitTermination()
+    for kind in ("rides", "sums"):
+        for day in (tmp_path / "out" / kind / "batch=0").glob("date=*"):
+            assert len(list(day.glob("*.parquet"))) == 1
+    want = snapshot_kpis(with_revenue(with_duration(make_rides(*_day_rides((0, 1), 80)))))
+    assert _plain(live.latest_kpis(spark, paths["out"])) == _plain(want)
